@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordtable
-from .common import default_tokenizer_path, env_single_thread
+from .common import default_tokenizer_path, env_single_thread, materialize
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, ids array<int>, decoded string"
@@ -116,7 +116,7 @@ def decode(tokens: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     rows = [(i, p) for i, p in enumerate(pieces(path))]
     table = F.broadcast(spark.createDataFrame(rows, "id int, piece string"))  # as many rows as the vocabulary
     keyed = tokens.select("doc_id", "ids").withColumn("_row", F.monotonically_increasing_id())
-    keyed = wordtable.materialize(keyed, "decode")
+    keyed = materialize(keyed, "decode")
     at = keyed.select("_row", F.posexplode("ids").alias("pos", "id")).join(table, "id")
     got = at.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("decoded"))
     return keyed.join(got, "_row", "left").select("doc_id", F.coalesce("decoded", F.lit("")).alias("decoded"))

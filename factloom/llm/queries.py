@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sstable, token_counts
+from . import bpe, langid, mixing, simhash, sstable, token_counts, vector_dedup
 from .common import documents
 
 
@@ -18,12 +18,28 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(spark, documents(spark, sf_dir, ["doc_id", "text"]))
 
 
+def op5_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir, ["doc_id", "text", "lang"]))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir, ["doc_id", "text"]))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir, ["doc_id", "text", "source"])).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir, ["doc_id", "text"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_bpe, op3_token_shards, op8_token_counts]
+    fns = [op1_bpe, op3_token_shards, op5_vector_near_dedup, op7_language_id, op8_token_counts, op9_mixing, op10_simhash]
     return {f.__name__: f for f in fns}
 
 

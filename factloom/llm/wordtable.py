@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, ship
+from .common import as_bytes, new_path, ship
 
 #: Units in a block, and in a bucket on average; both bound a task's memory.
-BLOCK_UNITS = 4_000_000
+BLOCK_UNITS = 5_000_000
 BUCKET_UNITS = 400_000
 
 _BLOCKS = "block_id long, doc_ids binary, doc_units binary, doc_bytes binary, planes binary, units binary, n_units long"
@@ -143,7 +143,7 @@ def value_units(
     """Rows of ``emit`` for every document. ``value`` maps a list of distinct units to their values (bytes of equal meaning for all blocks)."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = materialize(pack_blocks(docs, id_col, text_col, split, block_units), "blocks")
+    blocks = _bucketed(pack_blocks(docs, id_col, text_col, split, block_units))
     total = blocks.agg(F.sum("n_units")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_units))
 
@@ -189,6 +189,16 @@ def value_units(
     return held.groupBy("block_id").cogroup(values.groupBy("block_id")).applyInArrow(assemble, out_ddl)
 
 
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """Write blocks once, already dealt by identifier, so that bringing values to them moves only the values."""
+    spark = blocks.sparkSession
+    path = new_path(spark, "blocks")
+    name = "factloom_blocks_" + path.rsplit("-", 1)[1]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.format("parquet").bucketBy(n, "block_id").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 class Assembled:
     """A block again: ids and byte sizes of its documents, positions, and a value for each distinct unit."""
 
