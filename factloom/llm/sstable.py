@@ -199,35 +199,53 @@ class ByteEncoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.line_break = self._whole(b"\n")[0]
         self.width = 2 if max(self.t.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
 
     def _learn(self, units: list[bytes]) -> None:
-        for i in range(0, len(units), 20_000):
-            some = units[i : i + 20_000]
-            got = self.t.encode_batch_fast([u.decode("utf-8", "replace") for u in some], add_special_tokens=False)
-            self.memo.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(some, got))
+        """Encode new units. Those without a line break go as lines of one text: a line break before a space or a letter is a piece of its own."""
+        plain = [u for u in units if b"\n" not in u]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self._whole(b"\n".join(some)), "<u4")
+            cuts = np.flatnonzero(ids == self.line_break)
+            if len(cuts) != len(some) - 1:
+                for u in some:
+                    self.memo[u] = np.array(self._whole(u), "<u4").tobytes()
+                continue
+            raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.memo.update(zip(some, [raw[a:b] for a, b in zip(starts, ends)]))
+        for u in units:
+            if b"\n" in u:
+                self.memo[u] = np.array(self._whole(u), "<u4").tobytes()
+
+    def _whole(self, text: bytes) -> list[int]:
+        return self.t.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of texts; a first unit is told from others by the space before it."""
-        rows: list[list[bytes] | bytes] = []
-        for t in texts:
-            if any(x in t for x in _OTHER_SPACE) or (not t.isascii() and any(x in t for x in _FAR_SPACE)) or t[:1] == b" " or t[-1:] == b" ":
-                rows.append(t)
-            else:
-                units = t.replace(b" ", b"\0 ").split(b"\0") if b"\0" not in t else None
-                rows.append(t if units is None else units)
         if len(self.memo) > _MEMO:
             self.memo.clear()
-        need = {u for r in rows if isinstance(r, list) for u in r} - self.memo.keys()
-        need.discard(b"")
-        self.memo.setdefault(b"", b"")
-        self._learn(list(need))
-        memo, out = self.memo, []
-        for r in rows:
-            if isinstance(r, list):
-                out.append(np.frombuffer(b"".join([memo[u] for u in r]), "<u4"))
+        self.memo[b""] = b""
+        get, rows, missing = self.memo.get, [], set()
+        for t in texts:
+            if any(x in t for x in _OTHER_SPACE) or (not t.isascii() and any(x in t for x in _FAR_SPACE)) or t[:1] == b" " or t[-1:] == b" " or b"\0" in t:
+                rows.append((t, None))
+                continue
+            units = t.replace(b" ", b"\0 ").split(b"\0")
+            got = list(map(get, units))
+            if None in got:
+                missing.update(u for u, v in zip(units, got) if v is None)
+            rows.append((units, got))
+        self._learn(list(missing))
+        out = []
+        for units, got in rows:
+            if got is None:
+                out.append(np.array(self._whole(units), "<u4"))
             else:
-                out.append(np.array(self.t.encode_batch_fast([r.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4"))
+                if None in got:
+                    got = [get(u) if v is None else v for u, v in zip(units, got)]
+                out.append(np.frombuffer(b"".join(got), "<u4"))
         return out
 
 
