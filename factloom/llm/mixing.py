@@ -67,7 +67,8 @@ def _take(group: pa.Table) -> pa.Table:
             more[i] = 1
             taken += s
     times = np.where(size > 0, group.column("whole").to_numpy() + more, 0)
-    return group.drop_columns(["part", "draw", "whole", "bucket"]).append_column("times", pa.array(times, pa.int64()))
+    names = [c for c in ("doc_id", "source_key", "size", "text_hash", "source_size", "target") if c in group.column_names]
+    return group.select(names).append_column("times", pa.array(times, pa.int64()))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, text_hash: bool = False) -> DataFrame:
@@ -82,7 +83,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoc
     x = x.withColumn("part", F.greatest(rate - F.col("whole"), F.lit(0.0))).withColumn("draw", _draw(seed, F.col("doc_id")))
     n = F.greatest(F.ceil(F.col("n_docs") / BUCKET_DOCS), F.lit(1))
     spread = F.pmod(F.xxhash64("draw") if not text_hash else F.xxhash64("draw", "text_hash"), n)
-    x = x.drop("n_docs").withColumn("bucket", F.when(n == 1, F.lit(0).cast("long")).otherwise(spread))
+    x = x.withColumn("bucket", F.when(n == 1, F.lit(0).cast("long")).otherwise(spread)).drop("n_docs")
     out = f"doc_id long, source_key string, size long{', text_hash long' if text_hash else ''}, source_size long, target double, times long"
     got = x.groupBy("source_key", "bucket").applyInArrow(_take, out)
     return got.withColumn("taken", F.col("times") * F.col("size"))
