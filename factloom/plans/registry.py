@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from . import graph_queries, ranking_queries, text_queries
+
+_MODULES = [text_queries, ranking_queries, graph_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
