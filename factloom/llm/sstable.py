@@ -14,9 +14,9 @@ Documents are dealt by range of identifier (then of text hash, so that a repeate
 large), sorted, encoded and written by the tasks into the shared folder under names of their own; only shards whose task
 succeeded enter the manifest. A shard is closed at ``shard_bytes``.
 
-Encoding: the vocabulary's pattern never matches across a space between two other characters that are not white space, so
-pieces of text that begin at such a space are encoded one by one by the library and remembered (at most ``_MEMO`` of
-them in a process). A text with longer runs of white space goes through the library whole.
+Encoding: the vocabulary's pattern never matches across a space or a line break between two other characters that are not white
+space, so pieces of text that begin at one are encoded apart by the library and remembered (about ``_MEMO`` of them in a
+process). A text with longer runs of white space, or other kinds of it, goes through the library whole.
 
 Defined results: a null text is empty and still gets the end id; null ids sort first; repeated ids stay, in
 order of their text; an empty table gives no shard and no rows; other columns are ignored whatever their names.
@@ -47,9 +47,10 @@ _FOOTER = struct.Struct("<8Q8s")
 _INDEX = struct.Struct("<9sQIIIQ")
 _ENTRY = struct.Struct("<BBI")
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 256 << 10, 128 << 20, 10, 7
-_MEMO = 1_000_000
+_MEMO = 1_250_000
 _MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long"
-_OTHER_SPACE = [b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+_MARKS, _LINES = b".,;:!?", 48
+_OTHER_SPACE = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
 _FAR_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 
 
@@ -202,22 +203,23 @@ class ByteEncoder:
         self.line_break = self._whole(b"\n")[0]
         self.width = 2 if max(self.t.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
 
-    def _learn(self, units: list[bytes]) -> None:
-        """Encode new units. Those without a line break go as lines of one text: a line break before a space or a letter is a piece of its own."""
-        plain = [u for u in units if b"\n" not in u]
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
+    def _learn(self, units: set[bytes]) -> None:
+        """Encode new units, as lines of short texts: a line break before a space or a letter is a piece of its own. A mark at the end of a letter or
+        digit is always a piece of its own, too."""
+        memo = self.memo
+        ended = [u for u in units if u[-1] in _MARKS and u[-2:-1].isalnum()]
+        plain = list(units.difference(ended) | ({u[:-1] for u in ended} | {u[-1:] for u in ended}).difference(memo))
+        for i in range(0, len(plain), _LINES):
+            some = plain[i : i + _LINES]
             ids = np.array(self._whole(b"\n".join(some)), "<u4")
             cuts = np.flatnonzero(ids == self.line_break)
-            if len(cuts) != len(some) - 1:
-                for u in some:
-                    self.memo[u] = np.array(self._whole(u), "<u4").tobytes()
+            if len(cuts) != len(some) - 1:  # a line break among the units themselves
+                memo.update((u, np.array(self._whole(u), "<u4").tobytes()) for u in some)
                 continue
-            raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.memo.update(zip(some, [raw[a:b] for a, b in zip(starts, ends)]))
-        for u in units:
-            if b"\n" in u:
-                self.memo[u] = np.array(self._whole(u), "<u4").tobytes()
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            memo.update(zip(some, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
+        for u in ended:
+            memo[u] = memo[u[:-1]] + memo[u[-1:]]
 
     def _whole(self, text: bytes) -> list[int]:
         return self.t.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
@@ -232,12 +234,12 @@ class ByteEncoder:
             if any(x in t for x in _OTHER_SPACE) or (not t.isascii() and any(x in t for x in _FAR_SPACE)) or t[:1] == b" " or t[-1:] == b" " or b"\0" in t:
                 rows.append((t, None))
                 continue
-            units = t.replace(b" ", b"\0 ").split(b"\0")
+            units = t.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
             got = list(map(get, units))
             if None in got:
                 missing.update(u for u, v in zip(units, got) if v is None)
             rows.append((units, got))
-        self._learn(list(missing))
+        self._learn(missing)
         out = []
         for units, got in rows:
             if got is None:
