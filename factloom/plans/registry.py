@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, ranking_queries, text_queries
+from . import graph_queries, lifecycle_queries, ranking_queries, stream_queries, text_queries
 
-_MODULES = [text_queries, ranking_queries, graph_queries]
+_MODULES = [text_queries, ranking_queries, graph_queries, lifecycle_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
