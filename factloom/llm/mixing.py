@@ -56,14 +56,21 @@ def _draw(seed: int, *cols: Column) -> Column:
 
 
 def _take(group: pa.Table) -> pa.Table:
-    """Fractional repetitions of a bucket: in order of falling size, a document is taken when the words still wanted exceed its drawn part of its size."""
+    """Fractional repetitions of a bucket: in order of falling size, a document is taken when the words still wanted reach its drawn part of its size,
+    unless smaller ones could no longer make up for it."""
     size, part = group.column("size").to_numpy(), group.column("part").to_numpy()
     draw, ids = group.column("draw").to_numpy(), group.column("doc_id").to_numpy(zero_copy_only=False)
     order = np.lexsort((np.nan_to_num(ids.astype(float), nan=-1.0), draw, -size))
-    wanted = part[order] * np.cumsum(size[order])
+    so_far = np.cumsum(size[order])
+    all_wanted = float(part[order[0]]) * float(so_far[-1])
     more, taken = np.zeros(len(size), np.int64), 0
-    for i, want, s, u in zip(order.tolist(), wanted.tolist(), size[order].tolist(), draw[order].tolist()):
-        if s and want - taken >= u * s and want > taken:
+    for i, wanted, s, left, u in zip(order.tolist(), (part[order] * so_far).tolist(), size[order].tolist(), (so_far[-1] - so_far).tolist(), draw[order].tolist()):
+        too_much, too_little = taken + s - all_wanted, all_wanted - taken - left  # beyond repair if it is taken, or left out
+        if too_much > 0 or too_little > 0:
+            take = max(too_much, 0.0) < max(too_little, 0.0)
+        else:
+            take = wanted - taken >= u * s
+        if take and s:
             more[i] = 1
             taken += s
     times = np.where(size > 0, group.column("whole").to_numpy() + more, 0)

@@ -145,22 +145,23 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
 
 
 def keep_one(docs: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """One row of each component: the smallest id, ids before nulls; of several rows with that id, the smallest text hash, then the smallest row."""
+    """One row of each component: the smallest id, ids before nulls; of several rows with that id, the smallest text hash, then the smallest hash of the other columns."""
     mark = [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), F.xxhash64("text").alias("_hash")]
-    hashed = docs.select(F.col("doc_id"), F.col("text"), mark[2].alias("_hash"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark[2])
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t) for t in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "_hash", "fp"])
 
     keyed = materialize(hashed.mapInArrow(run, "doc_id long, _hash long, fp long"), "fingerprints")
     labelled = _components(keyed.select("doc_id", "fp"), radius, tile)
     first = keyed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_hash")).alias("k"))
     kept = labelled.join(first, "fp").groupBy("component").agg(F.min("k").alias("k")).select("k.*")
     key = ["_null", "_id", "_hash"]
-    rows = docs.select("*", *mark).join(kept, key, "left_semi")
-    order = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
-    one = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return one.where("_rn = 1").select(*docs.columns)
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))) if names else F.lit(0)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *mark, rest.alias("_rest"))  # so that no name clashes
+    one = packed.join(kept, key, "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy("_rest")))
+    return one.where("_rn = 1").select("_row.*")
