@@ -60,7 +60,7 @@ def hebbian_update(spark, d):
 
 def homeostasis(spark, d):
     x = _links(spark, d).select("source_id", "target_id", (F.lit(0.4) + (F.col("source_id") % 7) * 0.1).alias("strength"))
-    return G.homeostasis(x).select("source_id", "target_id", F.round("strength", 6).alias("strength"))
+    return G.homeostasis(x).select("source_id", "target_id", F.round(F.col("strength") + 1e-9, 6).alias("strength"))
 
 
 def link_upsert(spark, d):
@@ -137,7 +137,7 @@ ORACLES = {
         a AS (SELECT * FROM u UNION ALL SELECT source_id, target_id, least(0.12 * ab, 0.3), times FROM f UNION ALL SELECT target_id, source_id, least(0.12 * ab, 0.3), times FROM f)
         SELECT source_id, target_id, round(max(strength), 6) AS strength, CAST(max(co) AS BIGINT) AS co FROM a GROUP BY ALL""",
     "homeostasis": f"""WITH l AS (SELECT source_id, target_id, 0.4::DOUBLE + (source_id % 7) * 0.1::DOUBLE AS strength FROM {_LINKS}), m AS (SELECT id, 0.7 / avg(strength) AS f FROM (SELECT source_id AS id, strength FROM l UNION ALL SELECT target_id, strength FROM l) GROUP BY id HAVING avg(strength) > 0.7)
-        SELECT source_id, target_id, round(strength * coalesce(a.f, 1) * coalesce(b.f, 1), 6) AS strength FROM l LEFT JOIN m a ON a.id = source_id LEFT JOIN m b ON b.id = target_id""",
+        SELECT source_id, target_id, round(strength * coalesce(a.f, 1) * coalesce(b.f, 1) + 1e-9, 6) AS strength FROM l LEFT JOIN m a ON a.id = source_id LEFT JOIN m b ON b.id = target_id""",
     "link_upsert": f"""WITH x AS (SELECT source_id, target_id, strength, last_updated FROM {_LINKS}), n AS (SELECT source_id, target_id, strength + 0.3 AS strength, last_updated FROM x WHERE source_id % 3 = 0)
         SELECT source_id, target_id, round(max(strength), 6) AS strength, max(last_updated) AS last_updated FROM (SELECT * FROM x WHERE source_id % 2 = 0 UNION ALL SELECT * FROM {_BACK.format('n')}) GROUP BY ALL""",
     "link_decay": f"SELECT source_id, target_id, round(strength / 20 * 0.95, 6) AS strength FROM {_LINKS} WHERE strength / 20 * 0.95 >= 0.01",

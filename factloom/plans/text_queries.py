@@ -132,14 +132,21 @@ def _shape() -> str:
     return S.weigh(hits)
 
 
+def _bounded(pattern: str) -> str:
+    """Word boundaries of all letters spelled out; DuckDB's own know ASCII only."""
+    edge = r"[^\p{L}\p{N}_]"
+    pattern = f"(?:^|{edge})" + pattern[2:] if pattern.startswith(r"\b") else pattern
+    return pattern[:-2] + f"(?:$|{edge})" if pattern.endswith(r"\b") else pattern
+
+
 def _factuality(x: str) -> str:
-    hits = [(S.hit(f"lower({x})" if low else x, p), w) for p, low, w in P.FACTUALITY]
+    hits = [(S.hit(f"lower({x})" if low else x, _bounded(p)), w) for p, low, w in P.FACTUALITY]
     n = f"len({S.words(x)})"
     return f"greatest(0.0, least(1.0, 0.5 + {S.weigh(hits)} + CASE WHEN {n} < 4 THEN -0.2 WHEN {n} > 30 THEN -0.1 ELSE 0 END))"
 
 
 def _fact_type(x: str) -> str:
-    return S.ladder([(S.hit(f"lower({x})", p), n) for n, p in P.FACT_TYPES], "V")
+    return S.ladder([(S.hit(f"lower({x})", _bounded(p)), n) for n, p in P.FACT_TYPES], "V")
 
 
 def _named(x: str, p: str) -> str:
