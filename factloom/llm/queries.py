@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, licenses, mixing, quality, simhash, sstable, token_counts, vector_dedup
+from . import bpe, html_text, langid, licenses, mixing, oracles, quality, simhash, sstable, token_counts, vector_dedup
 from .common import documents
 
 
@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.scan_sql()}
+    return oracles.oracle_sql()
