@@ -240,12 +240,14 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, slack: float = SL
     """Fit models and calibration on a bounded sample of rows with a language (and, ``by_fold``, not held out)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (~held_out() if by_fold else F.lit(True)))
     h = F.xxhash64("doc_id", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = rows.select("lang", h.alias("h")).withColumn("rn", rank).where(F.col("rn") <= docs_per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
-    limits = {r["lang"]: r["cut"] for r in cuts.collect()}  # a row per language
-    if not limits:
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not totals:
         return Identifier([], [])
+    # the hash is even over its range, so a share of the range holds a little more than is wanted; the exact number is cut from that
+    limits = {lang: int(-(2**63) + (2**64 - 1) * min(1.0, (1.25 * docs_per_lang + 50) / n)) for lang, n in totals.items()}
+    limits = {lang: min(cut, 2**63 - 1) for lang, cut in limits.items()}
     cut = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv]), F.col("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     near = rows.select("lang", "text", h.alias("h")).where(F.col("h") <= cut)
     sample = near.withColumn("rn", rank).where(F.col("rn") <= docs_per_lang)  # equal rows share a hash
     counts: dict[str, Counter[str]] = {lang: Counter() for lang in sorted(limits)}
