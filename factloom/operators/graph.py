@@ -35,6 +35,30 @@ def overlaps(tokens: DataFrame, recent: int | None = None) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
+def similar_sets(tokens: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of all pairs a > b of (id, tokens) whose sets have a Jaccard similarity of ``threshold`` or more. Exact.
+
+    Sets that similar share one of their rarest tokens: a set of n keeps its n - ceil(threshold * n) + 1 rarest, pairs that meet there are
+    verified. Equal sets are one set while pairs are sought, so many copies cost no pairs until the end.
+    """
+    sets = tokens.select("id", F.array_sort(F.array_distinct("tokens")).alias("s")).where(F.size("s") > 0)
+    kinds = sets.select("s").distinct().withColumn("k", F.xxhash64("s"))
+    long = kinds.select("k", F.explode("s").alias("token"))
+    ranked = long.join(long.groupBy("token").agg(F.count("*").alias("df")), "token")
+    ordered = ranked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    keep = (F.size("o") - F.ceil(F.size("o") * threshold - 1e-9) + 1).cast("int")
+    front = ordered.select("k", F.explode(F.slice("o", F.lit(1), keep)).alias("t")).select("k", F.col("t.token").alias("token"))
+    met = front.join(front.select(F.col("k").alias("k2"), "token"), "token").where("k < k2").select("k", "k2").distinct()
+    other = kinds.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
+    both = met.join(kinds, "k").join(other, "k2").where((F.size("s") >= F.size("s2") * threshold - 1e-9) & (F.size("s2") >= F.size("s") * threshold - 1e-9))
+    shared = F.size(F.array_intersect("s", "s2"))
+    near = both.select("k", "k2", (shared / (F.size("s") + F.size("s2") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    near = near.union(near.select("k2", "k", "jaccard")).union(kinds.select("k", "k", F.lit(1.0)))
+    member = sets.select("id", F.xxhash64("s").alias("k"))
+    a, b = member.select(F.col("id").alias("a"), "k"), member.select(F.col("id").alias("b"), F.col("k").alias("k2"))
+    return a.join(near, "k").join(b, "k2").where("a > b").select("a", "b", "jaccard")
+
+
 def keyword_links(tokens: DataFrame, recent: int = 50) -> DataFrame:
     """Links of facts with three shared words or more and a Jaccard similarity of 0.15 or more, to the latest predecessors."""
     j = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))

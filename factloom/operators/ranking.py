@@ -238,7 +238,7 @@ def session_rewards(events: DataFrame, window: float = 300.0) -> DataFrame:
 
 
 def similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query by cosine; ``queries`` is a stated set, small beside the vectors."""
-    sims = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("embedding"), F.col("q_embedding")).alias("sim"))
+    """The k nearest of each query by cosine; ``queries`` is a stated set, which meets all vectors in blocks of partitions."""
+    sims = vectors.crossJoin(queries).select("query_id", "id", cosine(F.col("embedding"), F.col("q_embedding")).alias("sim"))
     top = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return sims.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)

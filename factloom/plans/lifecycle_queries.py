@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,7 +23,7 @@ def _facts(spark, d):
 
 def exact_dedup(spark, d):
     x = _facts(spark, d)
-    return L.new_facts(x.where("id % 2 = 1"), x.where("id % 2 = 0 and id < 100")).select("id", "source_hash")
+    return L.new_facts(x, x.where("layer = 'core' and type = 'D'")).select("id", "source_hash")
 
 
 def supersession(spark, d):
@@ -35,18 +36,24 @@ def gauge_cascade(spark, d):
 
 def consolidate(spark, d):
     access = spark_view(spark, d, "access").select(F.col("fact_id"), "seen_at")
-    bridges = spark.range(0, 400, 37).select("id")
+    bridges = _facts(spark, d).where("scope_id = 7").select("id")
     return L.consolidate(_facts(spark, d), access, NOW + 3e6, bridges).select("id", "layer", "pinned")
 
 
+def _duplicates(spark, d):
+    """Facts with the text, type and target of an earlier one, and that one."""
+    w = Window.partitionBy("content", "type", "target")
+    return _facts(spark, d).select(F.col("id").alias("dup"), F.min("id").over(w).alias("into")).where("dup <> into")
+
+
 def merge_dups(spark, d):
     x = spark_view(spark, d, "pairs").select("source_id", "target_id", (F.col("co") * 0.1).alias("strength"))
-    mapping = _facts(spark, d).where("id % 5 = 0").select(F.col("id").alias("dup"), (F.col("id") + 1).alias("into"))
+    mapping = _duplicates(spark, d)
     return L.merge_links(x, mapping).select("source_id", "target_id", F.round("strength", 6).alias("strength"))
 
 
 def merged_facts(spark, d):
-    mapping = _facts(spark, d).where("id % 5 = 0").select(F.col("id").alias("dup"), (F.col("id") + 1).alias("into"))
+    mapping = _duplicates(spark, d)
     return L.merge_facts(_facts(spark, d), mapping).select("id", "status", "superseded_by")
 
 
@@ -60,7 +67,7 @@ def access_update(spark, d):
 
 
 def system_prompt(spark, d):
-    return L.system_prompt(_facts(spark, d).where("id % 40 < 3 or id % 11 = 0").where("id < 300"), 60)
+    return L.system_prompt(_facts(spark, d), 500)
 
 
 def stats(spark, d):
@@ -125,7 +132,7 @@ def session_expiry(spark, d):
 def _interactions(spark, d):
     x = table(spark, d, "conversations")
     ids = F.array((F.col("conv_id") + F.col("turn")) % 40, (F.col("conv_id") * 3) % 40)
-    return x.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ix"), F.substring("text", 1, 60).alias("query"), F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("s"), (F.col("conv_id") % 3).cast("string"))).alias("scope"), ids.alias("recalled_ids"), (F.col("turn") % 4 == 0).alias("followed_by_store"))
+    return x.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ix"), F.col("text").alias("query"), F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("s"), (F.col("conv_id") % 3).cast("string"))).alias("scope"), ids.alias("recalled_ids"), (F.col("turn") % 4 == 0).alias("followed_by_store"))
 
 
 def training_pairs(spark, d):
@@ -140,7 +147,7 @@ def chat_export(spark, d):
 
 
 def import_dedup(spark, d):
-    x = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_seq"), F.concat(F.lit("  "), F.substring("text", 1, 2), F.lit("\n")).alias("content"), F.col("role").alias("peer_id"), F.concat(F.lit("conv/"), (F.col("conv_id") % 7).cast("string")).alias("session_id"))
+    x = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_seq"), F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("content"), F.col("role").alias("peer_id"), F.concat(F.lit("conv/"), (F.col("conv_id") % 7).cast("string")).alias("session_id"))
     return X.import_messages(x, "user", True, None)
 
 
@@ -170,27 +177,27 @@ _PASS = f"""a AS (SELECT *, row_number() OVER (PARTITION BY type, target, sessio
     b AS (SELECT *, CASE WHEN status = 'provisional' AND rn > 1 THEN 'retracted' ELSE status END AS s1 FROM a),
     c AS (SELECT *, max(CASE WHEN s1 = 'provisional' AND source = 'agent_inference' THEN updated_at END) OVER (PARTITION BY session_id) AS last FROM b),
     d AS (SELECT *, CASE WHEN s1 = 'provisional' AND (source IN ('observed', 'user_stated') OR last < {NOW} - {{ttl}}) THEN 'promoted' ELSE s1 END AS s2 FROM c)"""
-_MAP = f"(SELECT id AS dup, id + 1 AS into_ FROM {_F} WHERE id % 5 = 0)"
-_IX = "(SELECT conv_id * 1000 + turn AS ix, left(text, 60) AS query, CASE WHEN conv_id % 4 <> 0 THEN 's' || (conv_id % 3) END AS scope, unnest([(conv_id + turn) % 40, (conv_id * 3) % 40]) AS fid, unnest([0, 1]) AS pos, turn % 4 = 0 AS fbs FROM conversations WHERE role = 'user')"
+_MAP = f"(SELECT * FROM (SELECT id AS dup, min(id) OVER (PARTITION BY content, type, target) AS into_ FROM {_F}) WHERE dup <> into_)"
+_IX = "(SELECT conv_id * 1000 + turn AS ix, text AS query, CASE WHEN conv_id % 4 <> 0 THEN 's' || (conv_id % 3) END AS scope, unnest([(conv_id + turn) % 40, (conv_id * 3) % 40]) AS fid, unnest([0, 1]) AS pos, turn % 4 = 0 AS fbs FROM conversations WHERE role = 'user')"
 _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN {S.strs(P.VECTOR_STOP_WORDS)})"
 _BR = "(SELECT lang AS arm, [1.0::DOUBLE, least(n_chars, 5000) / 5000.0::DOUBLE, doc_id % 7 / 7.0::DOUBLE] AS f, quality::DOUBLE AS reward FROM documents JOIN labels USING (doc_id))"
 
 ORACLES = {
-    "exact_dedup": f"SELECT id, left(sha256(content), 16) AS source_hash FROM {_F} WHERE id % 2 = 1 AND content NOT IN (SELECT content FROM {_F} WHERE id % 2 = 0 AND id < 100 AND status = 'active') QUALIFY row_number() OVER (PARTITION BY content ORDER BY id) = 1",
+    "exact_dedup": f"SELECT id, left(sha256(content), 16) AS source_hash FROM {_F} WHERE content NOT IN (SELECT content FROM {_F} WHERE layer = 'core' AND type = 'D' AND status = 'active') QUALIFY row_number() OVER (PARTITION BY content ORDER BY id) = 1",
     "supersession": f"SELECT id, CASE WHEN status = 'active' AND target <> 'general' AND row_number() OVER (PARTITION BY type, target, scope_id, status ORDER BY created_at DESC, id DESC) > 1 THEN 'superseded' ELSE status END AS status FROM {_F}",
     "gauge_cascade": f"""WITH x AS (SELECT f.*, used / 100.0 AS pct FROM {_F} f CROSS JOIN {_USED}),
         a AS (SELECT *, CASE WHEN status = 'active' AND pct >= 70 AND EXISTS (SELECT 1 FROM x y WHERE y.status = 'active' AND y.type = x.type AND y.target = x.target AND y.scope_id IS NOT DISTINCT FROM x.scope_id AND y.created_at > x.created_at) THEN 'superseded' ELSE status END AS s1 FROM x),
         b AS (SELECT *, CASE WHEN s1 = 'active' AND pct >= 85 AND scope_id IN (SELECT id FROM {duck_view('scopes')} WHERE status IN ('cold', 'closed')) AND {NOW} - last_accessed > 86400 THEN 'archived' ELSE s1 END AS s2 FROM a)
         SELECT id, CASE WHEN pct >= 95 AND id IN (SELECT id FROM b WHERE s2 = 'active' AND NOT pinned ORDER BY last_accessed, id LIMIT 10) THEN 'cold' ELSE s2 END AS status FROM b""",
     "consolidate": f"""WITH t AS (SELECT {NOW} + 3e6 AS now), base AS (SELECT fact_id AS id, ln(greatest(sum(pow(now - seen_at, -0.3)), 1e-10)) AS base FROM {_A}, t WHERE now > seen_at GROUP BY 1),
-        x AS (SELECT f.id, status, access_count, last_accessed, pinned OR (f.id % 37 = 0 AND f.id < 400) AS pinned, CASE WHEN layer = 'working' AND access_count >= 3 THEN 'core' ELSE layer END AS l1, base FROM {_F} f LEFT JOIN base USING (id)),
+        x AS (SELECT f.id, status, access_count, last_accessed, pinned OR coalesce(scope_id = 7, false) AS pinned, CASE WHEN layer = 'working' AND access_count >= 3 THEN 'core' ELSE layer END AS l1, base FROM {_F} f LEFT JOIN base USING (id)),
         y AS (SELECT *, CASE WHEN l1 = 'core' AND status = 'active' AND base < -5 THEN 'archive' ELSE l1 END AS layer FROM x) SELECT id, layer, pinned FROM y, t WHERE NOT (layer = 'archive' AND status = 'active' AND access_count < 2 AND now - last_accessed > 86400 * 30)""",
     "merge_dups": f"SELECT coalesce(a.into_, source_id) AS source_id, coalesce(b.into_, target_id) AS target_id, round(max(co * 0.1::DOUBLE), 6) AS strength FROM {duck_view('pairs')} LEFT JOIN {_MAP} a ON a.dup = source_id LEFT JOIN {_MAP} b ON b.dup = target_id WHERE coalesce(a.into_, source_id) <> coalesce(b.into_, target_id) GROUP BY 1, 2",
-    "merged_facts": f"SELECT id, CASE WHEN id % 5 = 0 THEN 'superseded' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN id + 1 END AS superseded_by FROM {_F}",
+    "merged_facts": f"SELECT id, CASE WHEN into_ IS NOT NULL THEN 'superseded' ELSE status END AS status, into_ AS superseded_by FROM {_F} LEFT JOIN {_MAP} ON dup = id",
     "access_cap": f"WITH x AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY seen_at DESC) AS rn FROM {_A}), c AS (SELECT fact_id, max(seen_at) AS cut FROM x WHERE rn > 40 GROUP BY 1) SELECT fact_id, count(*) AS n, min(seen_at) AS oldest FROM x LEFT JOIN c USING (fact_id) WHERE cut IS NULL OR seen_at > cut GROUP BY 1",
     "access_update": f"WITH u AS (SELECT fact_id AS id, count(*) AS n, max(seen_at) AS t FROM {_A} GROUP BY 1) SELECT id, access_count + coalesce(n, 0) AS access_count, round(greatest(last_accessed, coalesce(t, 0)), 3) AS last_accessed FROM {_F} LEFT JOIN u USING (id)",
-    "system_prompt": f"""WITH x AS (SELECT * FROM {_F} WHERE (id % 40 < 3 OR id % 11 = 0) AND id < 300 AND status = 'active'), u AS (SELECT id, CASE type WHEN 'C' THEN 0 ELSE 1 END AS part FROM x WHERE type IN ('C', 'D')
-        UNION ALL SELECT id, 2 FROM x WHERE type = 'V' AND (importance IS NULL OR importance >= 0.8) UNION ALL SELECT id, 3 FROM x WHERE target IN ('identity', 'self') OR target LIKE 'identity.%' OR target LIKE 'self.%') SELECT id, part, id AS row_seq FROM u ORDER BY part, id LIMIT 60""",
+    "system_prompt": f"""WITH x AS (SELECT * FROM {_F} WHERE status = 'active'), u AS (SELECT id, CASE type WHEN 'C' THEN 0 ELSE 1 END AS part FROM x WHERE type IN ('C', 'D')
+        UNION ALL SELECT id, 2 FROM x WHERE type = 'V' AND (importance IS NULL OR importance >= 0.8) UNION ALL SELECT id, 3 FROM x WHERE target IN ('identity', 'self') OR target LIKE 'identity.%' OR target LIKE 'self.%') SELECT id, part, id AS row_seq FROM u ORDER BY part, id LIMIT 500""",
     "stats": f"SELECT *, round(used / 100.0, 1)::DOUBLE AS pct FROM (SELECT CAST(sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS BIGINT) AS n_active, CAST(sum(CASE WHEN status = 'cold' THEN 1 ELSE 0 END) AS BIGINT) AS n_cold, CAST(sum(CASE WHEN status = 'superseded' THEN 1 ELSE 0 END) AS BIGINT) AS n_superseded, count(*) AS n_facts FROM {_F}) CROSS JOIN {_USED}",
     "hot_facts": f"SELECT f.id, label FROM {_F} f JOIN {duck_view('scopes')} s ON s.id = f.scope_id WHERE f.status = 'active' AND s.status = 'active'",
     "scope_scan": f"SELECT id, scope_id FROM {_F} WHERE status IN ('active', 'cold') AND (scope_id = 7 OR scope_id IS NULL)",
@@ -207,7 +214,7 @@ ORACLES = {
         SELECT fact_seq, CAST(-1 AS BIGINT) AS ix, 'cross_context' AS pair_type, string_agg(CASE WHEN scope IS NOT NULL THEN '[' || scope || '] ' || query || ' → ' || content END, ' | ' ORDER BY ix, pos) AS input, any_value(content) AS output FROM x GROUP BY fact_seq HAVING count(DISTINCT scope) >= 2
         UNION ALL SELECT fact_seq, ix, 'fact_recall', query, content FROM x UNION ALL SELECT fact_seq, ix, 'task_completion', query, content FROM x WHERE fbs""",
     "chat_export": "SELECT CAST(to_json([{'role': 'system', 'content': 'You are a helpful assistant with long-term memory.'}, {'role': 'user', 'content': text}, {'role': 'assistant', 'content': 'turn ' || turn}]) AS VARCHAR) AS line FROM conversations WHERE role = 'user'",
-    "import_dedup": "WITH x AS (SELECT conv_id * 1000 + turn AS row_seq, trim(left(text, 2)) AS c, role, 'conv/' || (conv_id % 7) AS s FROM conversations), y AS (SELECT * FROM x WHERE c <> '' QUALIFY row_number() OVER (PARTITION BY role, c, s ORDER BY row_seq) = 1) SELECT row_seq, CASE WHEN role = 'user' THEN c ELSE 'Assistant memory from imported session: ' || c END AS content, 'import:' || replace(s, '/', '-') AS scope, 'factual' AS category, 0.45::DOUBLE AS importance FROM y",
+    "import_dedup": "WITH x AS (SELECT conv_id * 1000 + turn AS row_seq, trim(text, E' \\n\\t\\r') AS c, role, 'conv/' || (conv_id % 7) AS s FROM conversations), y AS (SELECT * FROM x WHERE c <> '' QUALIFY row_number() OVER (PARTITION BY role, c, s ORDER BY row_seq) = 1) SELECT row_seq, CASE WHEN role = 'user' THEN c ELSE 'Assistant memory from imported session: ' || c END AS content, 'import:' || replace(s, '/', '-') AS scope, 'factual' AS category, 0.45::DOUBLE AS importance FROM y",
     "tfidf_vectors": f"""WITH d AS (SELECT conv_id * 1000 + turn AS id, {_TOK} AS toks FROM conversations), c AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(toks) AS token FROM d) GROUP BY ALL),
         r AS (SELECT c.id, c.token, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM d) / df) AS w FROM c JOIN (SELECT token, count(*) AS df FROM c GROUP BY 1) USING (token)) SELECT id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 5) AS weight FROM r""",
     "linucb_stats": f"SELECT arm, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(f[i + 1] * CASE WHEN j < 0 THEN reward ELSE f[j + 1] END), 5) AS a FROM {_BR} CROSS JOIN range(3) x(i) CROSS JOIN range(-1, 3) y(j) GROUP BY ALL",

@@ -13,7 +13,7 @@ from . import sql as S
 from .text_queries import _intent, _shape, _terms
 from .views import NOW, duck_view, spark_view, table
 
-N_QUERIES = 8  # a stated query set
+N_QUERIES = 8  # made-up queries of the views that need no text
 _RATE = {"error": 2.0, "signup": 0.7, "purchase": 0.3}
 
 
@@ -28,24 +28,24 @@ def _links(spark, d):
 
 
 def _sims(spark, d):
-    """Similarity of each of the first vectors, as queries, to all vectors, as facts."""
+    """Similarity of each vector whose number 20 divides, as queries, to all vectors, as facts."""
     v = table(spark, d, "embeddings")
-    asked = v.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
-    both = v.crossJoin(F.broadcast(asked))  # N_QUERIES rows
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
+    both = v.crossJoin(asked)
     return both.select("query_id", F.col("vec_id").alias("id"), cosine(F.col("q_embedding"), F.col("embedding")).alias("sim"))
 
 
 def _candidates(spark, d):
     """What scoring needs, a row per (query, fact)."""
     facts = spark_view(spark, d, "rule_facts").select("id", "content", "target")
-    asked = spark_view(spark, d, "queries").where(F.col("query_id") < N_QUERIES)
+    asked = spark_view(spark, d, "asked")
     access = spark_view(spark, d, "access")
     base = R.base_level(access, NOW, _rate()).select(F.col("fact_id").alias("user"), "base")
     links = _links(spark, d)
     sims = _sims(spark, d)
-    x = sims.join(facts, "id").join(F.broadcast(asked), "query_id").withColumn("user", F.col("id") % 100)
+    x = sims.join(facts, "id").join(asked, "query_id").withColumn("user", F.col("id") % 100)
     x = x.join(base, "user").join(R.revival(links, NOW), "id", "left").join(R.hebbian(links, sims), ["query_id", "id"], "left")
-    return x.withColumns({"importance": (F.col("id") % 10) / 10.0, "access_count": F.col("id") % 12, "scope": F.concat(F.lit("s"), (F.col("id") % 3).cast("string")), "query_scope": F.when(F.col("query_id") % 2 == 0, "s1"), "row_seq": F.col("id")})
+    return x.withColumns({"importance": (F.col("id") % 10) / 10.0, "access_count": F.col("id") % 12, "scope": F.concat(F.lit("s"), (F.col("id") % 3).cast("string")), "query_scope": F.when(F.col("query_id") % 40 == 0, "s1"), "row_seq": F.col("id")})
 
 
 def actr_topk(spark, d):
@@ -71,18 +71,18 @@ def score_candidates(spark, d):
 
 def cosine_topk(spark, d):
     v = table(spark, d, "embeddings")
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding")).limit(500)
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
     return R.similar(v.select(F.col("vec_id").alias("id"), "embedding"), asked, 5).select("query_id", "id", "rank", F.round("sim", 5).alias("sim"))
 
 
 def bm25_search(spark, d):
     facts = spark_view(spark, d, "rule_facts").select("id", F.concat_ws(" ", "content", "target").alias("text"), (F.col("id") % 7 != 0).alias("allowed"))
-    return R.bm25(facts, spark_view(spark, d, "queries").where("query_id < 16")).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+    return R.bm25(facts, spark_view(spark, d, "asked")).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
 def _ranked(spark, d):
     """Scores of both signs and keyword scores with ties, from the tables' numbers."""
-    x = spark_view(spark, d, "facts").where("id < 400").crossJoin(F.broadcast(spark.range(N_QUERIES).select(F.col("id").alias("query_id"))))
+    x = spark_view(spark, d, "facts").crossJoin(F.broadcast(spark.range(N_QUERIES).select(F.col("id").alias("query_id"))))
     mixed = (F.col("id") * 37 + F.col("query_id") * 11) % 101
     score = F.when(F.col("query_id") % 2 == 0, mixed / 10.0).otherwise(mixed / 10.0 - 2.0)
     bm25 = F.when(F.col("query_id") == 3, F.when(F.col("id") == 77, 4.0).otherwise(0.0)).otherwise(((F.col("id") * 7 + F.col("query_id") * 13) % 50) / 25.0)
@@ -106,9 +106,9 @@ def dampening(spark, d):
     links = _links(spark, d)
     degree = links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree"))
     p = R.percentile_90(degree.select("degree"))
-    asked = spark_view(spark, d, "queries").where(F.col("query_id") < N_QUERIES)
-    facts = spark_view(spark, d, "rule_facts").where("id < 640").withColumn("type", F.when(F.col("id") % 4 == 0, "C").otherwise("V"))
-    x = facts.crossJoin(F.broadcast(asked)).join(degree, "id", "left").crossJoin(F.broadcast(p))  # a few queries; one row
+    asked = spark_view(spark, d, "asked")
+    facts = spark_view(spark, d, "rule_facts").withColumn("type", F.when(F.col("id") % 4 == 0, "C").otherwise("V"))
+    x = facts.crossJoin(asked).join(degree, "id", "left").crossJoin(F.broadcast(p))  # one row
     x = x.withColumns({"degree": F.coalesce("degree", F.lit(0)), "category": T.category(F.col("content")), "score": ((F.col("id") * 37 + F.col("query_id") * 11) % 101) / 10.0 - 1.0, "bm25": (F.col("id") % 30) / 20.0, "spreading": (F.col("id") % 20) / 100.0})
     return R.dampen(x).select("query_id", "id", F.round("dampened", 8).alias("dampened"))
 
@@ -143,7 +143,7 @@ def session_rewards(spark, d):
 
 def retrieval_exposure(spark, d):
     """Every candidate of every query counts as retrieved once more; unseen ones start from nothing."""
-    old = spark_view(spark, d, "facts").where("id % 3 = 0").select("id", F.col("access_count").cast("long").alias("n"))
+    old = spark_view(spark, d, "facts").select("id", F.col("access_count").cast("long").alias("n"))
     new = _sims(spark, d).select("id", F.lit(1).cast("long").alias("n"))
     return old.union(new).groupBy("id").agg(F.sum("n").alias("n_retrieved"))
 
@@ -152,7 +152,7 @@ def full_recall(spark, d):
     """Scoring, keyword fusion, dampening and bias correction for the query set; the best eight of each."""
     x = R.components(_candidates(spark, d))
     facts = spark_view(spark, d, "rule_facts").select("id", F.concat_ws(" ", "content", "target").alias("text"), F.lit(True).alias("allowed"))
-    kw = R.bm25(facts, spark_view(spark, d, "queries").where(F.col("query_id") < N_QUERIES))
+    kw = R.bm25(facts, spark_view(spark, d, "asked"))
     x = x.join(kw, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).withColumn("score", F.round("score", 6)).withColumn("bm25", F.round("bm25", 6))
     x = R.strong_match(R.fuse(x)).withColumn("score", F.round("final", 10))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -162,18 +162,18 @@ def full_recall(spark, d):
 
 QUERIES = {f.__name__: f for f in (actr_topk, revival_spike, importance_saturation, score_candidates, cosine_topk, bm25_search, rrf_fusion, q_rerank, dampening, hub_degree, ips, mmr, reward_ema, session_rewards, retrieval_exposure, full_recall)}
 
-_ACCESS, _FACTS, _RULES, _ASKED = (duck_view(v) for v in ("access", "facts", "rule_facts", "queries"))
+_ACCESS, _FACTS, _RULES, _ASKED = (duck_view(v) for v in ("access", "facts", "rule_facts", "asked"))
 _BASE = f"SELECT fact_id, ln(sum(pow(CASE WHEN {NOW} - seen_at > 0 THEN {NOW} - seen_at ELSE 0.001 END, -0.3 * {S.lookup('event_type', _RATE, 1.0)}))) AS base FROM {_ACCESS} GROUP BY fact_id"
 _LINKS = f"(SELECT source_id, target_id, co, least(co * 0.2, 1.0)::DOUBLE AS strength, {NOW} - ((source_id + target_id) % 40) * 43200.0::DOUBLE AS last_updated FROM {duck_view('pairs')})"
 _SPIKE = f"SELECT id, 0.2 * exp(-0.2 * ({NOW} - newest) / 86400.0) AS spike FROM (SELECT id, max(last_updated) AS newest FROM (SELECT source_id AS id, last_updated FROM {_LINKS} UNION ALL SELECT target_id, last_updated FROM {_LINKS}) GROUP BY id) WHERE ({NOW} - newest) / 86400.0 <= 14"
-_SIM = f"SELECT a.vec_id AS query_id, b.vec_id AS id, {S.cosine('a.embedding', 'b.embedding')} AS sim FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {N_QUERIES}"
+_SIM = f"SELECT a.vec_id AS query_id, b.vec_id AS id, {S.cosine('a.embedding', 'b.embedding')} AS sim FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0"
 _EFF = "CASE WHEN access_count > 5 THEN imp * (1 - 0.5 * exp(-access_count / 20.0)) ELSE imp END"
 _ADV = f"least({S.weigh([(S.hit('lower(content)', p), 0.6) for p in P.ADVERSARIAL_STRONG] + [(S.hit('lower(content)', p), 0.25) for p in P.ADVERSARIAL_MEDIUM])}, 1.0)"
 _BOOST = "least(0.45, 0.18 * len(list_filter(qt, lambda a: len(list_filter(tt, lambda b: a = b OR (length(a) >= 4 AND (starts_with(b, a) OR starts_with(a, b))))) > 0)))"
 _SCORED = f"""base AS ({_BASE}), spike AS ({_SPIKE}), sims AS ({_SIM}),
     heb AS (SELECT s.query_id, l.source_id AS id, least(sum(l.strength * s.sim), 1.0) AS heb FROM {_LINKS} l JOIN sims s ON s.id = l.target_id GROUP BY ALL),
     cand AS (SELECT s.query_id, s.id, q.query, f.content, f.target, s.sim, base.base, coalesce(spike.spike, 0) AS spike, coalesce(heb.heb, 0) AS heb, (s.id % 10) / 10.0::DOUBLE AS imp, s.id % 12 AS access_count,
-        's' || (s.id % 3) AS scope, CASE WHEN s.query_id % 2 = 0 THEN 's1' END AS query_scope, {_terms('q.query')} AS qt, {_terms('f.target')} AS tt
+        's' || (s.id % 3) AS scope, CASE WHEN s.query_id % 40 = 0 THEN 's1' END AS query_scope, {_terms('q.query')} AS qt, {_terms('f.target')} AS tt
         FROM sims s JOIN {_RULES} f ON f.id = s.id JOIN {_ASKED} q ON q.query_id = s.query_id JOIN base ON base.fact_id = s.id % 100 LEFT JOIN spike ON spike.id = s.id LEFT JOIN heb ON heb.id = s.id AND heb.query_id = s.query_id),
     parts AS (SELECT query_id, id, query, content, target, access_count, base AS base_level, spike AS revival_spike, 0.5 * sim + heb AS spreading,
         0.7 * ({_EFF}) * 1.5 + 0.7 * ({_EFF}) * sim * (2.0 + greatest(abs(base), 1.0)) AS importance_boost, CASE WHEN query_scope IS NOT NULL AND starts_with(scope, query_scope) THEN 1.5 * (0.5 + 0.5 * sim) ELSE 0.0 END AS scope_boost,
@@ -182,10 +182,10 @@ _SCORED = f"""base AS ({_BASE}), spike AS ({_SPIKE}), sims AS ({_SIM}),
 _PARTS = ["base_level", "revival_spike", "spreading", "importance_boost", "scope_boost", "adversarial_penalty", "target_match_boost", "answer_shape_boost", "score"]
 
 
-def _bm25(allowed: str, queries: str, name: str = "kw") -> str:
+def _bm25(allowed: str, name: str = "kw") -> str:
     return f"""docs AS (SELECT id, {allowed} AS allowed, regexp_extract_all(lower(content || ' ' || target), '[\\p{{L}}\\p{{N}}]+') AS toks FROM {_RULES}),
     stats AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM docs), post AS (SELECT token, id, count(*) AS tf FROM (SELECT id, unnest(toks) AS token FROM docs) GROUP BY ALL),
-    asked AS (SELECT query_id, unnest({_terms('query')}) AS term FROM {_ASKED} WHERE {queries}),
+    asked AS (SELECT query_id, unnest({_terms('query')}) AS term FROM {_ASKED}),
     hits AS (SELECT query_id, term, id, sum(tf) AS f FROM asked JOIN post ON starts_with(token, term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS n FROM hits GROUP BY ALL),
     b AS (SELECT h.query_id, h.id, sum(CASE WHEN ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(toks) / avg_len))) AS bm25
         FROM hits h JOIN df USING (query_id, term) JOIN docs USING (id) CROSS JOIN stats WHERE allowed GROUP BY ALL),
@@ -193,7 +193,7 @@ def _bm25(allowed: str, queries: str, name: str = "kw") -> str:
 
 
 _RANKED = f"""ranked AS (SELECT f.*, query_id, CASE WHEN query_id % 2 = 0 THEN ((id * 37 + query_id * 11) % 101) / 10.0 ELSE ((id * 37 + query_id * 11) % 101) / 10.0 - 2.0 END::DOUBLE AS score,
-    CASE WHEN query_id = 3 THEN CASE WHEN id = 77 THEN 4.0 ELSE 0.0 END ELSE ((id * 7 + query_id * 13) % 50) / 25.0 END::DOUBLE AS bm25, (id + query_id) % 9 AS n_retrieved, ((id * 3) % 10) / 10.0::DOUBLE AS q FROM {_FACTS} f CROSS JOIN range({N_QUERIES}) r(query_id) WHERE id < 400)"""
+    CASE WHEN query_id = 3 THEN CASE WHEN id = 77 THEN 4.0 ELSE 0.0 END ELSE ((id * 7 + query_id * 13) % 50) / 25.0 END::DOUBLE AS bm25, (id + query_id) % 9 AS n_retrieved, ((id * 3) % 10) / 10.0::DOUBLE AS q FROM {_FACTS} f CROSS JOIN range({N_QUERIES}) r(query_id))"""
 
 
 def _fused(source: str) -> str:
@@ -215,7 +215,7 @@ ORACLES = {
     "importance_saturation": f"WITH x AS (SELECT id, coalesce(CAST(importance AS DOUBLE), 0.5) AS imp, access_count FROM {_FACTS}), y AS (SELECT id, {_EFF} AS eff FROM x) SELECT id, round(eff, 6) AS effective, round(0.7 * eff * 1.5 + 0.7 * eff * 0.4 * 4.5, 6) AS boost FROM y",
     "score_candidates": f"WITH {_SCORED} SELECT query_id, id, " + ", ".join(f"round({n}, 5) AS {n}" for n in _PARTS) + " FROM scored",
     "cosine_topk": f"WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {S.cosine('a.embedding', 'b.embedding')} AS sim FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INT) AS rank FROM x) SELECT query_id, id, rank, round(sim, 5) AS sim FROM y WHERE rank <= 5",
-    "bm25_search": f"WITH {_bm25('id % 7 <> 0', 'query_id < 16')} SELECT query_id, id, round(bm25, 6) AS bm25 FROM kw",
+    "bm25_search": f"WITH {_bm25('id % 7 <> 0')} SELECT query_id, id, round(bm25, 6) AS bm25 FROM kw",
     "rrf_fusion": f"""WITH {_RANKED}, {_fused('ranked')}, w AS (SELECT query_id, max(bm25) > 0.15 OR (max(bm25) > 0 AND bool_or(type <> 'V') AND abs(max(CASE WHEN rn = 1 THEN score END) - max(CASE WHEN rn = 2 THEN score END)) < 0.5) AS fuse
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rn FROM ranked) GROUP BY query_id)
         SELECT query_id, id, fuse, CAST(r_act AS INT) AS r_act, CAST(r_kw AS INT) AS r_kw, round(rrf, 8) AS rrf, round(final, 8) AS final FROM fused JOIN w USING (query_id)""",
@@ -226,7 +226,7 @@ ORACLES = {
     "dampening": f"""WITH c AS (SELECT f.id, query_id, {_terms('query')} AS qt, list_distinct(list_concat({_terms('content')}, CASE WHEN target <> 'general' THEN {_terms('target')} ELSE [] END)) AS tt, CASE WHEN f.id % 4 = 0 THEN 'C' ELSE 'V' END AS type,
             {S.ladder([(S.any_of('content', p), n) for n, p in P.CATEGORIES], 'factual')} AS category, {_intent('query')} AS kind, coalesce(degree, 0) AS degree, p90, max_degree,
             ((f.id * 37 + query_id * 11) % 101) / 10.0::DOUBLE - 1.0 AS score, (f.id % 30) / 20.0::DOUBLE AS bm25, (f.id % 20) / 100.0::DOUBLE AS spreading
-            FROM {_RULES} f CROSS JOIN {_ASKED} LEFT JOIN {_DEGREES} g ON g.id = f.id CROSS JOIN {_P90} WHERE f.id < 640 AND query_id < {N_QUERIES}),
+            FROM {_RULES} f CROSS JOIN {_ASKED} LEFT JOIN {_DEGREES} g ON g.id = f.id CROSS JOIN {_P90}),
         x AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, len(list_filter(qt, lambda a: len(list_filter(tt, lambda b: a = b OR (length(a) >= 4 AND (starts_with(b, a) OR starts_with(a, b))))) > 0)) > 0 AS met FROM c)
         SELECT query_id, id, round(score * CASE WHEN top > 0 AND score > 0.3 * top AND len(qt) > 0 AND NOT met THEN 0.6 ELSE 1.0 END
             * CASE WHEN degree > p90 AND NOT (bm25 > 1.0 OR spreading > 0.15) THEN greatest(0.2, 1.0 - 0.3 * (degree - p90) / greatest(max_degree - p90, 1)) ELSE 1.0 END
@@ -242,8 +242,8 @@ ORACLES = {
         r AS (SELECT id, row_number() OVER (PARTITION BY session, id ORDER BY seen_at, row_seq) AS n FROM (SELECT session, seen_at, row_seq, unnest(ids) AS id FROM x WHERE kind = 'recall')),
         u AS (SELECT id, 0.4::DOUBLE AS reward FROM r WHERE n > 1 UNION ALL SELECT unnest(li), 0.5 FROM y WHERE kind = 'store' AND seen_at - la <= 86400)
         SELECT id, round(sum(reward), 6) AS reward, count(*) AS n FROM u GROUP BY id""",
-    "retrieval_exposure": f"SELECT id, CAST(sum(n) AS BIGINT) AS n_retrieved FROM (SELECT id, access_count AS n FROM {_FACTS} WHERE id % 3 = 0 UNION ALL SELECT b.vec_id, 1 FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {N_QUERIES}) GROUP BY id",
-    "full_recall": f"""WITH {_SCORED}, {_bm25('true', f'query_id < {N_QUERIES}')}, j AS (SELECT s.query_id, s.id, s.access_count, round(s.score, 6) AS score, round(coalesce(kw.bm25, 0), 6) AS bm25 FROM scored s LEFT JOIN kw ON kw.query_id = s.query_id AND kw.id = s.id),
+    "retrieval_exposure": f"SELECT id, CAST(sum(n) AS BIGINT) AS n_retrieved FROM (SELECT id, access_count AS n FROM {_FACTS} UNION ALL SELECT b.vec_id, 1 FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0) GROUP BY id",
+    "full_recall": f"""WITH {_SCORED}, {_bm25('true')}, j AS (SELECT s.query_id, s.id, s.access_count, round(s.score, 6) AS score, round(coalesce(kw.bm25, 0), 6) AS bm25 FROM scored s LEFT JOIN kw ON kw.query_id = s.query_id AND kw.id = s.id),
         {_fused('j')}, fin AS (SELECT query_id, id, access_count, round(final, 10) AS score FROM fused), x AS ({_BIAS} FROM fin WINDOW w AS (PARTITION BY query_id)),
         y AS (SELECT query_id, id, round(CASE WHEN enough THEN score + {_STEP} ELSE score END, 8) AS score FROM x), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM y) SELECT query_id, id, rank, round(score, 6) AS score FROM z WHERE rank <= 8""",
 }

@@ -97,7 +97,7 @@ def _streamed(spark, frame: DataFrame, parts: int = 3) -> DataFrame:
 
 def stream_promote(spark, d):
     """User statements observed in a stream and promoted batch by batch: statuses at the end."""
-    stream = _streamed(spark, user_events(_rows(spark, d).where("event_id < 2000")))
+    stream = _streamed(spark, user_events(_rows(spark, d)))
     facts = O.user_statements(stream)
     store = SP.PendingStore(spark, f"{tempfile.mkdtemp(prefix='factloom-pending-') if spark.sparkContext.master.startswith('local[') else spark.conf.get('spark.checkpoint.dir')}/pending-{spark.sparkContext.applicationId}")
     SP.promote_stream(facts, store, NOW).awaitTermination()
@@ -106,7 +106,7 @@ def stream_promote(spark, d):
 
 def stream_session_ttl(spark, d):
     """The sessions of a stream, in memory, once its watermark has passed them."""
-    x = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("at")).where("session_id < 20")
+    x = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("at"))
     name = f"quiet_{id(x)}"
     out = SP.quiet_sessions(_streamed(spark, x, 1), "6 hours", "1 hour").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
     out.awaitTermination()

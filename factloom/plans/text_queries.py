@@ -42,9 +42,8 @@ def adversarial(spark, d):
 
 
 def answer_shape(spark, d):
-    facts = spark_view(spark, d, "rule_facts").where("id < 64")  # one of each shape: the view's pattern has period 32
-    asked = spark_view(spark, d, "queries").where("query_id < 16")
-    both = facts.join(F.broadcast(asked))  # 16 queries
+    """All facts under the questions of the query set."""
+    both = spark_view(spark, d, "rule_facts").crossJoin(spark_view(spark, d, "asked"))
     return both.select("id", "query_id", F.round(T.answer_shape(F.col("query"), F.col("content")), 6).alias("shape"), F.round(T.target_boost(T.terms(F.col("query")), T.terms(F.col("content"))), 6).alias("boost"))
 
 
@@ -186,7 +185,7 @@ ORACLES = {
     "category_importance": f"WITH x AS (SELECT *, {_CATEGORY} AS category, len({S.words('content')}) AS n_words FROM {_RULES}) SELECT id, category, round(least(greatest(CAST({_IMPORTANCE} AS DOUBLE), 0.1), 1.0), 6) AS importance FROM x",
     "intent": f"WITH x AS (SELECT query_id, {_intent('query')} AS intent FROM {duck_view('queries')}) SELECT query_id, intent, {S.lookup('intent', {n: c for n, c, _ in P.INTENTS}, 0)} AS confidence, CASE intent WHEN 'value' THEN 'V' WHEN 'constraint' THEN 'C' WHEN 'decision' THEN 'D' END AS type_boost, {S.lookup('intent', P.INTENT_Q_SHIFT, 0)} AS q_shift FROM x",
     "adversarial": f"SELECT id, round(least({S.weigh([(S.hit('lower(content)', p), 0.6) for p in P.ADVERSARIAL_STRONG] + [(S.hit('lower(content)', p), 0.25) for p in P.ADVERSARIAL_MEDIUM])}, 1.0), 6) AS score FROM {_RULES}",
-    "answer_shape": f"""WITH x AS (SELECT id, query_id, query, content, {_terms('query')} AS qt, {_terms('content')} AS tt FROM {_RULES} CROSS JOIN {duck_view('queries')} WHERE id < 64 AND query_id < 16)
+    "answer_shape": f"""WITH x AS (SELECT id, query_id, query, content, {_terms('query')} AS qt, {_terms('content')} AS tt FROM {_RULES} CROSS JOIN {duck_view('asked')})
         SELECT id, query_id, round({_shape()}, 6) AS shape, round(least(0.45, 0.18 * len(list_filter(qt, lambda a: len(list_filter(tt, lambda b: a = b OR (length(a) >= 4 AND (starts_with(b, a) OR starts_with(a, b))))) > 0))), 6)::DOUBLE AS boost FROM x""",
     "update_signal": f"SELECT id, {S.any_of('lower(content)', P.UPDATE_SIGNALS)} AS updates FROM {_RULES}",
     "key_terms": f"SELECT id, array_to_string({_key_terms('content')}, '|') AS terms, array_to_string({_domain('content')}, '|') AS domain_words FROM {_RULES}",

@@ -7,6 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+def _questions(key: str, name: str) -> str:
+    return f"""
+        SELECT {name} AS query_id, CASE CAST({key} + floor({key} / 20) AS BIGINT) % 16
+            WHEN 0 THEN 'what is the port of the api?' WHEN 1 THEN 'why did we choose PostgreSQL?' WHEN 2 THEN 'how do I install pkg?'
+            WHEN 3 THEN 'when was the migration?' WHEN 4 THEN 'what is a vector' WHEN 5 THEN 'which policy applies' WHEN 6 THEN 'who owns the process'
+            WHEN 7 THEN 'why builds broke' WHEN 8 THEN 'what version of the database' WHEN 9 THEN 'must the queue be empty?' WHEN 10 THEN 'steps for deploy'
+            WHEN 11 THEN 'list widgets' WHEN 12 THEN 'db auth payload' WHEN 13 THEN 'explain the gateway timeout' WHEN 14 THEN 'how long is retention' ELSE 'widget ring' END AS query"""
+
+
 VIEWS = {
     # sentences on which each rule fires and does not fire
     "rule_facts": """
@@ -44,13 +54,10 @@ VIEWS = {
             WHEN 30 THEN concat('GPU tier for ', p_name, ' has ', p_size, ' GB')
             ELSE concat(p_name, ' ', p_type) END AS content
         FROM {part}""",
-    "queries": """
-        SELECT s_suppkey AS query_id, CASE s_suppkey % 16
-            WHEN 0 THEN 'what is the port of the api?' WHEN 1 THEN 'why did we choose PostgreSQL?' WHEN 2 THEN 'how do I install pkg?'
-            WHEN 3 THEN 'when was the migration?' WHEN 4 THEN 'what is a vector' WHEN 5 THEN 'which policy applies' WHEN 6 THEN 'who owns the process'
-            WHEN 7 THEN 'why builds broke' WHEN 8 THEN 'what version of the database' WHEN 9 THEN 'must the queue be empty?' WHEN 10 THEN 'steps for deploy'
-            WHEN 11 THEN 'list widgets' WHEN 12 THEN 'db auth payload' WHEN 13 THEN 'explain the gateway timeout' WHEN 14 THEN 'how long is retention' ELSE 'widget ring' END AS query
-        FROM {supplier}""",
+    # a question for every supplier
+    "queries": _questions("s_suppkey", "s_suppkey") + " FROM {supplier}",
+    # the query set of searches: questions for every vector whose number 20 divides
+    "asked": _questions("vec_id", "vec_id") + " FROM {embeddings} WHERE vec_id % 20 = 0",
     "typed_facts": """
         SELECT p_partkey AS id, concat(CASE p_partkey % 8 WHEN 0 THEN 'C[part.' WHEN 1 THEN 'D[part.' WHEN 2 THEN 'V[part.' WHEN 3 THEN '?[part.' WHEN 4 THEN '✓[part.' WHEN 5 THEN '~[part.' WHEN 6 THEN 'X[part.' ELSE '  V[ part.' END,
             p_partkey % 50, CASE p_partkey % 8 WHEN 6 THEN ' broken' ELSE ']: ' END, CASE p_partkey % 3 WHEN 0 THEN 'size must be ' WHEN 1 THEN 'size is ' ELSE '  price near ' END, p_size, '  ') AS raw, p_brand AS scope

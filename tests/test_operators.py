@@ -108,6 +108,15 @@ def test_articulation_points_in_frames(spark):
     assert {r["id"] for r in graph.articulation_points(e).collect()} == {3, 4}
 
 
+def test_similar_sets_against_all_pairs(spark):
+    random.seed(9)
+    sets = [(i, random.sample("abcdefghijkl", random.randint(0, 9))) for i in range(80)] + [(90 + i, list("abcde")) for i in range(5)]
+    for limit in (0.4, 0.8, 1.0):
+        want = {(a, b) for a, x in sets for b, y in sets if a > b and x and y and len(set(x) & set(y)) >= limit * len(set(x) | set(y)) - 1e-12}
+        got = {(r["a"], r["b"]) for r in graph.similar_sets(spark.createDataFrame(sets, "id int, tokens array<string>"), limit).collect()}
+        assert got == want
+
+
 def test_npmi_bounds(spark):
     rows = [(a / 10, b / 10, c / 10) for a, b, c in itertools.product(range(0, 11), repeat=3) if a <= b and a <= c]
     got = spark.createDataFrame(rows, "ab double, a double, b double").select(graph.npmi(F.col("ab"), F.col("a"), F.col("b")).alias("v")).collect()
@@ -186,7 +195,7 @@ def test_stream_equals_batch(spark, sf_dir):
     from factloom.plans.views import NOW
 
     got = {(r["status"], r["type"]): r["n"] for r in q.stream_promote(spark, sf_dir).collect()}
-    facts = O.user_statements(q.user_events(q._rows(spark, sf_dir).where("event_id < 2000")))
+    facts = O.user_statements(q.user_events(q._rows(spark, sf_dir)))
     batch = promotion.promote(promoter.pending_of(facts).dropDuplicates(["id"]), NOW)
     assert sum(got.values()) == batch.count()
 
