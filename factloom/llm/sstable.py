@@ -15,7 +15,7 @@ large), sorted, encoded and written by the tasks into the shared folder under na
 succeeded enter the manifest. A shard is closed at ``shard_bytes``.
 
 Encoding: the vocabulary's pattern never matches across a space or a line break between two other characters that are not white
-space, so pieces of text that begin at one are encoded apart by the library and remembered (about ``_MEMO`` of them in a
+space, so pieces of text that begin at one are encoded apart by the library and remembered (about twice ``_MEMO`` of them in a
 process). A text with longer runs of white space, or other kinds of it, goes through the library whole.
 
 Defined results: a null text is empty and still gets the end id; null ids sort first; repeated ids stay, in
@@ -28,11 +28,13 @@ import functools
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -46,11 +48,11 @@ MAGIC = b"FLSST001"
 _FOOTER = struct.Struct("<8Q8s")
 _INDEX = struct.Struct("<9sQIIIQ")
 _ENTRY = struct.Struct("<BBI")
-BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 256 << 10, 128 << 20, 10, 7
-_MEMO = 1_250_000
+BLOCK_BYTES, SHARD_BYTES, CHUNK_BYTES, BLOOM_BITS, BLOOM_HASHES = 256 << 10, 128 << 20, 6 << 20, 10, 7
+_MEMO = 300_000
 _MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long"
-_MARKS, _LINES = b".,;:!?", 48
-_OTHER_SPACE = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+_MARKS, _LINES = b".,;:!?", 16
+_OTHER_SPACE = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\0"]
 _FAR_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 
 
@@ -191,6 +193,12 @@ def open_path(path: str, write: bool = False):
     return system.open_input_file(at)
 
 
+def byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself where it prints, else the next one from U+0100."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(prints))}
+
+
 class ByteEncoder:
     def __init__(self, path: str) -> None:
         env_single_thread()
@@ -200,17 +208,33 @@ class ByteEncoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.chars = byte_chars()
         self.line_break = self._whole(b"\n")[0]
         self.width = 2 if max(self.t.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
 
     def _learn(self, units: set[bytes]) -> None:
-        """Encode new units, as lines of short texts: a line break before a space or a letter is a piece of its own. A mark at the end of a letter or
-        digit is always a piece of its own, too."""
-        memo = self.memo
+        """Encode new units. A mark at the end of a letter or digit is always a piece of its own, and so is a run of letters with the space before it: the
+        library's model takes such a run as it is; other units go through the whole library, as lines of short texts."""
+        memo, old, tokenize, chars, space = self.memo, self.old, self.t.model.tokenize, self.chars, self.chars[32]
         ended = [u for u in units if u[-1] in _MARKS and u[-2:-1].isalnum()]
-        plain = list(units.difference(ended) | ({u[:-1] for u in ended} | {u[-1:] for u in ended}).difference(memo))
-        for i in range(0, len(plain), _LINES):
-            some = plain[i : i + _LINES]
+        other = []
+        for u in units.difference(ended) | ({u[:-1] for u in ended} | {u[-1:] for u in ended}).difference(memo):
+            known = old.get(u)
+            if known is not None:
+                memo[u] = known
+                continue
+            word = u[1:] if u[0] == 32 else u
+            if word.isalpha():  # ASCII letters
+                memo[u] = array("I", [x.id for x in tokenize((space if u[0] == 32 else "") + word.decode())]).tobytes()
+                continue
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0250":
+                memo[u] = array("I", [x.id for x in tokenize(u.decode("latin-1").translate(chars))]).tobytes()
+            else:
+                other.append(u)
+        for i in range(0, len(other), _LINES):
+            some = other[i : i + _LINES]
             ids = np.array(self._whole(b"\n".join(some)), "<u4")
             cuts = np.flatnonzero(ids == self.line_break)
             if len(cuts) != len(some) - 1:  # a line break among the units themselves
@@ -225,30 +249,29 @@ class ByteEncoder:
         return self.t.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of texts; a first unit is told from others by the space before it."""
+        """Ids of texts. Units are cut and numbered by Arrow, so that only the distinct ones of a batch become Python objects."""
         if len(self.memo) > _MEMO:
-            self.memo.clear()
+            self.old, self.memo = self.memo, {}  # units that are still in use come back from the older half
         self.memo[b""] = b""
-        get, rows, missing = self.memo.get, [], set()
-        for t in texts:
-            if any(x in t for x in _OTHER_SPACE) or (not t.isascii() and any(x in t for x in _FAR_SPACE)) or t[:1] == b" " or t[-1:] == b" " or b"\0" in t:
-                rows.append((t, None))
-                continue
-            units = t.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
-            got = list(map(get, units))
-            if None in got:
-                missing.update(u for u, v in zip(units, got) if v is None)
-            rows.append((units, got))
-        self._learn(missing)
-        out = []
-        for units, got in rows:
-            if got is None:
-                out.append(np.array(self._whole(units), "<u4"))
-            else:
-                if None in got:
-                    got = [get(u) if v is None else v for u, v in zip(units, got)]
-                out.append(np.frombuffer(b"".join(got), "<u4"))
-        return out
+        odd = [any(x in t for x in _OTHER_SPACE) or (not t.isascii() and any(x in t for x in _FAR_SPACE)) or t[:1] == b" " or t[-1:] == b" " for t in texts]
+        whole = {i: np.array(self._whole(texts[i]), "<u4") for i, o in enumerate(odd) if o}
+        plain = pa.array([t for t, o in zip(texts, odd) if not o], pa.large_binary())
+        marked = pc.replace_substring(pc.replace_substring(plain, b"\n", b"\0\n\0"), b" ", b"\0 ")
+        lists = pc.split_pattern(marked, b"\0")
+        coded = lists.flatten().dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        get = self.memo.get
+        self._learn({u for u in units if get(u) is None})
+        values = [self.memo[u] for u in units]
+        lens = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat = np.frombuffer(b"".join(values), "<u4")
+        at = coded.indices.to_numpy()
+        n = lens[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(lens) - lens)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(plain) else ends[:1]
+        parts = iter(zip(cuts.tolist(), cuts[1:].tolist()))
+        return [whole[i] if o else ids[slice(*next(parts))] for i, o in enumerate(odd)]
 
 
 @functools.lru_cache(1)
@@ -272,14 +295,13 @@ def write_shards(docs: DataFrame, out_path: str, tokenizer_path: str | None = No
             writer = None
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             lo = 0
-            while lo < len(ids):
-                hi, size = lo, 0
-                while hi < len(ids) and size < 4 << 20:
-                    size += len(texts[hi] or b"")
-                    hi += 1
-                for doc_id, got in zip(ids[lo:hi], encoder.encode([t or b"" for t in texts[lo:hi]])):
+            while lo < len(ids):  # about CHUNK_BYTES at a time, so that a batch of long texts stays small
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), CHUNK_BYTES)))
+                texts = as_bytes(batch.column(1).slice(lo, hi - lo))
+                for doc_id, got in zip(ids[lo:hi], encoder.encode([t or b"" for t in texts])):
                     if writer is None:
                         name = f"{out_path}/shard-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.sst"
                         writer = ShardWriter(open_path(name, write=True), encoder.width)
