@@ -1,7 +1,7 @@
 """Links between facts: making, strengthening, normalising and exploring them.
 
-Links are directed rows (source_id, target_id, ...). Set overlaps are found by joining on shared tokens, never by comparing all
-facts; tokens that many facts share are cut by ``max_df``, a stated parameter that is off (None) unless given.
+Links are directed rows (source_id, target_id, ...). Set overlaps are found by joining on shared rare tokens, never by comparing all
+facts.
 """
 
 from __future__ import annotations
@@ -12,51 +12,49 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
 from ..shipping import ship
+from .nearest import nearest
 
 
-def overlaps(tokens: DataFrame, recent: int | None = None) -> DataFrame:
-    """(a, b, shared, n_a, n_b) for facts a > b (by row_seq) that share tokens; with ``recent`` only the latest of a's predecessors count.
+def overlaps(tokens: DataFrame, recent: int) -> DataFrame:
+    """(a, b, shared, n_a, n_b) for facts a > b (by row_seq) that share tokens, b among the ``recent`` numbers before a.
 
-    ``tokens`` has (id, row_seq, tokens). Only pairs that share a token are ever made.
+    ``tokens`` has (id, row_seq, tokens). Predecessors lie in a's own bucket of numbers or the one before, so rows meet by (token, bucket).
     """
     long = tokens.select("id", "row_seq", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    a = long.select(F.col("id").alias("a"), F.col("row_seq").alias("sa"), F.col("n").alias("n_a"), "token")
-    b = long.select(F.col("id").alias("b"), F.col("row_seq").alias("sb"), F.col("n").alias("n_b"), "token")
-    near = F.col("sb") < F.col("sa")
-    if recent is not None:
-        bucket = F.floor(F.col("row_seq") / recent)  # predecessors lie in the own or the next lower bucket
-        a = long.select(F.col("id").alias("a"), F.col("row_seq").alias("sa"), F.col("n").alias("n_a"), "token", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
-        b = long.select(F.col("id").alias("b"), F.col("row_seq").alias("sb"), F.col("n").alias("n_b"), "token", bucket.alias("bucket"))
-        both = a.join(b, ["token", "bucket"]).where(near & (F.col("sa") - F.col("sb") <= recent))
-    else:
-        both = a.join(b, "token").where(near)
+    bucket = F.floor(F.col("row_seq") / recent)
+    a = long.select(F.col("id").alias("a"), F.col("row_seq").alias("sa"), F.col("n").alias("n_a"), "token", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    b = long.select(F.col("id").alias("b"), F.col("row_seq").alias("sb"), F.col("n").alias("n_b"), "token", bucket.alias("bucket"))
+    both = a.join(b, ["token", "bucket"]).where((F.col("sb") < F.col("sa")) & (F.col("sa") - F.col("sb") <= recent))
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
-def similar_sets(tokens: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of all pairs a > b of (id, tokens) whose sets have a Jaccard similarity of ``threshold`` or more. Exact.
+def similar_sets(tokens: DataFrame, threshold: float, measure: str = "jaccard") -> DataFrame:
+    """(a, b, sim) of all pairs a > b of (id, tokens) whose sets have a similarity of ``threshold`` or more. Exact.
 
-    Sets that similar share one of their rarest tokens: a set of n keeps its n - ceil(threshold * n) + 1 rarest, pairs that meet there are
-    verified. Equal sets are one set while pairs are sought, so many copies cost no pairs until the end.
+    ``measure`` is "jaccard" or "cosine" (shared over the geometric mean of the sizes). Sets that similar share one of their rarest tokens: a
+    set of n keeps its n - ceil(least share * n) + 1 rarest, and pairs that meet there are verified. Equal sets are one set while pairs are
+    sought, so many copies cost no pairs until the end.
     """
+    least = threshold if measure == "jaccard" else threshold**2
     sets = tokens.select("id", F.array_sort(F.array_distinct("tokens")).alias("s")).where(F.size("s") > 0)
     kinds = sets.select("s").distinct().withColumn("k", F.xxhash64("s"))
     long = kinds.select("k", F.explode("s").alias("token"))
     ranked = long.join(long.groupBy("token").agg(F.count("*").alias("df")), "token")
     ordered = ranked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    keep = (F.size("o") - F.ceil(F.size("o") * threshold - 1e-9) + 1).cast("int")
+    keep = (F.size("o") - F.ceil(F.size("o") * least - 1e-9) + 1).cast("int")
     front = ordered.select("k", F.explode(F.slice("o", F.lit(1), keep)).alias("t")).select("k", F.col("t.token").alias("token"))
     met = front.join(front.select(F.col("k").alias("k2"), "token"), "token").where("k < k2").select("k", "k2").distinct()
     other = kinds.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
-    both = met.join(kinds, "k").join(other, "k2").where((F.size("s") >= F.size("s2") * threshold - 1e-9) & (F.size("s2") >= F.size("s") * threshold - 1e-9))
+    m, n = F.size("s"), F.size("s2")
+    both = met.join(kinds, "k").join(other, "k2").where((m >= n * least - 1e-9) & (n >= m * least - 1e-9))
     shared = F.size(F.array_intersect("s", "s2"))
-    near = both.select("k", "k2", (shared / (F.size("s") + F.size("s2") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    near = near.union(near.select("k2", "k", "jaccard")).union(kinds.select("k", "k", F.lit(1.0)))
+    sim = shared / (m + n - shared) if measure == "jaccard" else shared / F.sqrt(m.cast("double") * n)
+    near = both.select("k", "k2", sim.alias("sim")).where(F.col("sim") >= threshold)
+    near = near.union(near.select("k2", "k", "sim")).union(kinds.select("k", "k", F.lit(1.0)))
     member = sets.select("id", F.xxhash64("s").alias("k"))
     a, b = member.select(F.col("id").alias("a"), "k"), member.select(F.col("id").alias("b"), F.col("k").alias("k2"))
-    return a.join(near, "k").join(b, "k2").where("a > b").select("a", "b", "jaccard")
+    return a.join(near, "k").join(b, "k2").where("a > b").select("a", "b", "sim")
 
 
 def keyword_links(tokens: DataFrame, recent: int = 50) -> DataFrame:
@@ -65,10 +63,10 @@ def keyword_links(tokens: DataFrame, recent: int = 50) -> DataFrame:
     return overlaps(tokens, recent).where((F.col("shared") >= 3) & (j >= 0.15)).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), (0.3 * j).alias("strength"))
 
 
-def coupling_links(tokens: DataFrame) -> DataFrame:
-    """Links of facts whose shared words over the geometric mean of their numbers exceed 0.3."""
-    c = F.col("shared") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))
-    return overlaps(tokens).where(c > 0.3).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), (0.5 * c).alias("strength"))
+def coupling_links(tokens: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Links of facts whose shared words over the geometric mean of their numbers exceed the threshold."""
+    x = similar_sets(tokens, threshold, "cosine").where(F.col("sim") > threshold)
+    return x.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), (0.5 * F.col("sim")).alias("strength"))
 
 
 def temporal_links(facts: DataFrame, k: int = 4) -> DataFrame:
@@ -81,11 +79,9 @@ def temporal_links(facts: DataFrame, k: int = 4) -> DataFrame:
 
 
 def semantic_links(vectors: DataFrame, block: str, threshold: float = 0.7, k: int = 5) -> DataFrame:
-    """Links to at most k vectors of the same block with a cosine of ``threshold`` or more; strength half the cosine."""
-    b = vectors.select(F.col("id").alias("target_id"), block, F.col("embedding").alias("e"))
-    x = vectors.join(b, block).where("id <> target_id").select("id", "target_id", cosine(F.col("embedding"), F.col("e")).alias("sim")).where(F.col("sim") >= threshold)
-    w = Window.partitionBy("id").orderBy(F.desc("sim"), "target_id")
-    return x.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(F.col("id").alias("source_id"), "target_id", (0.5 * F.col("sim")).alias("strength"))
+    """Links to at most k vectors of the same block with a cosine of ``threshold`` or more; strength half the cosine. Blocks meet in tiles."""
+    near = nearest(vectors, vectors, k, block, threshold, itself=False)
+    return near.select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), (0.5 * F.col("sim")).alias("strength"))
 
 
 def without_linked(new: DataFrame, links: DataFrame) -> DataFrame:

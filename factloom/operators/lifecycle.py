@@ -21,16 +21,26 @@ def new_facts(incoming: DataFrame, active: DataFrame) -> DataFrame:
     """Exact duplicates dropped: texts whose hash an active fact has, and all but the first of a text in the batch."""
     keyed = incoming.withColumn("source_hash", T.content_hash(F.col("content")))
     known = active.where("status = 'active'").select(T.content_hash(F.col("content")).alias("source_hash")).distinct()
-    first = Window.partitionBy("source_hash").orderBy("row_seq")
-    return keyed.join(known, "source_hash", "left_anti").withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    fresh = keyed.join(known, "source_hash", "left_anti")
+    first = fresh.groupBy("source_hash").agg(F.min("row_seq").alias("row_seq"))
+    return fresh.join(first, ["source_hash", "row_seq"], "left_semi")
+
+
+def _scope() -> Column:
+    return F.coalesce(F.col("scope_id").cast("string"), F.lit(""))
 
 
 def supersede(facts: DataFrame) -> DataFrame:
-    """Of active facts with the same type, target and scope (not general, not done or seen) only the latest stays active."""
-    key = ["type", "target", F.coalesce(F.col("scope_id").cast("string"), F.lit(""))]
-    w = Window.partitionBy(*key, "status").orderBy(F.desc("created_at"), F.desc("row_seq"))
+    """Of active facts with the same type, target and scope (not general, not done or seen) only the latest stays active.
+
+    The latest of a key is an aggregate that is combined before the shuffle and joined back, so a key of very many facts is no hot group.
+    """
     held = (F.col("status") == "active") & (F.col("target") != "general") & ~F.col("type").isin("done", "obs")
-    return facts.withColumn("rn", F.row_number().over(w)).withColumn("status", F.when(held & (F.col("rn") > 1), "superseded").otherwise(F.col("status"))).drop("rn")
+    moment = F.struct("created_at", "row_seq")
+    x = facts.withColumn("_scope", _scope())
+    last = x.where(held).groupBy("type", "target", "_scope").agg(F.max(moment).alias("_last"))
+    x = x.join(last, ["type", "target", "_scope"], "left")
+    return x.withColumn("status", F.when(held & (moment < F.col("_last")), "superseded").otherwise(F.col("status"))).drop("_scope", "_last")
 
 
 def gauge(facts: DataFrame, scopes: DataFrame, now: float, max_chars: int = 10_000) -> DataFrame:
@@ -38,9 +48,10 @@ def gauge(facts: DataFrame, scopes: DataFrame, now: float, max_chars: int = 10_0
     share = F.broadcast(used_chars(facts).select((F.col("used") / max_chars * 100).alias("pct")))  # one row
     x = facts.crossJoin(share)
     active = F.col("status") == "active"
-    key = Window.partitionBy("type", "target", F.coalesce(F.col("scope_id").cast("string"), F.lit("")))
-    newest = F.max(F.when(active, F.col("created_at"))).over(key)
-    x = x.withColumn("newest", newest).withColumn("status", F.when(active & (F.col("pct") >= 70) & (F.col("created_at") < F.col("newest")), "superseded").otherwise(F.col("status"))).drop("newest")
+    x = x.withColumn("_scope", _scope())
+    newest = x.where(active).groupBy("type", "target", "_scope").agg(F.max("created_at").alias("newest"))
+    x = x.join(newest, ["type", "target", "_scope"], "left").drop("_scope")
+    x = x.withColumn("status", F.when(active & (F.col("pct") >= 70) & (F.col("created_at") < F.col("newest")), "superseded").otherwise(F.col("status"))).drop("newest")
     shut = scopes.where("status in ('cold', 'closed')").select(F.col("id").alias("scope_id"), F.lit(True).alias("shut"))
     x = x.join(shut, "scope_id", "left")
     x = x.withColumn("status", F.when(active & (F.col("pct") >= 85) & F.coalesce("shut", F.lit(False)) & (F.lit(now) - F.col("last_accessed") > 86400), "archived").otherwise(F.col("status"))).drop("shut")
@@ -78,11 +89,11 @@ def merge_facts(facts: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def cap_access(access: DataFrame, keep: int = 100) -> DataFrame:
-    """The newest ``keep`` accesses of each fact; moments shared with a dropped one go with it."""
+    """The newest ``keep`` accesses of each fact; moments shared with a dropped one go with it. Only the newest ``keep`` + 1 of a fact are ranked."""
     w = Window.partitionBy("fact_id").orderBy(F.desc("seen_at"))
-    x = access.withColumn("rn", F.row_number().over(w))
-    cut = F.max(F.when(F.col("rn") > keep, F.col("seen_at"))).over(Window.partitionBy("fact_id"))
-    return x.withColumn("cut", cut).where(F.col("cut").isNull() | (F.col("seen_at") > F.col("cut"))).drop("rn", "cut")
+    top = access.select("fact_id", "seen_at").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep + 1)
+    cut = top.where(F.col("rn") == keep + 1).select("fact_id", F.col("seen_at").alias("cut"))
+    return access.join(cut, "fact_id", "left").where(F.col("cut").isNull() | (F.col("seen_at") > F.col("cut"))).drop("cut")
 
 
 def touch(facts: DataFrame, used: DataFrame) -> DataFrame:

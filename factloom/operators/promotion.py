@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,16 @@ def promote(pending: DataFrame, now: float, ttl: float = 600.0) -> DataFrame:
     Passing the result in again with the same clock changes nothing.
     """
     open_ = F.col("status") == "provisional"
-    w = Window.partitionBy("type", "target", "session_id", open_).orderBy(F.desc("updated_at"), F.desc("row_seq"))
-    x = pending.withColumn("rn", F.row_number().over(w))
-    x = x.withColumn("status", F.when(open_ & (F.col("rn") > 1), "retracted").otherwise(F.col("status"))).drop("rn")
+    key = ["type", "target", "session_id"]
+    moment = F.struct("updated_at", "row_seq")
+    best = pending.where(open_).groupBy(*key).agg(F.max(moment).alias("_best"))  # combined before the shuffle: no hot session
+    x = pending.join(best, key, "left")
+    x = x.withColumn("status", F.when(open_ & (moment < F.col("_best")), "retracted").otherwise(F.col("status"))).drop("_best")
     inferred = open_ & (F.col("source") == "agent_inference")
-    last = F.max(F.when(inferred, F.col("updated_at"))).over(Window.partitionBy("session_id"))
-    x = x.withColumn("last", last)
-    due = open_ & (F.col("source").isin("observed", "user_stated") | (inferred & (F.col("last") < now - ttl)))
-    return x.withColumn("status", F.when(due, "promoted").otherwise(F.col("status"))).drop("last")
+    last = x.where(inferred).groupBy("session_id").agg(F.max("updated_at").alias("_last"))
+    x = x.join(last, "session_id", "left")
+    due = open_ & (F.col("source").isin("observed", "user_stated") | (inferred & (F.col("_last") < now - ttl)))
+    return x.withColumn("status", F.when(due, "promoted").otherwise(F.col("status"))).drop("_last").select(*pending.columns)
 
 
 def promoted_facts(pending: DataFrame) -> DataFrame:

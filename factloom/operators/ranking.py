@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine
 
 DECAY, W_SEMANTIC, W_IMPORTANCE, SCOPE_MULTIPLIER = 0.3, 0.5, 0.7, 1.5
 RRF_K, W_ACTIVATION, W_KEYWORD = 60, 0.92, 0.08
@@ -118,15 +117,21 @@ def fusion_wanted(x: DataFrame, has_typed: Column) -> DataFrame:
     return g.select("query_id", ((F.col("top") > 0.15) | ((F.col("top") > 0) & F.col("typed") & F.col("s1").isNotNull() & (gap < 0.5))).alias("fuse"))
 
 
+def _per_query(x: DataFrame, *aggs: Column) -> DataFrame:
+    """Rows with aggregates over their query: combined before the shuffle, so that a query's candidates never meet in one task."""
+    return x.join(x.groupBy("query_id").agg(*aggs), "query_id")
+
+
 def strong_match(x: DataFrame, score: str = "rrf") -> DataFrame:
     """Lift a dominant keyword match (over 0.3 and five times the next) above the best score."""
-    q = Window.partitionBy("query_id")
-    order = q.orderBy(F.desc("bm25"), "row_seq")
-    first, second = F.max("bm25").over(q), F.coalesce(F.max(F.when(F.col("kw") == 2, F.col("bm25"))).over(q), F.lit(0.0))
-    x = x.withColumn("kw", F.row_number().over(order))
-    top = F.max(score).over(q)
-    dominant = (F.col("kw") == 1) & (first > 0.3) & ((second == 0) | (first / F.greatest(second, F.lit(0.001)) >= 5))
-    return x.withColumn("final", F.when(dominant, top + F.abs(top) * 0.5 + 0.1).otherwise(F.col(score))).drop("kw")
+    place = F.struct(F.col("bm25"), (-F.col("row_seq")).alias("o"), F.col("id").alias("i"))
+    x = _per_query(x, F.max(place).alias("_first"), F.max(score).alias("_top"))
+    rest = x.where(F.col("id") != F.col("_first.i")).groupBy("query_id").agg(F.max("bm25").alias("_second"))
+    x = x.join(rest, "query_id", "left")
+    first, second = F.col("_first.bm25"), F.coalesce("_second", F.lit(0.0))
+    dominant = (F.col("id") == F.col("_first.i")) & (first > 0.3) & ((second == 0) | (first / F.greatest(second, F.lit(0.001)) >= 5))
+    lifted = F.col("_top") + F.abs("_top") * 0.5 + 0.1
+    return x.withColumn("final", F.when(dominant, lifted).otherwise(F.col(score))).drop("_first", "_top", "_second")
 
 
 def decayed_q(q: Column, updated: Column, now: float) -> Column:
@@ -137,14 +142,13 @@ def decayed_q(q: Column, updated: Column, now: float) -> Column:
 
 def rerank(x: DataFrame, total_updates: int | Column) -> DataFrame:
     """Blend (query_id, id, score, q, n_retrieved) with learned utility and an exploration bonus."""
-    w = Window.partitionBy("query_id")
     t = F.lit(total_updates) if isinstance(total_updates, int) else total_updates
     lam = 0.05 + 0.30 * F.least(t / 200.0, F.lit(1.0))
     q = F.coalesce("q", F.lit(0.5))
-    x = x.withColumn("q", q)
+    x = _per_query(x.withColumn("q", q), *[f(c).alias(f"_{n}_{c}") for c in ("score", "q") for n, f in (("avg", F.avg), ("std", F.stddev_pop))])
 
     def z(c: str) -> Column:
-        return (F.col(c) - F.avg(c).over(w)) / F.greatest(F.stddev_pop(c).over(w), F.lit(0.001))
+        return (F.col(c) - F.col(f"_avg_{c}")) / F.greatest(F.col(f"_std_{c}"), F.lit(0.001))
 
     n = F.coalesce("n_retrieved", F.lit(0))
     many = F.greatest(t, F.lit(1))
@@ -166,10 +170,10 @@ def percentile_90(degrees: DataFrame) -> DataFrame:
 
 def dampen(x: DataFrame) -> DataFrame:
     """Gravity, hub, resolution and intent factors. Needs query, content, target, type, category, score, bm25, spreading, degree, p90 and max_degree."""
-    q = Window.partitionBy("query_id")
     asked, own = T.terms(F.col("query")), F.array_union(T.terms(F.col("content")), F.when(F.col("target") != "general", T.terms(F.col("target"))).otherwise(F.array().cast("array<string>")))
     met = F.exists(asked, lambda a: F.exists(own, lambda b: (a == b) | ((F.length(a) >= 4) & (b.startswith(a) | a.startswith(b)))))
-    top = F.max("score").over(q)
+    x = _per_query(x, F.max("score").alias("_top"))
+    top = F.col("_top")
     x = x.withColumn("g", F.when((top > 0) & (F.col("score") > 0.3 * top) & (F.size(asked) > 0) & ~met, 0.6).otherwise(1.0))
     spread = F.greatest(F.col("max_degree") - F.col("p90"), F.lit(1)).cast("double")
     hub = F.when((F.col("degree") > F.col("p90")) & ~((F.col("bm25") > 1.0) | (F.col("spreading") > 0.15)), F.greatest(F.lit(0.2), 1.0 - 0.3 * (F.col("degree") - F.col("p90")) / spread)).otherwise(1.0)
@@ -181,10 +185,10 @@ def dampen(x: DataFrame) -> DataFrame:
 
 def correct_bias(x: DataFrame) -> DataFrame:
     """Inverse-propensity step on (query_id, id, score, access_count), where five facts or more have been accessed."""
-    q = Window.partitionBy("query_id")
     n = F.coalesce("access_count", F.lit(0))
-    p = n / F.greatest(F.max(n).over(q), F.lit(1))
-    enough = F.sum((n > 0).cast("int")).over(q) >= 5
+    x = _per_query(x, F.max(n).alias("_most"), F.sum((n > 0).cast("int")).alias("_used"))
+    p = n / F.greatest(F.col("_most"), F.lit(1))
+    enough = F.col("_used") >= 5
     step = F.when(p > 0.8, -0.02).otherwise(0.05 / F.greatest(p, F.lit(0.1)))
     return x.withColumn("corrected", F.when(enough, F.col("score") + step).otherwise(F.col("score")))
 
@@ -218,12 +222,28 @@ def diversify(x: DataFrame, k: int = 8, penalty: float = 0.35) -> DataFrame:
     return top.groupBy("query_id").applyInPandas(pick, f"query_id {kind['query_id']}, id {kind['id']}, score double, rank long")
 
 
-def reward_ema(signals: DataFrame) -> DataFrame:
-    """(id, q, n): learned utility after all (id, seq, signal, n_retrieved), in order of seq, from 0.5 and held in [0, 1]."""
-    step = F.struct(F.col("seq"), (F.col("signal") / F.sqrt(F.greatest(F.coalesce("n_retrieved", F.lit(1)).cast("double"), F.lit(1.0)))).alias("s"))
-    per = signals.groupBy("id").agg(F.array_sort(F.collect_list(step)).alias("steps"))  # the signals of one fact
-    q = F.aggregate("steps", F.lit(0.5), lambda acc, r: F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc + 0.1 * (r["s"] - acc))))
-    return per.select("id", q.alias("q"), F.size("steps").cast("long").alias("n"))
+def reward_ema(signals: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """(id, q, n): learned utility after all (id, seq, signal, n_retrieved), in order of seq, from 0.5 and held in [0, 1].
+
+    A step is q -> clamp(0.9 q + 0.1 s). Such clamped lines compose to one clamped line, so the signals of an id fold in chunks of ``chunk``
+    numbers of seq first, and the chunks after; an id with very many signals never meets in one task.
+    """
+    s = F.col("signal") / F.sqrt(F.greatest(F.coalesce("n_retrieved", F.lit(1)).cast("double"), F.lit(1.0)))
+    x = signals.select("id", "seq", F.floor(F.col("seq") / chunk).alias("part"), s.alias("s"))
+    steps = x.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "s"))).alias("steps"))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def clamp(v: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+
+    def then(acc: Column, r: Column) -> Column:
+        move = lambda v: 0.9 * v + 0.1 * r["s"]
+        return F.struct((0.9 * acc["a"]).alias("a"), move(acc["b"]).alias("b"), clamp(move(acc["lo"])).alias("lo"), clamp(move(acc["hi"])).alias("hi"))
+
+    lines = steps.select("id", "part", F.aggregate("steps", start, then).alias("f"), F.size("steps").cast("long").alias("n"))
+    per = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "f"))).alias("parts"), F.sum("n").alias("n"))
+    q = F.aggregate("parts", F.lit(0.5), lambda acc, r: F.greatest(r["f"]["lo"], F.least(r["f"]["hi"], r["f"]["a"] * acc + r["f"]["b"])))
+    return per.select("id", q.alias("q"), "n")
 
 
 def session_rewards(events: DataFrame, window: float = 300.0) -> DataFrame:
@@ -235,10 +255,3 @@ def session_rewards(events: DataFrame, window: float = 300.0) -> DataFrame:
     again = seen.withColumn("n", F.row_number().over(Window.partitionBy("session", "id").orderBy("seen_at", "row_seq"))).where("n > 1").select("id", F.lit(0.4).alias("reward"))
     stored = x.where((F.col("kind") == "store") & (F.col("seen_at") - F.col("last_at") <= window)).select(F.explode("last_ids").alias("id"), F.lit(0.5).alias("reward"))
     return again.union(stored).groupBy("id").agg(F.sum("reward").alias("reward"), F.count("*").alias("n"))
-
-
-def similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query by cosine; ``queries`` is a stated set, which meets all vectors in blocks of partitions."""
-    sims = vectors.crossJoin(queries).select("query_id", "id", cosine(F.col("embedding"), F.col("q_embedding")).alias("sim"))
-    top = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    return sims.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)

@@ -39,7 +39,7 @@ def semantic_links(spark, d):
 def near_dup(spark, d):
     """Turns whose words overlap by 0.8 or more."""
     x = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.words(F.lower("text")).alias("tokens"))
-    return G.similar_sets(x, 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return G.similar_sets(x, 0.8).select("a", "b", F.round("sim", 6).alias("jaccard"))
 
 
 def npmi(spark, d):

@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import ranking as R
+from ..operators.nearest import nearest
 from . import sql as S
 from .text_queries import _intent, _shape, _terms
 from .views import NOW, duck_view, spark_view, table
@@ -70,9 +71,8 @@ def score_candidates(spark, d):
 
 
 def cosine_topk(spark, d):
-    v = table(spark, d, "embeddings")
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
-    return R.similar(v.select(F.col("vec_id").alias("id"), "embedding"), asked, 5).select("query_id", "id", "rank", F.round("sim", 5).alias("sim"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return nearest(v, v.where("id % 20 = 0"), 5).select("query_id", "id", "rank", F.round("sim", 5).alias("sim"))
 
 
 def bm25_search(spark, d):
