@@ -88,13 +88,25 @@ def adversarial(c: Column) -> Column:
     return F.least(weigh(hits), F.lit(1.0))
 
 
+def shape_query_flags(query: Column) -> Column:
+    """Which answer shapes a query asks for; those that fit any query are always set."""
+    q = F.lower(strip(query))
+    return F.array(*[q.rlike(on_query) if on_query else F.lit(True) for on_query, _, _, _ in P.ANSWER_SHAPES])
+
+
+def shape_text_flags(content: Column) -> Column:
+    """Which answer shapes a text has."""
+    c, low = text_or_empty(content), F.lower(strip(content))
+    tests = [[x.rlike(p) for x, p in ((c, on_text), (low, on_low)) if p] for _, on_text, on_low, _ in P.ANSWER_SHAPES]
+    return F.array(*[reduce(lambda a, b: a & b, t) for t in tests])
+
+
+def shape_score(query_flags: Column, text_flags: Column) -> Column:
+    return weigh([(query_flags[i] & text_flags[i], w) for i, (*_, w) in enumerate(P.ANSWER_SHAPES)])
+
+
 def answer_shape(query: Column, content: Column) -> Column:
-    q, low = F.lower(strip(query)), F.lower(strip(content))
-    hits = []
-    for on_query, on_text, on_low, weight in P.ANSWER_SHAPES:
-        tests = [x.rlike(p) for x, p in ((q, on_query), (text_or_empty(content), on_text), (low, on_low)) if p]
-        hits.append((reduce(lambda a, b: a & b, tests), weight))
-    return weigh(hits)
+    return shape_score(shape_query_flags(query), shape_text_flags(content))
 
 
 def terms(c: Column) -> Column:
@@ -206,3 +218,19 @@ def safe_scope(session: Column, prefix: str = "import") -> Column:
 
 def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
+
+
+def patch_json(json: Column, **values: Column) -> Column:
+    """A JSON object of strings with values set."""
+    old = F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    new = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+    kept = F.map_filter(old, lambda k, _: ~k.isin(*values))
+    return F.to_json(F.map_concat(kept, new))
+
+
+def is_identity(target: Column) -> Column:
+    return target.isin("identity", "self") | target.startswith("identity.") | target.startswith("self.")
+
+
+def show_time(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")

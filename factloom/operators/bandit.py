@@ -30,3 +30,12 @@ def solve(stats: DataFrame, n: int, alpha: float = 1.0) -> DataFrame:
         return pd.DataFrame({"arm": [g.arm.iloc[0]], "theta": [np.linalg.solve(a, b).tolist()], "bonus": [float(alpha * np.sqrt(x @ np.linalg.solve(a, x)))]})
 
     return stats.groupBy("arm").applyInPandas(one, "arm string, theta array<double>, bonus double")
+
+
+def decide(x: DataFrame, solved: DataFrame, features: list[str], run: str, skip: str) -> DataFrame:
+    """Rows of features with ``runs``: whether the arm ``run`` promises at least what ``skip`` does. ``solved`` has a row per arm."""
+    arms = {r["arm"]: r["theta"] for r in solved.where(F.col("arm").isin(run, skip)).select("arm", "theta").collect()}  # two rows
+    def promise(arm: str):
+        return sum((F.col(f) * w for f, w in zip(features, arms.get(arm, [0.0] * len(features)))), F.lit(0.0))
+
+    return x.withColumn("runs", promise(run) >= promise(skip))

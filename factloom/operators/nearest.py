@@ -56,3 +56,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: str | None =
     found = pairs.mapInArrow(run, "query_id long, id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, tile: int = TILE) -> DataFrame:
+    """(query_id, id, sim) of every query with every vector, for rankings that score all candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (qi, q), (vi, v) = _unit(asked), _unit(rows)
+                width = max(q.shape[1], v.shape[1])
+                q, v = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, v))
+                for lo in range(0, len(qi), 64):
+                    own = qi[lo : lo + 64]
+                    cols = [np.repeat(own, len(vi)), np.tile(vi, len(own)), (q[lo : lo + 64] @ v.T).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "id", "sim"])
+
+    left = tiles(queries, None, tile).select("block", F.col("rows").alias("asked"))
+    pairs = left.join(tiles(vectors, None, tile).select("block", "rows"), "block").select("asked", "rows")
+    return pairs.mapInArrow(run, "query_id long, id long, sim double")

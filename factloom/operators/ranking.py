@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 DECAY, W_SEMANTIC, W_IMPORTANCE, SCOPE_MULTIPLIER = 0.3, 0.5, 0.7, 1.5
+COMPONENTS = ["base_level", "revival_spike", "spreading", "importance_boost", "scope_boost", "adversarial_penalty", "target_match_boost", "answer_shape_boost"]
 RRF_K, W_ACTIVATION, W_KEYWORD = 60, 0.92, 0.08
 
 
@@ -49,9 +50,18 @@ def hebbian(links: DataFrame, sims: DataFrame) -> DataFrame:
     return spread.agg(F.least(F.sum(F.col("strength") * F.col("sim")), F.lit(1.0)).alias("heb"))
 
 
+def fact_features(facts: DataFrame) -> DataFrame:
+    """What scoring needs of a fact alone, worked out once per fact and not once per pair."""
+    return facts.withColumns({"adv": T.adversarial(F.col("content")), "target_terms": T.terms(F.col("target")), "text_flags": T.shape_text_flags(F.col("content"))})
+
+
+def query_features(queries: DataFrame) -> DataFrame:
+    return queries.withColumns({"query_terms": T.terms(F.col("query")), "query_flags": T.shape_query_flags(F.col("query"))})
+
+
 def components(x: DataFrame) -> DataFrame:
-    """The eight components and their total. Needs query, query_scope, content, target, scope, importance, access_count, base, spike, sim and heb."""
-    adv = T.adversarial(F.col("content"))
+    """The eight components and their total. Needs the columns of :func:`fact_features` and :func:`query_features`, query_scope, scope,
+    importance, access_count, base, spike, sim and heb."""
     in_scope = F.col("query_scope").isNotNull() & F.col("scope").isNotNull() & (F.col("scope") != "global") & F.startswith("scope", "query_scope")
     out = x.withColumns({
         "base_level": F.col("base"),
@@ -59,13 +69,12 @@ def components(x: DataFrame) -> DataFrame:
         "spreading": W_SEMANTIC * F.col("sim") + F.coalesce("heb", F.lit(0.0)),
         "importance_boost": importance_boost(F.col("importance"), F.col("access_count"), F.col("base"), F.col("sim")),
         "scope_boost": F.when(in_scope, SCOPE_MULTIPLIER * (0.5 + 0.5 * F.col("sim"))).otherwise(0.0),
-        "adversarial_penalty": F.when(adv > 0.2, -10.0 * adv).otherwise(0.0),
-        "target_match_boost": T.target_boost(T.terms(F.col("query")), T.terms(F.col("target"))),
-        "answer_shape_boost": T.answer_shape(F.col("query"), F.col("content")),
+        "adversarial_penalty": F.when(F.col("adv") > 0.2, -10.0 * F.col("adv")).otherwise(0.0),
+        "target_match_boost": T.target_boost(F.col("query_terms"), F.col("target_terms")),
+        "answer_shape_boost": T.shape_score(F.col("query_flags"), F.col("text_flags")),
     })
-    names = ["base_level", "revival_spike", "spreading", "importance_boost", "scope_boost", "adversarial_penalty", "target_match_boost", "answer_shape_boost"]
-    total = F.col(names[0])
-    for n in names[1:]:
+    total = F.col(COMPONENTS[0])
+    for n in COMPONENTS[1:]:
         total = total + F.col(n)
     return out.withColumn("score", total)
 

@@ -10,11 +10,13 @@ from ..operators import bandit as B
 from ..operators import embedding as E
 from ..operators import export as X
 from ..operators import lifecycle as L
+from ..operators import memory
 from ..operators import promotion as PR
 from . import sql as S
-from .text_queries import _factuality, _named  # noqa: F401
+from .text_queries import _CATEGORY, _IMPORTANCE, _named
 from .views import NOW, duck_view, spark_view, table
 from ..functions import patterns as P
+from ..schemas import STATE
 
 
 def _facts(spark, d):
@@ -26,6 +28,13 @@ def exact_dedup(spark, d):
     return L.new_facts(x, x.where("layer = 'core' and type = 'D'")).select("id", "source_hash")
 
 
+def store_path(spark, d):
+    """All typed texts written as one batch into an empty store."""
+    raw = spark_view(spark, d, "typed_facts").select(F.col("id").alias("row_seq"), "raw", F.col("scope").alias("scope_id"))
+    out = memory.store(raw, spark.createDataFrame([], STATE["facts"]), NOW)
+    return out.select("row_seq", "type", "target", "content", "status", "category", F.round("importance", 6).alias("importance"), "source_hash")
+
+
 def supersession(spark, d):
     return L.supersede(_facts(spark, d)).select("id", "status")
 
@@ -169,7 +178,7 @@ def linucb_solve(spark, d):
     return B.solve(B.statistics(_bandit_rows(spark, d), ["f0", "f1", "f2"]), 3)
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, supersession, gauge_cascade, consolidate, merge_dups, merged_facts, access_cap, access_update, system_prompt, stats, hot_facts, scope_scan, substring_access, retag, scope_create, promote_pass, promotion_metrics, promoted_facts, pending_summary, pending_list, session_expiry, training_pairs, chat_export, import_dedup, tfidf_vectors, linucb_stats, linucb_solve)}
+QUERIES = {f.__name__: f for f in (exact_dedup, store_path, supersession, gauge_cascade, consolidate, merge_dups, merged_facts, access_cap, access_update, system_prompt, stats, hot_facts, scope_scan, substring_access, retag, scope_create, promote_pass, promotion_metrics, promoted_facts, pending_summary, pending_list, session_expiry, training_pairs, chat_export, import_dedup, tfidf_vectors, linucb_stats, linucb_solve)}
 
 _F, _P, _A, _RULES = duck_view("facts"), duck_view("pending"), duck_view("access"), duck_view("rule_facts")
 _USED = f"(SELECT CAST(coalesce(sum(length(type) + length(target) + length(content) + 4), 0) AS BIGINT) AS used FROM {_F} WHERE status = 'active')"
@@ -182,7 +191,13 @@ _IX = "(SELECT conv_id * 1000 + turn AS ix, text AS query, CASE WHEN conv_id % 4
 _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN {S.strs(P.VECTOR_STOP_WORDS)})"
 _BR = "(SELECT lang AS arm, [1.0::DOUBLE, least(n_chars, 5000) / 5000.0::DOUBLE, doc_id % 7 / 7.0::DOUBLE] AS f, quality::DOUBLE AS reward FROM documents JOIN labels USING (doc_id))"
 
+_NOTED = S.hit("s", P.NOTATION)
 ORACLES = {
+    "store_path": f"""WITH x AS (SELECT id, scope, {S.strip('raw')} AS s FROM {duck_view('typed_facts')}),
+        p AS (SELECT id AS row_seq, scope, CASE WHEN {_NOTED} THEN regexp_extract(s, {S.q(P.NOTATION)}, 1) ELSE 'V' END AS type, CASE WHEN {_NOTED} THEN {S.strip(f"regexp_extract(s, {S.q(P.NOTATION)}, 2)")} ELSE 'general' END AS target, CASE WHEN {_NOTED} THEN {S.strip(f"regexp_extract(s, {S.q(P.NOTATION)}, 3)")} ELSE s END AS content FROM x),
+        u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY content ORDER BY row_seq) = 1),
+        c AS (SELECT *, {_CATEGORY} AS category, len({S.words('content')}) AS n_words FROM u)
+        SELECT row_seq, type, target, content, CASE WHEN target <> 'general' AND row_seq < max(row_seq) OVER (PARTITION BY type, target, scope) THEN 'superseded' ELSE 'active' END AS status, category, round(least(greatest(CAST({_IMPORTANCE} AS DOUBLE), 0.1), 1.0), 6) AS importance, left(sha256(content), 16) AS source_hash FROM c""",
     "exact_dedup": f"SELECT id, left(sha256(content), 16) AS source_hash FROM {_F} WHERE content NOT IN (SELECT content FROM {_F} WHERE layer = 'core' AND type = 'D' AND status = 'active') QUALIFY row_number() OVER (PARTITION BY content ORDER BY id) = 1",
     "supersession": f"SELECT id, CASE WHEN status = 'active' AND target <> 'general' AND row_number() OVER (PARTITION BY type, target, scope_id, status ORDER BY created_at DESC, id DESC) > 1 THEN 'superseded' ELSE status END AS status FROM {_F}",
     "gauge_cascade": f"""WITH x AS (SELECT f.*, used / 100.0 AS pct FROM {_F} f CROSS JOIN {_USED}),

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.vectors import cosine
 from ..operators import ranking as R
-from ..operators.nearest import nearest
+from ..operators.nearest import nearest, similarities
 from . import sql as S
 from .text_queries import _intent, _shape, _terms
 from .views import NOW, duck_view, spark_view, table
@@ -30,22 +29,20 @@ def _links(spark, d):
 
 def _sims(spark, d):
     """Similarity of each vector whose number 20 divides, as queries, to all vectors, as facts."""
-    v = table(spark, d, "embeddings")
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
-    both = v.crossJoin(asked)
-    return both.select("query_id", F.col("vec_id").alias("id"), cosine(F.col("q_embedding"), F.col("embedding")).alias("sim"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return similarities(v, v.where("id % 20 = 0"))
 
 
 def _candidates(spark, d):
     """What scoring needs, a row per (query, fact)."""
-    facts = spark_view(spark, d, "rule_facts").select("id", "content", "target")
-    asked = spark_view(spark, d, "asked")
-    access = spark_view(spark, d, "access")
-    base = R.base_level(access, NOW, _rate()).select(F.col("fact_id").alias("user"), "base")
+    facts = R.fact_features(spark_view(spark, d, "rule_facts").select("id", "content", "target"))
+    asked = R.query_features(spark_view(spark, d, "asked"))
+    base = R.base_level(spark_view(spark, d, "access"), NOW, _rate()).select(F.col("fact_id").alias("user"), "base")
     links = _links(spark, d)
     sims = _sims(spark, d)
-    x = sims.join(facts, "id").join(asked, "query_id").withColumn("user", F.col("id") % 100)
-    x = x.join(base, "user").join(R.revival(links, NOW), "id", "left").join(R.hebbian(links, sims), ["query_id", "id"], "left")
+    facts = facts.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id").withColumn("user", F.col("id") % 100)
+    facts = facts.join(base, "user").join(R.revival(links, NOW), "id", "left")
+    x = sims.join(facts, "id").join(asked, "query_id").join(R.hebbian(links, sims), ["query_id", "id"], "left")
     return x.withColumns({"importance": (F.col("id") % 10) / 10.0, "access_count": F.col("id") % 12, "scope": F.concat(F.lit("s"), (F.col("id") % 3).cast("string")), "query_scope": F.when(F.col("query_id") % 40 == 0, "s1"), "row_seq": F.col("id")})
 
 
