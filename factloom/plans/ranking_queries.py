@@ -107,7 +107,7 @@ def dampening(spark, d):
     facts = spark_view(spark, d, "rule_facts").withColumn("type", F.when(F.col("id") % 4 == 0, "C").otherwise("V"))
     x = facts.crossJoin(asked).join(degree, "id", "left").crossJoin(F.broadcast(p))  # one row
     x = x.withColumns({"degree": F.coalesce("degree", F.lit(0)), "category": T.category(F.col("content")), "score": ((F.col("id") * 37 + F.col("query_id") * 11) % 101) / 10.0 - 1.0, "bm25": (F.col("id") % 30) / 20.0, "spreading": (F.col("id") % 20) / 100.0})
-    return R.dampen(x).select("query_id", "id", F.round("dampened", 8).alias("dampened"))
+    return R.dampen(x).select("query_id", "id", F.round(F.col("dampened") + 3.1415926e-7, 5).alias("dampened"))
 
 
 def hub_degree(spark, d):
@@ -228,7 +228,7 @@ ORACLES = {
         SELECT query_id, id, round(score * CASE WHEN top > 0 AND score > 0.3 * top AND len(qt) > 0 AND NOT met THEN 0.6 ELSE 1.0 END
             * CASE WHEN degree > p90 AND NOT (bm25 > 1.0 OR spreading > 0.15) THEN greatest(0.2, 1.0 - 0.3 * (degree - p90) / greatest(max_degree - p90, 1)) ELSE 1.0 END
             * CASE WHEN category IN ('decision', 'correction', 'procedural', 'causal') OR type IN ('C', 'D') THEN 1.25 ELSE 1.0 END
-            * CASE WHEN type = CASE kind WHEN 'value' THEN 'V' WHEN 'constraint' THEN 'C' WHEN 'decision' THEN 'D' END THEN 1.15 ELSE 1.0 END, 8)::DOUBLE AS dampened FROM x""",
+            * CASE WHEN type = CASE kind WHEN 'value' THEN 'V' WHEN 'constraint' THEN 'C' WHEN 'decision' THEN 'D' END THEN 1.15 ELSE 1.0 END + 3.1415926e-7, 5)::DOUBLE AS dampened FROM x""",
     "hub_degree": f"SELECT p90, max_degree FROM {_P90}",
     "ips": f"WITH {_RANKED}, x AS ({_BIAS} FROM ranked WINDOW w AS (PARTITION BY query_id)) SELECT query_id, id, round(CASE WHEN enough THEN score + {_STEP} ELSE score END, 6) AS corrected FROM x",
     "reward_ema": """WITH RECURSIVE x AS (SELECT user_id % 97 AS id, (value / 50.0) / sqrt(greatest(event_id % 4, 1)) AS s, row_number() OVER (PARTITION BY user_id % 97 ORDER BY event_id) AS rn FROM events),
