@@ -71,10 +71,6 @@ def encode_words(path: str, words: list[bytes]) -> list[bytes]:
     return out
 
 
-def _ids_of(block: wordtable.Assembled, lo: int, hi: int) -> np.ndarray:
-    return block.at[lo:hi]
-
-
 def _digests(path: str, block: wordtable.Assembled) -> pa.RecordBatch:
     table = pieces(path)
     ids, texts = block.values, []
