@@ -26,8 +26,10 @@ def new_facts(incoming: DataFrame, active: DataFrame) -> DataFrame:
     return fresh.join(first, ["source_hash", "row_seq"], "left_semi")
 
 
-def _scope() -> Column:
-    return F.coalesce(F.col("scope_id").cast("string"), F.lit(""))
+def _key() -> dict[str, Column]:
+    """Type, target and scope as keys that are never null, so that nulls equal each other; no scope and an empty one are the same."""
+    keys = {f"_{c}": F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit("n")) for c in ("type", "target")}
+    return keys | {"_scope": F.coalesce(F.col("scope_id").cast("string"), F.lit(""))}
 
 
 def supersede(facts: DataFrame) -> DataFrame:
@@ -37,10 +39,11 @@ def supersede(facts: DataFrame) -> DataFrame:
     """
     held = (F.col("status") == "active") & (F.col("target") != "general") & ~F.col("type").isin("done", "obs")
     moment = F.struct("created_at", "row_seq")
-    x = facts.withColumn("_scope", _scope())
-    last = x.where(held).groupBy("type", "target", "_scope").agg(F.max(moment).alias("_last"))
-    x = x.join(last, ["type", "target", "_scope"], "left")
-    return x.withColumn("status", F.when(held & (moment < F.col("_last")), "superseded").otherwise(F.col("status"))).drop("_scope", "_last")
+    key = _key()
+    x = facts.withColumns(key)
+    last = x.where(held).groupBy(*key).agg(F.max(moment).alias("_last"))
+    x = x.join(last, list(key), "left")
+    return x.withColumn("status", F.when(held & (moment < F.col("_last")), "superseded").otherwise(F.col("status"))).drop(*key, "_last")
 
 
 def gauge(facts: DataFrame, scopes: DataFrame, now: float, max_chars: int = 10_000) -> DataFrame:
@@ -48,9 +51,10 @@ def gauge(facts: DataFrame, scopes: DataFrame, now: float, max_chars: int = 10_0
     share = F.broadcast(used_chars(facts).select((F.col("used") / max_chars * 100).alias("pct")))  # one row
     x = facts.crossJoin(share)
     active = F.col("status") == "active"
-    x = x.withColumn("_scope", _scope())
-    newest = x.where(active).groupBy("type", "target", "_scope").agg(F.max("created_at").alias("newest"))
-    x = x.join(newest, ["type", "target", "_scope"], "left").drop("_scope")
+    key = _key()
+    x = x.withColumns(key)
+    newest = x.where(active).groupBy(*key).agg(F.max("created_at").alias("newest"))
+    x = x.join(newest, list(key), "left").drop(*key)
     x = x.withColumn("status", F.when(active & (F.col("pct") >= 70) & (F.col("created_at") < F.col("newest")), "superseded").otherwise(F.col("status"))).drop("newest")
     shut = scopes.where("status in ('cold', 'closed')").select(F.col("id").alias("scope_id"), F.lit(True).alias("shut"))
     x = x.join(shut, "scope_id", "left")

@@ -14,14 +14,16 @@ def promote(pending: DataFrame, now: float, ttl: float = 600.0) -> DataFrame:
     Passing the result in again with the same clock changes nothing.
     """
     open_ = F.col("status") == "provisional"
-    key = ["type", "target", "session_id"]
+    key = ["_type", "_target", "_session"]  # null keys are equal to each other
+    named = {k: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit("n")) for k, c in zip(key, ("type", "target", "session_id"))}
+    marked = pending.withColumns(named)
     moment = F.struct("updated_at", "row_seq")
-    best = pending.where(open_).groupBy(*key).agg(F.max(moment).alias("_best"))  # combined before the shuffle: no hot session
-    x = pending.join(best, key, "left")
+    best = marked.where(open_).groupBy(*key).agg(F.max(moment).alias("_best"))  # combined before the shuffle: no hot session
+    x = marked.join(best, key, "left")
     x = x.withColumn("status", F.when(open_ & (moment < F.col("_best")), "retracted").otherwise(F.col("status"))).drop("_best")
     inferred = open_ & (F.col("source") == "agent_inference")
-    last = x.where(inferred).groupBy("session_id").agg(F.max("updated_at").alias("_last"))
-    x = x.join(last, "session_id", "left")
+    last = x.where(inferred).groupBy("_session").agg(F.max("updated_at").alias("_last"))
+    x = x.join(last, "_session", "left")
     due = open_ & (F.col("source").isin("observed", "user_stated") | (inferred & (F.col("_last") < now - ttl)))
     return x.withColumn("status", F.when(due, "promoted").otherwise(F.col("status"))).drop("_last").select(*pending.columns)
 
