@@ -7,12 +7,12 @@ facts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .nearest import nearest
 
 
@@ -184,11 +184,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component) by spreading the smallest node, with shortcuts, until nothing changes."""
+def components(edges: DataFrame, rounds: int | None = 50) -> DataFrame:
+    """(id, component) by spreading the smallest node, with shortcuts, until nothing changes, or for ``rounds`` rounds."""
     e = _cut(edges.select("source_id", "target_id").union(edges.select("target_id", "source_id")).where("source_id <> target_id").distinct())
     c = _cut(e.select(F.col("source_id").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         low = e.join(c.select(F.col("id").alias("target_id"), "component"), "target_id").groupBy("source_id").agg(F.min("component").alias("low"))
         n = c.join(low, c["id"] == low["source_id"]).select("id", F.least("component", "low").alias("component"))
         jump = n.select(F.col("id").alias("component"), F.col("component").alias("far"))
@@ -200,18 +200,58 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return c
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """(id): nodes whose removal parts their component. A component is one group, so this needs components that fit a task."""
-    ship(edges.sparkSession)
-    e = edges.where("source_id < target_id").select("source_id", "target_id").distinct()
-    e = e.unionByName(edges.where("source_id > target_id").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
-    c = components(e)
-    keyed = e.join(c, e["source_id"] == c["id"]).select("component", "source_id", "target_id")
+def _breadth_first(e: DataFrame) -> tuple[DataFrame, int]:
+    """((id, parent, level), greatest level): breadth-first trees of a symmetric graph, each from the smallest node of its component."""
+    roots = components(e, rounds=None).select("component").distinct()
+    seen = front = _cut(roots.select(F.col("component").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")))
+    level = 0
+    while True:
+        met = e.join(front.select(F.col("id").alias("source_id")), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("source_id").alias("parent"))
+        front = _cut(met.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level + 1)))
+        if front.isEmpty():
+            return seen, level
+        level += 1
+        seen = _cut(seen.unionByName(front))
+
 
-    def cut_nodes(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": sorted(cut_vertices(zip(group.source_id, group.target_id)))}, dtype="int64")
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """(id): nodes whose removal parts their component. No task holds a component; there is a round of joins for each level of its tree.
 
-    return keyed.groupBy("component").applyInPandas(cut_nodes, "id long")
+    In a breadth-first tree links join nodes of one level or of neighbouring levels. From the deepest level upwards, links are lifted to the
+    parents of their ends until the ends are brothers. Brothers so joined are one group. A node parts the graph where a group of its
+    sons has no link that leads past it; a root, where it has more than one group.
+    """
+    one = edges.select(F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id")).where("source_id <> target_id")
+    e = _cut(both_ways(one).distinct())
+    tree, depth = _breadth_first(e)
+    ends = [tree.select(F.col("id").alias(n), F.col("parent").alias(f"p_{n}"), F.col("level").alias(f"l_{n}")) for n in ("x", "y")]
+    # each link once, from its deeper end; links of a son with its own parent are the tree itself
+    links = e.toDF("x", "y").join(ends[0], "x").join(ends[1], "y").where("l_x > l_y or (l_x = l_y and x < y)")
+    links = _cut(links.where("l_x = l_y or p_x <> y").select("x", "y", "p_x", "p_y", F.col("l_x").alias("level"), (F.col("l_x") > F.col("l_y")).alias("up")))
+    past = links.where("up").select(F.col("x").alias("id"))
+    brothers, lifted = [], None
+    for level in range(depth, 0, -1):
+        own = links.where((F.col("level") == level) & ~F.col("up")).select("x", "y", "p_x", "p_y")
+        if lifted is not None:
+            at = [t.where(F.col(f"l_{n}") == level).drop(f"l_{n}") for t, n in zip(ends, ("x", "y"))]
+            own = own.unionByName(lifted.join(at[0], "x").join(at[1], "y").select("x", "y", "p_x", "p_y"))
+        pairs = _cut(own.distinct())
+        brothers.append(pairs.where("p_x = p_y").select("x", "y"))
+        apart = pairs.where("p_x <> p_y")
+        past = past.union(apart.select("x")).union(apart.select("y"))
+        high = apart.select(F.col("p_x").alias("x"), F.col("p_y").alias("y")).union(links.where((F.col("level") == level) & F.col("up")).select(F.col("p_x").alias("x"), "y"))
+        lifted = high.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        if level % 20 == 0:
+            brothers, past = [_cut(reduce(DataFrame.union, brothers))], _cut(past.distinct())
+    sons = tree.where("level > 0").select("id", "parent", (F.col("level") == 1).alias("of_root"))
+    if brothers:
+        joined = components(reduce(DataFrame.union, brothers).toDF("source_id", "target_id"), rounds=None)
+        sons = sons.join(joined, "id", "left")
+    else:
+        sons = sons.withColumn("component", F.lit(None).cast("long"))
+    groups = sons.join(past.distinct().withColumn("past", F.lit(1)), "id", "left").groupBy("parent", "of_root", F.coalesce("component", "id").alias("g")).agg(F.max("past").alias("past"))
+    nodes = groups.groupBy("parent", "of_root").agg(F.count("*").alias("n"), F.max(F.col("past").isNull()).alias("held"))
+    return nodes.where(F.when(F.col("of_root"), F.col("n") > 1).otherwise(F.col("held"))).select(F.col("parent").alias("id"))
 
 
 def cut_vertices(edges: Iterator[tuple[int, int]]) -> set[int]:

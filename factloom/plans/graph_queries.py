@@ -84,9 +84,8 @@ def ppr_explore(spark, d):
 
 
 def articulation_points(spark, d):
-    """Over the links of parts met twice or more."""
-    links = _links(spark, d).where("co >= 2").select("source_id", "target_id")
-    return G.articulation_points(links)
+    """Over all links."""
+    return G.articulation_points(_links(spark, d).select("source_id", "target_id"))
 
 
 def hub_nodes(spark, d):

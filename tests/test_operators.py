@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking
+from factloom.plans import graph_queries
 from factloom.streaming import observers as O
 from factloom.streaming import promoter
 
@@ -108,6 +109,23 @@ def test_articulation_points_in_frames(spark):
     assert {r["id"] for r in graph.articulation_points(e).collect()} == {3, 4}
 
 
+def test_articulation_points_of_a_forest(spark):
+    """Many components of every shape, a path and loops among them; no component goes to one task as a group."""
+    rng = random.Random(3)
+    edges = [(40 * k + rng.randrange(12), 40 * k + rng.randrange(12)) for k in range(25) for _ in range(rng.randint(1, 20))]
+    edges += [(2000 + i, 2001 + i) for i in range(9)] + [(5000, 5000 + i) for i in range(1, 40)]
+    got = graph.articulation_points(spark.createDataFrame(edges, "source_id long, target_id long"))
+    assert sorted(r["id"] for r in got.collect()) == sorted(graph.cut_vertices(sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})))
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_articulation_points_query_takes_all_links(spark, tmp_path):
+    """Parts that met once are links as well."""
+    lines = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (3, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [r["id"] for r in graph_queries.articulation_points(spark, str(tmp_path)).collect()] == [2]
+
+
 def test_similar_sets_against_all_pairs(spark):
     random.seed(9)
     sets = [(i, random.sample("abcdefghijkl", random.randint(0, 9))) for i in range(80)] + [(90 + i, list("abcde")) for i in range(5)]
