@@ -43,8 +43,11 @@ def similar_sets(tokens: DataFrame, threshold: float, measure: str = "jaccard")
     ranked = long.join(long.groupBy("token").agg(F.count("*").alias("df")), "token")
     ordered = ranked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     keep = (F.size("o") - F.ceil(F.size("o") * least - 1e-9) + 1).cast("int")
-    front = ordered.select("k", F.explode(F.slice("o", F.lit(1), keep)).alias("t")).select("k", F.col("t.token").alias("token"))
-    met = front.join(front.select(F.col("k").alias("k2"), "token"), "token").where("k < k2").select("k", "k2").distinct()
+    front = ordered.select("k", F.size("o").alias("m"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "t")).select("k", "m", "i", F.col("t.token").alias("token"))
+    # at the rarest token that two similar sets share, the rest of both is long enough for the shared tokens they need
+    need = (F.col("m") + F.col("n")) * threshold / (1 + threshold) if measure == "jaccard" else threshold * F.sqrt(F.col("m").cast("double") * F.col("n"))
+    met = front.join(front.select(F.col("k").alias("k2"), F.col("m").alias("n"), F.col("i").alias("j"), "token"), "token").where("k < k2")
+    met = met.where(F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need - 1e-9).select("k", "k2").distinct()
     other = kinds.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
     m, n = F.size("s"), F.size("s2")
     both = met.join(kinds, "k").join(other, "k2").where((m >= n * least - 1e-9) & (n >= m * least - 1e-9))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import graph as G
@@ -42,6 +43,12 @@ def near_dup(spark, d):
     return G.similar_sets(x, 0.8).select("a", "b", F.round("sim", 6).alias("jaccard"))
 
 
+def near_dup_documents(spark, d):
+    """Documents whose words overlap by 0.4 or more. They have no vectors, so there is no gate of vectors before."""
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.words(F.lower("text")).alias("tokens"))
+    return G.similar_sets(x, Config().duplicate_overlap).select("a", "b", F.round("sim", 6).alias("jaccard"))
+
+
 def npmi(spark, d):
     counts = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id")).distinct().groupBy("id").agg(F.count("*").alias("n"))
     return G.link_npmi(_links(spark, d), counts).select("source_id", "target_id", F.round("npmi", 5).alias("npmi"))
@@ -97,7 +104,7 @@ def hub_nodes(spark, d):
     return degree.crossJoin(p).where("degree > p90").select("id", "degree")
 
 
-QUERIES = {f.__name__: f for f in (keyword_links, bibliographic, temporal_links, semantic_links, near_dup, npmi, hebbian_update, homeostasis, link_upsert, link_decay, unlinked, ppr_explore, articulation_points, hub_nodes)}
+QUERIES = {f.__name__: f for f in (keyword_links, bibliographic, temporal_links, semantic_links, near_dup, near_dup_documents, npmi, hebbian_update, homeostasis, link_upsert, link_decay, unlinked, ppr_explore, articulation_points, hub_nodes)}
 
 _TOKENS = f"SELECT id, list_distinct(list_filter({S.words('lower(content)')}, lambda w: length(w) > 1 AND w NOT IN {S.strs(P.LINK_STOP_WORDS)})) AS toks FROM {duck_view('rule_facts')}"
 
@@ -107,6 +114,7 @@ def _overlap(rel: str, extra: str = "true") -> str:
 
 
 _PASSAGES = f"SELECT item_id AS id, list_distinct(list_filter({S.words('lower(text)')}, lambda w: length(w) > 3 AND w NOT IN {S.strs(P.LINK_STOP_WORDS)})) AS toks FROM benchmark"
+_DOCUMENTS = f"SELECT doc_id AS id, list_distinct({S.words('lower(text)')}) AS toks FROM documents"
 _J = "shared / (n_a + n_b - shared)"
 _EVENTS = "SELECT event_id AS id, event_type AS scope_id, epoch_us(ts) / 1e6 AS created_at FROM events"
 _BACK = "(SELECT source_id, target_id, strength, last_updated FROM {0} UNION ALL SELECT target_id, source_id, strength, last_updated FROM {0})"
@@ -128,6 +136,7 @@ ORACLES = {
     "semantic_links": f"SELECT source_id, target_id, round(0.5 * sim, 5) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sim DESC, target_id) AS rn FROM (SELECT a.vec_id AS source_id, b.vec_id AS target_id, {S.cosine('a.embedding', 'b.embedding')} AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE sim >= 0.2) WHERE rn <= 5",
     "near_dup": f"""WITH t AS MATERIALIZED (SELECT conv_id * 1000 + turn AS id, list_distinct({S.words('lower(text)')}) AS s FROM conversations), x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS m, len(b.s) AS n FROM t a JOIN t b ON a.id > b.id WHERE len(a.s) > 0 AND len(b.s) > 0)
         SELECT a, b, round(c / (m + n - c), 6) AS jaccard FROM x WHERE c / (m + n - c) >= 0.8""",
+    "near_dup_documents": f"SELECT a, b, round({_J}, 6) AS jaccard FROM {_overlap(_DOCUMENTS)} WHERE {_J} >= 0.4",
     "npmi": f"""WITH c AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), x AS (SELECT source_id, target_id, co / t AS ab, a.n / t AS pa, b.n / t AS pb FROM {_LINKS} l JOIN c a ON a.id = source_id JOIN c b ON b.id = target_id CROSS JOIN (SELECT sum(n)::DOUBLE AS t FROM c))
         SELECT source_id, target_id, round(CASE WHEN ab < 1 THEN greatest(-1.0, least(1.0, ln(ab / (pa * pb)) / -ln(ab))) ELSE 0.0 END, 5) AS npmi FROM x""",
     "hebbian_update": f"""WITH r AS (SELECT l_orderkey AS qid, l_partkey AS id, min(l_linenumber) AS place FROM lineitem GROUP BY ALL), p AS (SELECT a.id AS source_id, b.id AS target_id, sum((1.0::DOUBLE / (1 + a.place)) * (1.0::DOUBLE / (1 + b.place))) AS ab, count(*) AS times FROM r a JOIN r b ON a.qid = b.qid AND a.place < b.place WHERE a.place <= 5 AND b.place <= 5 GROUP BY ALL),

@@ -135,6 +135,13 @@ def test_similar_sets_against_all_pairs(spark):
         assert got == want
 
 
+def test_near_duplicates_of_documents_from_four_tenths(spark, tmp_path):
+    texts = ["a b c d e f g h", "a b c d E f x y", "a b c d x z w v", "A b  c d e f g h", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["a"], r["b"]): r["jaccard"] for r in graph_queries.QUERIES["near_dup_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): 0.6, (3, 0): 1.0, (3, 1): 0.6, (2, 1): 0.454545}
+
+
 def test_npmi_bounds(spark):
     rows = [(a / 10, b / 10, c / 10) for a, b, c in itertools.product(range(0, 11), repeat=3) if a <= b and a <= c]
     got = spark.createDataFrame(rows, "ab double, a double, b double").select(graph.npmi(F.col("ab"), F.col("a"), F.col("b")).alias("v")).collect()
