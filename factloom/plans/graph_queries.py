@@ -27,6 +27,12 @@ def bibliographic(spark, d):
     return G.coupling_links(x).select("source_id", "target_id", F.round("strength", 6).alias("strength"))
 
 
+def bibliographic_facts(spark, d):
+    """Coupling of all facts by words of four letters or more."""
+    x = _tokens(spark, d).withColumn("tokens", F.filter("tokens", lambda t: F.length(t) > 3))
+    return G.coupling_links(x).select("source_id", "target_id", F.round("strength", 6).alias("strength"))
+
+
 def temporal_links(spark, d):
     x = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("row_seq"), F.col("event_type").alias("scope_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("created_at"))
     return G.temporal_links(x).select("source_id", "target_id", F.round("strength", 6).alias("strength"))
@@ -104,7 +110,7 @@ def hub_nodes(spark, d):
     return degree.crossJoin(p).where("degree > p90").select("id", "degree")
 
 
-QUERIES = {f.__name__: f for f in (keyword_links, bibliographic, temporal_links, semantic_links, near_dup, near_dup_documents, npmi, hebbian_update, homeostasis, link_upsert, link_decay, unlinked, ppr_explore, articulation_points, hub_nodes)}
+QUERIES = {f.__name__: f for f in (keyword_links, bibliographic, bibliographic_facts, temporal_links, semantic_links, near_dup, near_dup_documents, npmi, hebbian_update, homeostasis, link_upsert, link_decay, unlinked, ppr_explore, articulation_points, hub_nodes)}
 
 _TOKENS = f"SELECT id, list_distinct(list_filter({S.words('lower(content)')}, lambda w: length(w) > 1 AND w NOT IN {S.strs(P.LINK_STOP_WORDS)})) AS toks FROM {duck_view('rule_facts')}"
 
@@ -114,6 +120,7 @@ def _overlap(rel: str, extra: str = "true") -> str:
 
 
 _PASSAGES = f"SELECT item_id AS id, list_distinct(list_filter({S.words('lower(text)')}, lambda w: length(w) > 3 AND w NOT IN {S.strs(P.LINK_STOP_WORDS)})) AS toks FROM benchmark"
+_FACT_WORDS = f"SELECT id, list_filter(toks, lambda w: length(w) > 3) AS toks FROM ({_TOKENS})"
 _DOCUMENTS = f"SELECT doc_id AS id, list_distinct({S.words('lower(text)')}) AS toks FROM documents"
 _J = "shared / (n_a + n_b - shared)"
 _EVENTS = "SELECT event_id AS id, event_type AS scope_id, epoch_us(ts) / 1e6 AS created_at FROM events"
@@ -132,6 +139,7 @@ def _ppr(rounds: int = 20) -> str:
 ORACLES = {
     "keyword_links": f"SELECT a AS source_id, b AS target_id, round(0.3 * {_J}, 6) AS strength FROM {_overlap(_TOKENS, 'a.id - b.id <= 50')} WHERE shared >= 3 AND {_J} >= 0.15",
     "bibliographic": f"SELECT a AS source_id, b AS target_id, round(0.5 * shared / sqrt(n_a::DOUBLE * n_b), 6) AS strength FROM {_overlap(_PASSAGES)} WHERE shared / sqrt(n_a::DOUBLE * n_b) > 0.3",
+    "bibliographic_facts": f"SELECT a AS source_id, b AS target_id, round(0.5 * shared / sqrt(n_a::DOUBLE * n_b), 6) AS strength FROM {_overlap(_FACT_WORDS)} WHERE shared / sqrt(n_a::DOUBLE * n_b) > 0.3",
     "temporal_links": " UNION ALL ".join(f"SELECT id AS source_id, target_id, round(x, 6) AS strength FROM (SELECT id, lag(id, {i + 1}) OVER w AS target_id, 0.28 * pow(0.85, {i}) * exp(-(created_at - lag(created_at, {i + 1}) OVER w) / 120.0) AS x FROM ({_EVENTS}) WINDOW w AS (PARTITION BY scope_id ORDER BY created_at, id)) WHERE target_id IS NOT NULL AND x > 0.02" for i in range(4)),
     "semantic_links": f"SELECT source_id, target_id, round(0.5 * sim, 5) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sim DESC, target_id) AS rn FROM (SELECT a.vec_id AS source_id, b.vec_id AS target_id, {S.cosine('a.embedding', 'b.embedding')} AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE sim >= 0.2) WHERE rn <= 5",
     "near_dup": f"""WITH t AS MATERIALIZED (SELECT conv_id * 1000 + turn AS id, list_distinct({S.words('lower(text)')}) AS s FROM conversations), x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS m, len(b.s) AS n FROM t a JOIN t b ON a.id > b.id WHERE len(a.s) > 0 AND len(b.s) > 0)

@@ -142,6 +142,13 @@ def test_near_duplicates_of_documents_from_four_tenths(spark, tmp_path):
     assert got == {(1, 0): 0.6, (3, 0): 1.0, (3, 1): 0.6, (2, 1): 0.454545}
 
 
+def test_coupling_of_all_facts(spark, sf_dir):
+    words = {r["id"]: {t for t in r["tokens"] if len(t) > 3} for r in graph_queries._tokens(spark, sf_dir).collect()}
+    want = {(a, b) for a, x in words.items() for b, y in words.items() if a > b and x and y and len(x & y) / math.sqrt(len(x) * len(y)) > 0.3}
+    got = {(r["source_id"], r["target_id"]) for r in graph_queries.QUERIES["bibliographic_facts"](spark, sf_dir).collect()}
+    assert got == want and len(words) >= 200
+
+
 def test_npmi_bounds(spark):
     rows = [(a / 10, b / 10, c / 10) for a, b, c in itertools.product(range(0, 11), repeat=3) if a <= b and a <= c]
     got = spark.createDataFrame(rows, "ab double, a double, b double").select(graph.npmi(F.col("ab"), F.col("a"), F.col("b")).alias("v")).collect()
