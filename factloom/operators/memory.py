@@ -10,7 +10,7 @@ from ..functions import text as T
 from . import graph as G
 from . import lifecycle as L
 from . import ranking as R
-from .nearest import nearest, similarities
+from .nearest import similarities
 
 
 def encode(raw: DataFrame, now: float) -> DataFrame:
@@ -24,9 +24,17 @@ def encode(raw: DataFrame, now: float) -> DataFrame:
 
 
 def contradicted(new: DataFrame, old: DataFrame, threshold: float = 0.12) -> DataFrame:
-    """(id): for each new fact the first older active fact that it takes back. Both have (id, row_seq, content, embedding); candidates are the
-    most similar vectors, of which 50 are scored."""
-    near = nearest(old.select("id_long", "embedding").withColumnRenamed("id_long", "id"), new.select("id_long", "embedding").withColumnRenamed("id_long", "id"), 50)
+    """(id): for each new fact the first older active fact that it takes back. Both have (id_long, row_seq, content, embedding); where both
+    have scope_id as well, a new fact with a scope meets its scope only. Every pair that can score, by its vectors, is scored."""
+    floor = 0.55 - 1e-9 if threshold > 0 else None  # nothing below scores more than 0
+    scoped = "scope_id" in new.columns and "scope_id" in old.columns
+    names = [F.col("id_long").alias("id"), "embedding", *(["scope_id"] if scoped else [])]
+    n, o = new.select(*names), old.select(*names)
+    if scoped:
+        bound = F.coalesce(F.col("scope_id").cast("string"), F.lit("")) != ""
+        near = similarities(o, n.where(bound), block="scope_id", threshold=floor).union(similarities(o, n.where(~bound), threshold=floor))
+    else:
+        near = similarities(o, n, threshold=floor)
     a = new.select(F.col("id_long").alias("query_id"), F.col("content").alias("new_content"))
     b = old.select(F.col("id_long").alias("id"), "content", "row_seq")
     x = near.join(a, "query_id").join(b, "id").withColumn("score", T.contradiction(F.col("new_content"), F.col("content"), F.col("sim"))).where(F.col("score") >= threshold)
@@ -47,7 +55,7 @@ def store(raw: DataFrame, facts: DataFrame, now: float, config: Config = Config(
 
 def near_copies(new: DataFrame, old: DataFrame, config: Config = Config()) -> DataFrame:
     """(id) of new facts that say what an old one says: vectors and words both overlap. Both have (id_long, content, embedding)."""
-    near = nearest(old.select(F.col("id_long").alias("id"), "embedding"), new.select(F.col("id_long").alias("id"), "embedding"), 20, threshold=config.duplicate_similarity)
+    near = similarities(old.select(F.col("id_long").alias("id"), "embedding"), new.select(F.col("id_long").alias("id"), "embedding"), threshold=config.duplicate_similarity)
     a = new.select(F.col("id_long").alias("query_id"), F.array_distinct(T.words(F.lower("content"))).alias("wa"))
     b = old.select(F.col("id_long").alias("id"), F.array_distinct(T.words(F.lower("content"))).alias("wb"))
     x = near.join(a, "query_id").join(b, "id").where(T.overlap(F.col("wa"), F.col("wb")) >= config.duplicate_overlap)

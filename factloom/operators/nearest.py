@@ -58,8 +58,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: str | None =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, tile: int = TILE) -> DataFrame:
-    """(query_id, id, sim) of every query with every vector, for rankings that score all candidates."""
+def similarities(vectors: DataFrame, queries: DataFrame, tile: int = TILE, block: str | None = None, threshold: float | None = None) -> DataFrame:
+    """(query_id, id, sim) of every query with every vector, or those of its block and from ``threshold`` on, for what scores all candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,8 +70,11 @@ def similarities(vectors: DataFrame, queries: DataFrame, tile: int = TILE) -> Da
                 for lo in range(0, len(qi), 64):
                     own = qi[lo : lo + 64]
                     cols = [np.repeat(own, len(vi)), np.tile(vi, len(own)), (q[lo : lo + 64] @ v.T).ravel()]
+                    if threshold is not None:
+                        keep = cols[2] >= threshold
+                        cols = [c[keep] for c in cols]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "id", "sim"])
 
-    left = tiles(queries, None, tile).select("block", F.col("rows").alias("asked"))
-    pairs = left.join(tiles(vectors, None, tile).select("block", "rows"), "block").select("asked", "rows")
+    left = tiles(queries, block, tile).select("block", F.col("rows").alias("asked"))
+    pairs = left.join(tiles(vectors, block, tile).select("block", "rows"), "block").select("asked", "rows")
     return pairs.mapInArrow(run, "query_id long, id long, sim double")

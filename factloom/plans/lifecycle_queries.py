@@ -35,6 +35,25 @@ def store_path(spark, d):
     return out.select("row_seq", "type", "target", "content", "status", "category", F.round("importance", 6).alias("importance"), "source_hash")
 
 
+def store_vectors(spark, d):
+    """The later half of all facts written over the earlier one: near copies are not stored, the others take back older facts of their brand.
+
+    Vectors are the weights of words, dealt to 128 places by a hash.
+    """
+    x = spark_view(spark, d, "rule_facts").select("id", "content", F.col("target").alias("scope_id"))
+    at = F.pmod(F.xxhash64("token"), F.lit(128)).cast("int")
+    w = E.tfidf(x.select("id", F.col("content").alias("text"))).groupBy("id", at.alias("at")).agg(F.round(F.sum("weight"), 6).alias("w"))
+    m = w.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))
+    v = m.select("id", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
+    facts = x.join(v, "id").withColumns({"id_long": F.col("id"), "row_seq": F.col("id")})
+    middle = F.broadcast(x.agg((F.max("id") / 2).alias("middle")))  # one row
+    facts = facts.crossJoin(middle)
+    old, new = facts.where("id <= middle").drop("middle"), facts.where("id > middle").drop("middle")
+    copies = memory.near_copies(new, old)
+    taken = memory.contradicted(new.join(copies, "id", "left_anti"), old)
+    return copies.withColumn("what", F.lit("copy")).union(taken.withColumn("what", F.lit("superseded")))
+
+
 def supersession(spark, d):
     return L.supersede(_facts(spark, d)).select("id", "status")
 
@@ -178,7 +197,7 @@ def linucb_solve(spark, d):
     return B.solve(B.statistics(_bandit_rows(spark, d), ["f0", "f1", "f2"]), 3)
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, store_path, supersession, gauge_cascade, consolidate, merge_dups, merged_facts, access_cap, access_update, system_prompt, stats, hot_facts, scope_scan, substring_access, retag, scope_create, promote_pass, promotion_metrics, promoted_facts, pending_summary, pending_list, session_expiry, training_pairs, chat_export, import_dedup, tfidf_vectors, linucb_stats, linucb_solve)}
+QUERIES = {f.__name__: f for f in (exact_dedup, store_path, store_vectors, supersession, gauge_cascade, consolidate, merge_dups, merged_facts, access_cap, access_update, system_prompt, stats, hot_facts, scope_scan, substring_access, retag, scope_create, promote_pass, promotion_metrics, promoted_facts, pending_summary, pending_list, session_expiry, training_pairs, chat_export, import_dedup, tfidf_vectors, linucb_stats, linucb_solve)}
 
 _F, _P, _A, _RULES = duck_view("facts"), duck_view("pending"), duck_view("access"), duck_view("rule_facts")
 _USED = f"(SELECT CAST(coalesce(sum(length(type) + length(target) + length(content) + 4), 0) AS BIGINT) AS used FROM {_F} WHERE status = 'active')"

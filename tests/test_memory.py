@@ -52,6 +52,19 @@ def test_near_copies_and_contradictions(spark):
     assert {r.id for r in memory.contradicted(new.where("id_long = 11"), old).collect()} == {1}
 
 
+def test_no_close_vector_falls_out_of_copies_and_contradictions(spark):
+    """More close vectors than any fixed number, and nearer ones of another scope, before the fact that counts."""
+    kind = "id_long long, row_seq long, content string, embedding array<float>, scope_id string"
+    old = [(1, 1, "the api uses Redis 6.0 for sessions", [1.0, 0.2], "s")] + [(i, i, f"cats {i} sleep", [1.0, 0.1], "s") for i in range(2, 90)]
+    old += [(i, i, "the api uses Redis 6.0 for sessions", [1.0, 0.1], "t") for i in range(-60, 0)]
+    copy = spark.createDataFrame([(100, 100, "the api uses Redis 6.0 for all sessions", [1.0, 0.1], "s")], kind)
+    back = spark.createDataFrame([(101, 101, "Migrated from Redis 6.0 to Postgres", [1.0, 0.1], "s")], kind)
+    assert {r.id for r in memory.near_copies(copy, spark.createDataFrame(old[:89], kind)).collect()} == {100}
+    assert {r.id for r in memory.contradicted(back, spark.createDataFrame(old, kind)).collect()} == {1}
+    free = back.withColumn("scope_id", F.lit(None).cast("string"))
+    assert {r.id for r in memory.contradicted(free, spark.createDataFrame(old, kind)).collect()} == {-60}
+
+
 def test_state_snapshots(spark, tmp_path):
     s = State(spark, f"file://{tmp_path}/state")
     assert s.read("facts").count() == 0
