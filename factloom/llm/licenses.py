@@ -1,7 +1,8 @@
 """Operator 4: licence scans by sentence rules, with DataFrame functions only.
 
 A text is cut into sentences at line ends and after sentence punctuation (a line end inside a sentence, before a small letter,
-is a space), sentences are normalised to small letters, digits and dots, and each known one is mapped to its identifier.
+is a space), sentences are normalised to small letters, digits and dots, and each known one is mapped to its identifier. A known
+sentence may run over other line ends, comment signs, ``;`` and ``:``, but not over a blank line or another end of a sentence.
 The sequence of identifiers of a document is matched against ordered rules: a rule holds where its identifiers occur in
 its order, with others between them or not. One projection does all of this; nothing is shuffled or joined, so no document,
 key or group is hot.
@@ -61,24 +62,35 @@ RULES = [
     ("proprietary", ["RIGHTS-1"]),
 ]
 
-_WRAPPED = r"([^.!?;:\s])[ \t]*\r?\n[ \t]*([a-z])"
-_ENDED = r"([.!?;:])\s+"
-_OTHER = r"[^a-z0-9.\n]+"
+# What notices put before "licensed under ...".
+_LEAD = r"(?:th(?:is|e) (?:project|software|program|library|package|code|file|repository|document|material) is )?"
 
+_WRAPPED = r"([^.!?;:\s])[ \t]*\n[ \t]*([a-z])"
+_BLANK = r"\n[^\p{L}\p{N}\n\f\x01]*(?=\n)"
+_OTHER = r"[^a-z0-9.\r\f\x01]+"
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order, none of them empty."""
-    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _WRAPPED, "$1 $2")
-    t = F.regexp_replace(F.regexp_replace(F.lower(t), _ENDED, "$1\n"), _OTHER, " ")
-    return F.filter(F.transform(F.split(t, "\n"), lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != "")
+
+def cut(text: Column) -> Column:
+    """A text in small letters, digits and dots with its ends of sentences as marks.
+
+    0x01 ends a sentence; a form feed (after ``;`` and ``:``) and a carriage return (a line end that is no plain wrap: before a capital, a
+    sign or a comment sign) may end one or stand inside one.
+    """
+    t = F.translate(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "\r\n", "\n"), "\r\f\x01", "   ")
+    t = F.lower(F.regexp_replace(t, _WRAPPED, "$1 $2"))
+    t = F.regexp_replace(F.regexp_replace(t, r"[;:]\s+", "\f"), r"[.!?]\s+", "\x01")
+    t = F.translate(F.regexp_replace(t, _BLANK, "\x01"), "\n", "\r")
+    t = F.concat(F.lit("\x01"), F.regexp_replace(t, _OTHER, " "), F.lit("\x01"))
+    return F.regexp_replace(t, r"[ .]*([\r\f\x01])[ .]*", "$1")
 
 
 def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = known or SENTENCES
     table = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
-    found = F.filter(sentences(text), lambda s: s.isin(*known.values()))
-    return F.transform(found, lambda s: F.element_at(table, s))
+    either = "|".join(v.replace(".", r"\.").replace(" ", r"[ \r\f]+") for v in sorted(known.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(cut(text), F.lit(rf"(?<=[\r\f\x01]){_LEAD}({either})(?=[\r\f\x01])"), 1)
+    return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, r"[ \r\f]+", " ")))
 
 
 def matching(ids: Column, rules: list[tuple[str, list[str]]] | None = None) -> Column:

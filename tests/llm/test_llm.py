@@ -311,6 +311,60 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(docs.limit(0)).count() == 0
 
 
+PUBLISHED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+}
+
+
+def test_published_licenses(spark):
+    """Bare, behind comment signs, and with the line ends of other systems."""
+    forms = [lambda t: t, lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */", lambda t: "\n".join("# " + x for x in t.split("\n")), lambda t: "\n".join("// " + x for x in t.split("\n")), lambda t: t.replace("\n", "\r\n")]
+    cases = [(name, f(t)) for name, t in PUBLISHED.items() for f in forms]
+    cases += [("MIT", "This project is licensed under the MIT License."), ("", "This project is not licensed under the MIT License."), ("", "Licensed under\n\nthe MIT license"), ("MIT", "A title\n# licensed under the MIT license\n# and a comment")]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [name for name, _ in cases]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><script>var x="<p>no</p>";</script></head><body><header><p>Site, with a slogan. Nice.</p></header>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="cookie-notice">We use cookies, as all do. Accept them, please.</div>
 <div id="main-col"><article><h1>Big &amp; small</h1><p>First paragraph, with <b>bold</b> words;
