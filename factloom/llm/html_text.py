@@ -3,9 +3,9 @@
 Every text block of a page belongs to a root-to-leaf path of block tags. Per path, text length and punctuation are added
 up over its blocks; their ratios to the number of blocks are smoothed over the page's sequence of blocks, fused by
 product and held against a threshold drawn from their spread. Blocks of paths above it are content, however short a
-single one is. The lowest element that holds nearly all content is the article; its headings, lists and short
+single one is. The lowest element that holds all content is the article; its headings, lists and short
 paragraphs belong to it as well. Elements that name themselves something else (menus, headers and footers of a page, sidebars,
-notices, adverts, forms, reader comments) are left out at any depth.
+notices, adverts, forms, reader comments) are left out at any depth, unless the name is all that speaks against one that holds the article.
 
 Character references are decoded once; white space inside a block becomes one space; blocks are trimmed and joined by
 two line breaks in page order.
@@ -47,38 +47,52 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "out", "depth")
+    __slots__ = ("tag", "parent", "path", "hard", "named", "depth")
 
-    def __init__(self, tag: str, parent: "_Node | None", out: bool) -> None:
+    def __init__(self, tag: str, parent: "_Node | None", out: str) -> None:
         self.tag, self.parent = tag, parent
         self.path = (parent.path + "/" if parent else "") + tag
-        self.out = out or bool(parent and parent.out)
+        self.hard = out == "hard" or bool(parent and parent.hard)
+        self.named = out == "named"  # left out for a word of its own class or id alone
         self.depth = parent.depth + 1 if parent else 0
 
+    def chain(self) -> Iterator["_Node"]:
+        """The element and those around it, outwards."""
+        x = self
+        while x is not None:
+            yield x
+            x = x.parent
+
+    @property
+    def out(self) -> bool:
+        return self.hard or any(x.named for x in self.chain())
+
 
-def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
+def _left_out(tag: str, attrs: str, in_article: bool) -> str:
+    """Why the element is left out: "hard" for what it is, "named" for its class or id; empty if it is not."""
     if tag in _OUT_TAGS or (tag == "header" and not in_article):
-        return True
+        return "hard"
     if not attrs:
-        return False
+        return ""
+    why = ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" and m[2] is None or name == "aria-hidden" and value == "true":
-            return True
+            return "hard"
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return "hard"
         if name == "role" and value.lower() in _OUT_ROLES:
-            return True
+            return "hard"
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             words = {w.lower() for w in _NAME.findall(value)}
             if words & _OUT_NAMES or ("header" in words and not in_article):
-                return True
-    return False
+                why = "named"
+    return why
 
 
 def blocks(page: str) -> list[tuple[_Node, str]]:
     """Text blocks of a page in order, each with the block element it stands in."""
-    root = _Node("", None, False)
+    root = _Node("", None, "")
     at, out, text = root, [], []
     pos, n = 0, len(page)
 
@@ -155,9 +169,47 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), w, mode="valid")
 
 
+def _keep_holder(every: list[tuple[_Node, str]]) -> None:
+    """Undo leaving out by name where the element holds the article.
+
+    It does where the page's only article, main element or first heading stands in it, none with text stands outside, and it has no less text
+    than is left outside; or where nothing is left at all and it has the most text.
+    """
+    soft = [(node, t) for node, t in every if not node.hard]
+    left = sum(len(t) for node, t in soft if not node.out)
+    while not left:
+        held: dict[int, int] = defaultdict(int)
+        tops: dict[int, _Node] = {}
+        for node, t in soft:
+            top = [x for x in node.chain() if x.named][-1]
+            held[id(top)] += len(t)
+            tops[id(top)] = top
+        tops[max(held, key=held.get)].named = False
+        if any(not node.out for node, _ in soft):
+            return
+    for tag in ("article", "main", "h1"):
+        marks = {id(x): x for node, _ in soft for x in node.chain() if x.tag == tag}
+        if any(not node.out for node, _ in soft if any(x.tag == tag for x in node.chain())):
+            if tag == "article":
+                return
+            continue
+        if len(marks) == 1:
+            mark = next(iter(marks.values()))
+            around = {id(x) for x in mark.chain() if x.named}
+            top = [x for x in mark.chain() if x.named]
+            inside = [(node, t) for node, t in soft if top and any(x is top[-1] for x in node.chain()) and all(not x.named or id(x) in around for x in node.chain())]
+            if sum(len(t) for _, t in inside) >= left:
+                for x in top:
+                    x.named = False
+                return
+
+
 def main_text(page: str | None) -> str:
     """The article of a page; empty if there is none."""
-    found = [(node, t) for node, t in blocks(page or "") if not node.out]
+    every = blocks(page or "")
+    if any(not node.hard and node.out for node, _ in every):
+        _keep_holder(every)
+    found = [(node, t) for node, t in every if not node.out]
     if not found:
         return ""
     length, punct, number = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -187,7 +239,7 @@ def main_text(page: str | None) -> str:
                 size[id(x)] += len(t)
                 nodes[id(x)] = x
                 x = x.parent
-    article = max((nodes[i] for i, s in size.items() if s >= 0.95 * total), key=lambda x: x.depth)
+    article = max((nodes[i] for i, s in size.items() if s == total), key=lambda x: x.depth)
     while article.tag not in ("article", "main", "body", "") and article.parent is not None and _leaf_like(article.tag):
         article = article.parent
     whole = article.tag not in ("body", "html", "")

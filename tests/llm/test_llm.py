@@ -386,6 +386,21 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_of_long_and_wrapped_articles():
+    long = "".join(f"<p>Paragraph {i} of the body, which is long, and has marks, too; it goes on, for a while.</p>" for i in range(40))
+    lede = "<h1>Headline</h1><p>The lede, which says it all, is one sentence.</p>"
+    for body in (long, long * 5):
+        got = html_text.main_text(f"<body><article>{lede}<div class=body>{body}</div></article></body>").split("\n\n")
+        assert got[:2] == ["Headline", "The lede, which says it all, is one sentence."] and len(got) == 2 + body.count("<p>")
+        got = html_text.main_text(f"<body><div><section><p>A short section, of one sentence, first.</p></section><section>{body}</section></div></body>").split("\n\n")
+        assert got[0] == "A short section, of one sentence, first." and len(got) == 1 + body.count("<p>")
+    rest = "<div>Some line, elsewhere.</div><section class=comments><p>A reader says, it is good.</p></section>"
+    for wrap in ("<div id='content-sidebar-wrap'>{}</div>", "<div class='post comments-open'>{}</div>", "<div id='content-sidebar-wrap'><article class='post comments-open'>{}</article></div>"):
+        got = html_text.main_text("<body>" + wrap.format(lede + long) + rest + "</body>")
+        assert got.startswith("Headline\n\nThe lede") and "Paragraph 39" in got and "reader" not in got
+    assert "reader" not in html_text.main_text("<body><article>" + lede + "</article><section class=comments><article class=comment><p>" + "A reader says, it is good. " * 99 + "</p></article></section></body>")
+
+
 def test_pages_of_the_test_data(spark, sf_dir):
     import html
 
