@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..frames import attach, materialize
 from ..functions import text as T
 from . import graph as G
 from . import lifecycle as L
 from . import ranking as R
+from . import scoring as C
 from .nearest import similarities
 
 
@@ -62,30 +64,38 @@ def near_copies(new: DataFrame, old: DataFrame, config: Config = Config()) -> Da
     return x.select(F.col("query_id").alias("id")).distinct()
 
 
-def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataFrame, now: float, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataFrame, now: float, config: Config = Config(), learned: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, uses, pairs): the best facts of each query and what a recall would write.
 
-    ``queries`` has (query_id, query, query_scope, embedding), ``facts`` the columns of a snapshot with long ids and vectors. Uses are
-    access rows of the results, pairs the recalled-together facts for :func:`graph.hebbian`. Nothing is written here.
+    Scoring, keyword fusion where it is wanted, reranking by learned utility, dampening, bias correction, diversity. ``queries`` has (query_id,
+    query, query_scope, embedding), ``facts`` the columns of a snapshot with long ids and vectors, ``learned`` (id, q, n_retrieved, updated_at);
+    without learned values, reranking changes nothing. Uses are access rows of the results, pairs the recalled-together facts for
+    :func:`graph.hebbian`. Nothing is written here.
     """
     live = facts.where("status in ('active', 'cold')")
-    sims = similarities(live.select("id", "embedding"), queries.select(F.col("query_id").alias("id"), "embedding"))
     base = R.base_level(access.join(facts.select(F.col("id").alias("fact_id"), "metabolic_rate"), "fact_id"), now, F.col("metabolic_rate")).select(F.col("fact_id").alias("id"), "base")
-    own = R.fact_features(live).join(base, "id", "left").join(R.revival(links, now), "id", "left")
+    degree = links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree"))
+    own = C.fact_features(live).join(base, "id", "left").join(R.revival(links, now), "id", "left").join(C.spread(links, live.select("id", "embedding")), "id", "left").join(degree, "id", "left")
     never = F.ln(F.pow(F.greatest(F.lit(now) - F.col("created_at"), F.lit(0.001)), -config.decay * F.col("metabolic_rate")))
-    x = sims.join(own.withColumn("base", F.coalesce("base", never)).withColumn("scope", F.col("scope_id")), "id")
-    x = x.join(R.query_features(queries.drop("embedding")), "query_id").join(R.hebbian(links, sims), ["query_id", "id"], "left")
-    x = R.components(x)
+    own = own.withColumns({"base": F.coalesce("base", never), "scope": F.col("scope_id"), "degree": F.coalesce("degree", F.lit(0))})
+    if learned is None:
+        updates = 0
+        own = own.withColumns({"q": F.lit(None).cast("double"), "n_retrieved": F.lit(None).cast("long")})
+    else:
+        updates = learned.agg(F.coalesce(F.sum("n_retrieved"), F.lit(0))).first()[0]
+        own = own.join(learned.select("id", R.decayed_q(F.col("q"), F.col("updated_at"), now).alias("q"), F.col("n_retrieved").cast("long").alias("n_retrieved")), "id", "left")
+    asked = C.query_features(queries).withColumn("n_terms", F.size("query_terms"))
+    x = C.score(own, asked, keep=("row_seq", "access_count", "type", "settled", "degree", "q", "n_retrieved"), ask=("n_terms", "want")).drop(*[c for c in R.COMPONENTS if c != "spreading"], "sim")
     kw = R.bm25(facts.select("id", F.concat_ws(" ", "content", "target").alias("text"), F.col("status").isin("active", "cold").alias("allowed")), queries.select("query_id", "query"), config.keyword_limit)
-    x = x.join(kw, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    wanted = R.fusion_wanted(x, F.col("type") != "V")
-    x = R.strong_match(R.fuse(x)).join(wanted, "query_id").withColumn("score", F.when(F.col("fuse"), F.col("final")).otherwise(F.col("score")))
-    degree = links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree"))
-    x = x.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).crossJoin(F.broadcast(R.percentile_90(degree.select("degree"))))  # one row
-    x = x.withColumns({"p90": F.coalesce("p90", F.lit(0)), "max_degree": F.coalesce("max_degree", F.lit(0))})
+    x = attach(x, kw, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    x = materialize(R.strong_match(R.fuse(x)), "fused")
+    x = attach(x, R.fusion_wanted(x, F.col("type") != "V"), "query_id").withColumn("score", F.when(F.col("fuse"), F.col("final")).otherwise(F.col("score")))
+    x = R.rerank(x, int(updates)).withColumn("score", F.col("reranked"))
+    x = x.crossJoin(F.broadcast(R.percentile_90(degree.select("degree"))))  # one row
+    x = materialize(x.withColumns({"p90": F.coalesce("p90", F.lit(0)), "max_degree": F.coalesce("max_degree", F.lit(0))}), "reranked")
     x = R.dampen(x).withColumn("score", F.col("dampened"))
-    x = R.correct_bias(x).withColumn("score", F.col("corrected")).withColumn("tokens", T.terms(F.col("content")))
-    results = R.diversify(x, config.top_k, config.diversity_penalty)
+    x = R.correct_bias(x).withColumn("score", F.col("corrected")).select("query_id", "id", "row_seq", "score")
+    results = materialize(R.diversify(R.pool(x, config.top_k).join(live.select("id", "embedding", T.terms(F.col("content")).alias("tokens")), "id"), config.top_k, config.diversity_penalty), "results")
     uses = results.groupBy("id").agg(F.count("*").alias("n")).withColumn("seen_at", F.lit(float(now)))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     pairs = results.withColumn("place", F.row_number().over(top)).select("query_id", "id", "place", F.col("score").alias("activation"))

@@ -1,7 +1,7 @@
 """Ranking: activation, components, fusion, reranking, dampening, bias correction, diversity.
 
-Every stage takes and returns a frame with a row per (query_id, id), so that many queries rank in one job, dealt by query.
-The clock is a parameter everywhere.
+Every stage takes and returns a frame with a row per (query_id, id), so that many queries rank in one job. Scores of candidates come from
+:mod:`.scoring`. The clock is a parameter everywhere.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import attach, materialize, ranks
 from ..functions import text as T
 
 DECAY, W_SEMANTIC, W_IMPORTANCE, SCOPE_MULTIPLIER = 0.3, 0.5, 0.7, 1.5
@@ -50,68 +51,47 @@ def hebbian(links: DataFrame, sims: DataFrame) -> DataFrame:
     return spread.agg(F.least(F.sum(F.col("strength") * F.col("sim")), F.lit(1.0)).alias("heb"))
 
 
-def fact_features(facts: DataFrame) -> DataFrame:
-    """What scoring needs of a fact alone, worked out once per fact and not once per pair."""
-    return facts.withColumns({"adv": T.adversarial(F.col("content")), "target_terms": T.terms(F.col("target")), "text_flags": T.shape_text_flags(F.col("content"))})
-
-
-def query_features(queries: DataFrame) -> DataFrame:
-    return queries.withColumns({"query_terms": T.terms(F.col("query")), "query_flags": T.shape_query_flags(F.col("query"))})
-
-
-def components(x: DataFrame) -> DataFrame:
-    """The eight components and their total. Needs the columns of :func:`fact_features` and :func:`query_features`, query_scope, scope,
-    importance, access_count, base, spike, sim and heb."""
-    in_scope = F.col("query_scope").isNotNull() & F.col("scope").isNotNull() & (F.col("scope") != "global") & F.startswith("scope", "query_scope")
-    out = x.withColumns({
-        "base_level": F.col("base"),
-        "revival_spike": F.coalesce("spike", F.lit(0.0)),
-        "spreading": W_SEMANTIC * F.col("sim") + F.coalesce("heb", F.lit(0.0)),
-        "importance_boost": importance_boost(F.col("importance"), F.col("access_count"), F.col("base"), F.col("sim")),
-        "scope_boost": F.when(in_scope, SCOPE_MULTIPLIER * (0.5 + 0.5 * F.col("sim"))).otherwise(0.0),
-        "adversarial_penalty": F.when(F.col("adv") > 0.2, -10.0 * F.col("adv")).otherwise(0.0),
-        "target_match_boost": T.target_boost(F.col("query_terms"), F.col("target_terms")),
-        "answer_shape_boost": T.shape_score(F.col("query_flags"), F.col("text_flags")),
-    })
-    total = F.col(COMPONENTS[0])
-    for n in COMPONENTS[1:]:
-        total = total + F.col(n)
-    return out.withColumn("score", total)
-
-
 def bm25(facts: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
     """(query_id, id, bm25): the best facts of each query; terms match as beginnings of tokens.
 
     ``facts`` has (id, text, allowed): all rows shape the statistics, allowed ones are returned. An inverted index of
-    (token, id, tf) is joined on tokens; prefixes are joined to the vocabulary alone, not to the postings.
+    (token, id, tf) is joined on tokens; prefixes are joined to the vocabulary alone, not to the postings. Queries with the same terms are
+    answered once, and their answers, ``limit`` rows each, are dealt out at the end.
     """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     split = facts.select("id", "allowed", tokens.alias("tokens"))
     sizes = split.select("id", "allowed", F.size("tokens").alias("len"))
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     postings = split.select("id", F.explode("tokens").alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
-    asked = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term"))
+    keyed = materialize(queries.select("query_id", T.terms(F.col("query")).alias("terms")), "asked")
+    asked = keyed.select("terms").distinct().withColumn("ask", F.xxhash64("terms"))
+    asked = materialize(asked.select("ask", F.explode("terms").alias("term")), "terms")
+    vocabulary = split.select(F.explode("tokens").alias("token")).distinct()
     lengths = F.expr("sequence(2, greatest(2, length(token)))")
-    vocabulary = postings.select("token").distinct().withColumn("term", F.explode(F.transform(lengths, lambda n: F.substring("token", F.lit(1), n))))
-    hits = asked.join(vocabulary, "term").join(postings, "token").groupBy("query_id", "term", "id").agg(F.sum("tf").alias("f"))
-    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    prefixes = vocabulary.withColumn("term", F.explode(F.transform(lengths, lambda n: F.substring("token", F.lit(1), n))))
+    met = materialize(asked.join(prefixes, "term").select("ask", "term", "token"), "met")  # only postings of these tokens are read on
+    hits = attach(postings, met, "token").groupBy("ask", "term", "id").agg(F.sum("tf").alias("f"))
+    hits = materialize(hits, "hits")
+    df = hits.groupBy("ask", "term").agg(F.count("*").alias("n"))
     raw = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     norm = F.col("f") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))
-    x = hits.join(df, ["query_id", "term"]).join(sizes, "id").crossJoin(F.broadcast(stats))  # one row of statistics
-    scored = x.where("allowed").groupBy("query_id", "id").agg(F.sum(idf * F.col("f") * 2.2 / norm).alias("bm25"))
-    top = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id")
-    return scored.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= limit).drop("rn")
+    x = attach(hits, df.crossJoin(F.broadcast(stats)), ["ask", "term"]).join(sizes, "id")  # one row of statistics
+    scored = x.where("allowed").groupBy("ask", "id").agg(F.sum(idf * F.col("f") * 2.2 / norm).alias("bm25"))
+    top = Window.partitionBy("ask").orderBy(F.desc(F.round("bm25", 9)), "id")
+    best = scored.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= limit).select("ask", "id", "bm25")
+    return attach(keyed.select("query_id", F.xxhash64("terms").alias("ask")), best, "ask").select("query_id", "id", "bm25")
 
 
 def fuse(x: DataFrame) -> DataFrame:
-    """Reciprocal-rank fusion of (query_id, id, row_seq, score, bm25): rank-only from the last negative score backwards, else weighted by score."""
-    q = Window.partitionBy("query_id")
-    r_act = F.row_number().over(q.orderBy(F.desc("score"), "row_seq")) - 1
-    r_kw = F.row_number().over(q.orderBy(F.desc("bm25"), "row_seq")) - 1
-    ahead = q.orderBy("row_seq").rowsBetween(0, Window.unboundedFollowing)
-    negative = F.max((F.col("score") < 0).cast("int")).over(ahead) == 1
-    x = x.withColumns({"r_act": r_act, "r_kw": r_kw, "negative": negative})
+    """Reciprocal-rank fusion of (query_id, id, row_seq, score, bm25): rank-only from the last negative score backwards, else weighted by score.
+
+    A query's candidates are ranked where they lie (see :func:`frames.ranks`), so a query with any number of them is spread over tasks.
+    """
+    x = ranks(materialize(x, "candidates"), "query_id", [F.desc("score"), F.col("row_seq")], "r_act")
+    x = ranks(x, "query_id", [F.desc("bm25"), F.col("row_seq")], "r_kw")
+    last = x.where("score < 0").groupBy("query_id").agg(F.max("row_seq").alias("_last_negative"))
+    x = attach(x, last, "query_id", "left").withColumn("negative", F.coalesce(F.col("row_seq") <= F.col("_last_negative"), F.lit(False))).drop("_last_negative")
     rank_only = W_ACTIVATION / (RRF_K + F.col("r_act") + 1) + W_KEYWORD / (RRF_K + F.col("r_kw") + 1)
     weighted = W_ACTIVATION * F.col("score") / (RRF_K + F.col("r_act") + 1) + W_KEYWORD * F.col("bm25") / (RRF_K + F.col("r_kw") + 1)
     return x.withColumn("rrf", F.when(F.col("negative"), rank_only).otherwise(weighted))
@@ -119,24 +99,27 @@ def fuse(x: DataFrame) -> DataFrame:
 
 def fusion_wanted(x: DataFrame, has_typed: Column) -> DataFrame:
     """Whether each query fuses: a clear keyword match, or typed facts and a small gap between the first two scores in scan order."""
-    q = Window.partitionBy("query_id")
-    x = x.withColumn("rn", F.row_number().over(q.orderBy("row_seq"))).withColumn("typed", has_typed)
-    g = x.groupBy("query_id").agg(F.max("bm25").alias("top"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("s0"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("s1"), F.max("typed").alias("typed"))
+    place = F.struct(F.col("row_seq"), F.col("score"))
+    first = x.groupBy("query_id").agg(F.max("bm25").alias("top"), F.max(has_typed).alias("typed"), F.min(place).alias("_p0"))
+    first = materialize(first, "firsts")
+    rest = attach(x, first.select("query_id", "_p0"), "query_id").where(F.col("row_seq") > F.col("_p0.row_seq"))
+    g = first.join(rest.groupBy("query_id").agg(F.min(place).alias("_p1")), "query_id", "left")
+    g = g.withColumns({"s0": F.col("_p0.score"), "s1": F.col("_p1.score")})
     gap = F.when(F.col("s0") != 0, F.abs(F.col("s0") - F.col("s1"))).otherwise(0.0)
     return g.select("query_id", ((F.col("top") > 0.15) | ((F.col("top") > 0) & F.col("typed") & F.col("s1").isNotNull() & (gap < 0.5))).alias("fuse"))
 
 
 def _per_query(x: DataFrame, *aggs: Column) -> DataFrame:
     """Rows with aggregates over their query: combined before the shuffle, so that a query's candidates never meet in one task."""
-    return x.join(x.groupBy("query_id").agg(*aggs), "query_id")
+    return attach(x, x.groupBy("query_id").agg(*aggs), "query_id")
 
 
 def strong_match(x: DataFrame, score: str = "rrf") -> DataFrame:
     """Lift a dominant keyword match (over 0.3 and five times the next) above the best score."""
     place = F.struct(F.col("bm25"), (-F.col("row_seq")).alias("o"), F.col("id").alias("i"))
-    x = _per_query(x, F.max(place).alias("_first"), F.max(score).alias("_top"))
-    rest = x.where(F.col("id") != F.col("_first.i")).groupBy("query_id").agg(F.max("bm25").alias("_second"))
-    x = x.join(rest, "query_id", "left")
+    tops = materialize(x.groupBy("query_id").agg(F.max(place).alias("_first"), F.max(score).alias("_top")), "tops")
+    rest = attach(x, tops.select("query_id", "_first"), "query_id").where(F.col("id") != F.col("_first.i")).groupBy("query_id").agg(F.max("bm25").alias("_second"))
+    x = attach(x, tops.join(rest, "query_id", "left"), "query_id")
     first, second = F.col("_first.bm25"), F.coalesce("_second", F.lit(0.0))
     dominant = (F.col("id") == F.col("_first.i")) & (first > 0.3) & ((second == 0) | (first / F.greatest(second, F.lit(0.001)) >= 5))
     lifted = F.col("_top") + F.abs("_top") * 0.5 + 0.1
@@ -177,19 +160,16 @@ def percentile_90(degrees: DataFrame) -> DataFrame:
     return hist.withColumns({"run": run, "total": total}).agg(F.min(F.when(F.col("run") >= at, F.col("degree"))).alias("p90"), F.max("degree").alias("max_degree"))
 
 
-def dampen(x: DataFrame) -> DataFrame:
-    """Gravity, hub, resolution and intent factors. Needs query, content, target, type, category, score, bm25, spreading, degree, p90 and max_degree."""
-    asked, own = T.terms(F.col("query")), F.array_union(T.terms(F.col("content")), F.when(F.col("target") != "general", T.terms(F.col("target"))).otherwise(F.array().cast("array<string>")))
-    met = F.exists(asked, lambda a: F.exists(own, lambda b: (a == b) | ((F.length(a) >= 4) & (b.startswith(a) | a.startswith(b)))))
-    x = _per_query(x, F.max("score").alias("_top"))
+def dampen(x: DataFrame, tops: DataFrame | None = None) -> DataFrame:
+    """Gravity, hub, resolution and intent factors. Needs score, bm25, spreading, degree, p90, max_degree, type, and what
+    :mod:`.scoring` gives: met, n_terms (query terms), want (the query's fact type) and settled. ``tops`` (query_id, _top) has the best score of each query if it is known."""
+    x = _per_query(x, F.max("score").alias("_top")) if tops is None else attach(x, tops, "query_id")
     top = F.col("_top")
-    x = x.withColumn("g", F.when((top > 0) & (F.col("score") > 0.3 * top) & (F.size(asked) > 0) & ~met, 0.6).otherwise(1.0))
+    x = x.withColumn("g", F.when((top > 0) & (F.col("score") > 0.3 * top) & (F.col("n_terms") > 0) & ~F.col("met"), 0.6).otherwise(1.0))
     spread = F.greatest(F.col("max_degree") - F.col("p90"), F.lit(1)).cast("double")
     hub = F.when((F.col("degree") > F.col("p90")) & ~((F.col("bm25") > 1.0) | (F.col("spreading") > 0.15)), F.greatest(F.lit(0.2), 1.0 - 0.3 * (F.col("degree") - F.col("p90")) / spread)).otherwise(1.0)
-    kind = T.lookup(T.intent(F.col("query")), {"value": "V", "constraint": "C", "decision": "D"})
-    solid = F.col("category").isin("decision", "correction", "procedural", "causal") | F.col("type").isin("C", "D")
-    x = x.withColumns({"h": hub, "r": F.when(solid, 1.25).otherwise(1.0), "i": F.when(F.coalesce(F.col("type") == kind, F.lit(False)), 1.15).otherwise(1.0)})
-    return x.withColumn("dampened", F.col("score") * F.col("g") * F.col("h") * F.col("r") * F.col("i"))
+    x = x.withColumns({"h": hub, "r": F.when(F.col("settled"), 1.25).otherwise(1.0), "i": F.when(F.coalesce(F.col("type") == F.col("want"), F.lit(False)), 1.15).otherwise(1.0)})
+    return x.withColumn("dampened", F.col("score") * F.col("g") * F.col("h") * F.col("r") * F.col("i")).drop("_top")
 
 
 def correct_bias(x: DataFrame) -> DataFrame:
@@ -202,11 +182,15 @@ def correct_bias(x: DataFrame) -> DataFrame:
     return x.withColumn("corrected", F.when(enough, F.col("score") + step).otherwise(F.col("score")))
 
 
-def diversify(x: DataFrame, k: int = 8, penalty: float = 0.35) -> DataFrame:
-    """Greedy diversity over the best max(k, 12) rows of each query; needs embedding and tokens. The pool is bounded, so a query is one small group."""
-    pool = max(k, 12)
+def pool(x: DataFrame, k: int = 8) -> DataFrame:
+    """The best max(k, 12) rows of each query. Each task passes on no more than that of a query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_seq")
-    top = x.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= pool).select("query_id", "id", "row_seq", "score", "embedding", "tokens")
+    return x.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= max(k, 12)).drop("_rn")
+
+
+def diversify(x: DataFrame, k: int = 8, penalty: float = 0.35) -> DataFrame:
+    """Greedy diversity over the :func:`pool` of each query; needs embedding and tokens. The pool is bounded, so a query is one small group."""
+    top = pool(x, k).select("query_id", "id", "row_seq", "score", "embedding", "tokens")
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["score", "row_seq"], ascending=[False, True]).reset_index(drop=True)

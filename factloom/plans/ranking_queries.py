@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..frames import attach, materialize
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import ranking as R
+from ..operators import scoring as C
 from ..operators.nearest import nearest, similarities
 from . import sql as S
 from .text_queries import _intent, _shape, _terms
@@ -34,16 +36,15 @@ def _sims(spark, d):
 
 
 def _candidates(spark, d):
-    """What scoring needs, a row per (query, fact)."""
-    facts = R.fact_features(spark_view(spark, d, "rule_facts").select("id", "content", "target"))
-    asked = R.query_features(spark_view(spark, d, "asked"))
+    """(facts, queries): what scoring needs of each side."""
     base = R.base_level(spark_view(spark, d, "access"), NOW, _rate()).select(F.col("fact_id").alias("user"), "base")
-    links = _links(spark, d)
-    sims = _sims(spark, d)
-    facts = facts.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id").withColumn("user", F.col("id") % 100)
-    facts = facts.join(base, "user").join(R.revival(links, NOW), "id", "left")
-    x = sims.join(facts, "id").join(asked, "query_id").join(R.hebbian(links, sims), ["query_id", "id"], "left")
-    return x.withColumns({"importance": (F.col("id") % 10) / 10.0, "access_count": F.col("id") % 12, "scope": F.concat(F.lit("s"), (F.col("id") % 3).cast("string")), "query_scope": F.when(F.col("query_id") % 40 == 0, "s1"), "row_seq": F.col("id")})
+    links = materialize(_links(spark, d).select("source_id", "target_id", "strength", "last_updated"), "links")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    facts = spark_view(spark, d, "rule_facts").select("id", "content", "target").join(vectors, "id").withColumns({"user": F.col("id") % 100, "type": F.lit("V")})
+    facts = C.fact_features(facts).join(base, "user").join(R.revival(links, NOW), "id", "left").join(C.spread(links.join(vectors.select(F.col("id").alias("source_id")), "source_id", "left_semi"), vectors), "id", "left")
+    facts = facts.withColumns({"importance": (F.col("id") % 10) / 10.0, "access_count": F.col("id") % 12, "scope": F.concat(F.lit("s"), (F.col("id") % 3).cast("string")), "row_seq": F.col("id")})
+    asked = C.query_features(spark_view(spark, d, "asked")).join(vectors.select(F.col("id").alias("query_id"), "embedding"), "query_id")
+    return facts, asked.withColumn("query_scope", F.when(F.col("query_id") % 40 == 0, "s1"))
 
 
 def actr_topk(spark, d):
@@ -62,9 +63,7 @@ def importance_saturation(spark, d):
 
 
 def score_candidates(spark, d):
-    out = R.components(_candidates(spark, d))
-    names = ["base_level", "revival_spike", "spreading", "importance_boost", "scope_boost", "adversarial_penalty", "target_match_boost", "answer_shape_boost", "score"]
-    return out.select("query_id", "id", *[F.round(n, 5).alias(n) for n in names])
+    return C.score(*_candidates(spark, d)).select("query_id", "id", *[F.round(n, 5).alias(n) for n in (*R.COMPONENTS, "score")])
 
 
 def cosine_topk(spark, d):
@@ -87,9 +86,9 @@ def _ranked(spark, d):
 
 
 def rrf_fusion(spark, d):
-    x = _ranked(spark, d)
+    x = materialize(_ranked(spark, d).select("query_id", "id", "row_seq", "type", "score", "bm25"), "ranked")
     wanted = R.fusion_wanted(x, F.col("type") != "V")
-    fused = R.strong_match(R.fuse(x)).join(F.broadcast(wanted), "query_id")  # a row per query
+    fused = attach(R.strong_match(R.fuse(x.drop("type"))), wanted, "query_id")
     return fused.select("query_id", "id", "fuse", "r_act", "r_kw", F.round("rrf", 8).alias("rrf"), F.round("final", 8).alias("final"))
 
 
@@ -100,14 +99,17 @@ def q_rerank(spark, d):
 
 
 def dampening(spark, d):
-    links = _links(spark, d)
-    degree = links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree"))
+    degree = materialize(_links(spark, d).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree")), "degree")
     p = R.percentile_90(degree.select("degree"))
-    asked = spark_view(spark, d, "asked")
     facts = spark_view(spark, d, "rule_facts").withColumn("type", F.when(F.col("id") % 4 == 0, "C").otherwise("V"))
-    x = facts.crossJoin(asked).join(degree, "id", "left").crossJoin(F.broadcast(p))  # one row
-    x = x.withColumns({"degree": F.coalesce("degree", F.lit(0)), "category": T.category(F.col("content")), "score": ((F.col("id") * 37 + F.col("query_id") * 11) % 101) / 10.0 - 1.0, "bm25": (F.col("id") % 30) / 20.0, "spreading": (F.col("id") % 20) / 100.0})
-    return R.dampen(x).select("query_id", "id", F.round(F.col("dampened") + 3.1415926e-7, 5).alias("dampened"))
+    facts = C.fact_features(facts).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    asked = C.query_features(spark_view(spark, d, "asked")).withColumn("n_terms", F.size("query_terms"))
+    score = ((F.col("id") * 37 + F.col("query_id") * 11) % 101) / 10.0 - 1.0
+    x = C.text_scores(facts, asked, ("type", "settled", "degree"), ("n_terms", "want")).crossJoin(F.broadcast(p))  # one row
+    x = x.withColumns({"score": score, "bm25": (F.col("id") % 30) / 20.0, "spreading": (F.col("id") % 20) / 100.0})
+    # a query's best score takes ids and query numbers alone, in blocks of the query set
+    tops = facts.select("id").crossJoin(asked.select("query_id")).groupBy("query_id").agg(F.max(score).alias("_top"))
+    return R.dampen(x, tops).select("query_id", "id", F.round(F.col("dampened") + 3.1415926e-7, 5).alias("dampened"))
 
 
 def hub_degree(spark, d):
@@ -120,8 +122,10 @@ def ips(spark, d):
 
 
 def mmr(spark, d):
-    x = R.components(_candidates(spark, d)).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
-    return R.diversify(x.withColumn("tokens", T.terms(F.col("content"))))
+    facts, asked = _candidates(spark, d)
+    best = C.score(facts, asked, keep=("row_seq", "embedding"), best=12)
+    content = materialize(facts.select("id", T.terms(F.col("content")).alias("tokens")), "tokens")
+    return R.diversify(materialize(best.select("query_id", "id", "row_seq", "score", "embedding"), "best").join(content, "id"))
 
 
 def reward_ema(spark, d):
@@ -146,11 +150,11 @@ def retrieval_exposure(spark, d):
 
 
 def full_recall(spark, d):
-    """Scoring, keyword fusion, dampening and bias correction for the query set; the best eight of each."""
-    x = R.components(_candidates(spark, d))
+    """Scoring, keyword fusion and bias correction for the query set; the best eight of each."""
+    x = C.score(*_candidates(spark, d), keep=("row_seq", "access_count")).select("query_id", "id", "row_seq", "access_count", F.round("score", 6).alias("score"))
     facts = spark_view(spark, d, "rule_facts").select("id", F.concat_ws(" ", "content", "target").alias("text"), F.lit(True).alias("allowed"))
     kw = R.bm25(facts, spark_view(spark, d, "asked"))
-    x = x.join(kw, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).withColumn("score", F.round("score", 6)).withColumn("bm25", F.round("bm25", 6))
+    x = attach(x, kw, ["query_id", "id"], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 6))
     x = R.strong_match(R.fuse(x)).withColumn("score", F.round("final", 10))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     x = R.correct_bias(x).withColumn("score", F.round("corrected", 8)).withColumn("rank", F.row_number().over(top))
