@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators import scoring as C
 from . import sql as S
 from .views import duck_view, spark_view, table
 
@@ -43,8 +44,9 @@ def adversarial(spark, d):
 
 def answer_shape(spark, d):
     """All facts under the questions of the query set."""
-    both = spark_view(spark, d, "rule_facts").crossJoin(spark_view(spark, d, "asked"))
-    return both.select("id", "query_id", F.round(T.answer_shape(F.col("query"), F.col("content")), 6).alias("shape"), F.round(T.target_boost(T.terms(F.col("query")), T.terms(F.col("content"))), 6).alias("boost"))
+    facts = spark_view(spark, d, "rule_facts").select("id", T.shape_text_flags(F.col("content")).alias("text_flags"), T.terms(F.col("content")).alias("terms"))
+    both = C.text_scores(facts, C.query_features(spark_view(spark, d, "asked")), terms="terms")
+    return both.select("id", "query_id", F.round("shape", 6).alias("shape"), F.round("boost", 6).alias("boost"))
 
 
 def update_signal(spark, d):
