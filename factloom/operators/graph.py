@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import BROADCAST_ROWS, drop, materialize, new_path
+from ..shipping import ship
 from .nearest import nearest
 
 
@@ -29,28 +32,62 @@ def overlaps(tokens: DataFrame, recent: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
+#: Counters of the table that orders tokens by how rare they are; it goes to every task, whatever the vocabulary's size.
+COUNTERS = 1 << 20
+
+
+def _rare_first(kinds: DataFrame) -> DataFrame:
+    """(k, m, o, w0 to w3) of (k, s): the hashes of a set's tokens, rare ones first, and a bitmap of 256 places they fall on.
+
+    How often a token occurs is read from ``COUNTERS`` counters that tokens share by hash. That is a global order like any other, and the same on
+    every run, so nothing that is built on it becomes inexact; a token that shares its counter with a frequent one only stands later.
+    """
+    spark = kinds.sparkSession
+    ship(spark)
+    hashed = materialize(kinds.select("k", F.transform("s", lambda t: F.xxhash64(t)).alias("h")), "hashed")
+    held = hashed.select(F.explode("h").alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("at")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[held.column("at").to_numpy()] = held.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts.astype(np.float32))  # 4 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(1)
+            ends = col.offsets.to_numpy() - col.offsets[0].as_py()
+            h = col.flatten().to_numpy()
+            of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            h = h[np.lexsort((h, shared.value[np.mod(h, COUNTERS)], of))]
+            bit, word = np.uint64(1) << (h.view(np.uint64) >> np.uint64(20) & np.uint64(63)), (h.view(np.uint64) >> np.uint64(26) & np.uint64(3)).astype(np.int64)
+            maps = np.zeros((len(ends) - 1, 4), np.uint64)
+            np.bitwise_or.at(maps, (of, word), bit)
+            cols = [batch.column(0), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(4)]], names=["k", "m", "o", "w0", "w1", "w2", "w3"])
+
+    return hashed.mapInArrow(run, "k long, m int, o array<long>, w0 long, w1 long, w2 long, w3 long")
+
+
 def similar_sets(tokens: DataFrame, threshold: float, measure: str = "jaccard") -> DataFrame:
     """(a, b, sim) of all pairs a > b of (id, tokens) whose sets have a similarity of ``threshold`` or more. Exact.
 
     ``measure`` is "jaccard" or "cosine" (shared over the geometric mean of the sizes). Sets that similar share one of their rarest tokens: a
-    set of n keeps its n - ceil(least share * n) + 1 rarest, and pairs that meet there are verified. Equal sets are one set while pairs are
-    sought, so many copies cost no pairs until the end.
+    set of n keeps its n - ceil(least share * n) + 1 rarest. Where two meet, their sizes, what is left of both behind the token, and bitmaps of
+    their tokens (places in which they differ are tokens in which they differ) tell nearly all that are not similar, so that only the others
+    leave the task and are compared. Equal sets are one set while pairs are sought, so many copies cost no pairs until the end.
     """
     least = threshold if measure == "jaccard" else threshold**2
     sets = tokens.select("id", F.array_sort(F.array_distinct("tokens")).alias("s")).where(F.size("s") > 0)
-    kinds = sets.select("s").distinct().withColumn("k", F.xxhash64("s"))
-    long = kinds.select("k", F.explode("s").alias("token"))
-    ranked = long.join(long.groupBy("token").agg(F.count("*").alias("df")), "token")
-    ordered = ranked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    keep = (F.size("o") - F.ceil(F.size("o") * least - 1e-9) + 1).cast("int")
-    front = ordered.select("k", F.size("o").alias("m"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "t")).select("k", "m", "i", F.col("t.token").alias("token"))
+    kinds = materialize(sets.select(F.xxhash64("s").alias("k"), "s").groupBy("k").agg(F.first("s").alias("s")), "sets")
+    keep = (F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1).cast("int")
+    front = _rare_first(kinds).select("k", "m", "w0", "w1", "w2", "w3", F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "token"))
+    other = front.select("token", *[F.col(c).alias(f"{c}_b") for c in ("k", "m", "w0", "w1", "w2", "w3", "i")])
     # at the rarest token that two similar sets share, the rest of both is long enough for the shared tokens they need
-    need = (F.col("m") + F.col("n")) * threshold / (1 + threshold) if measure == "jaccard" else threshold * F.sqrt(F.col("m").cast("double") * F.col("n"))
-    met = front.join(front.select(F.col("k").alias("k2"), F.col("m").alias("n"), F.col("i").alias("j"), "token"), "token").where("k < k2")
-    met = met.where(F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need - 1e-9).select("k", "k2").distinct()
-    other = kinds.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
+    m, n = F.col("m"), F.col("m_b")
+    need = (m + n) * threshold / (1 + threshold) if measure == "jaccard" else threshold * F.sqrt(m.cast("double") * n)
+    met = front.join(other, "token").where("k < k_b").where((m >= n * least - 1e-9) & (n >= m * least - 1e-9) & (F.least(m - F.col("i"), n - F.col("i_b")) >= need - 1e-9))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(4)])
+    met = materialize(met.where(apart <= m + n - 2 * need + 1e-9).select("k", F.col("k_b").alias("k2")).distinct(), "met")
+    both = met.join(kinds, "k").join(kinds.select(F.col("k").alias("k2"), F.col("s").alias("s2")), "k2")
     m, n = F.size("s"), F.size("s2")
-    both = met.join(kinds, "k").join(other, "k2").where((m >= n * least - 1e-9) & (n >= m * least - 1e-9))
     shared = F.size(F.array_intersect("s", "s2"))
     sim = shared / (m + n - shared) if measure == "jaccard" else shared / F.sqrt(m.cast("double") * n)
     near = both.select("k", "k2", sim.alias("sim")).where(F.col("sim") >= threshold)
@@ -149,72 +186,109 @@ def homeostasis(links: DataFrame, limit: float = 0.7) -> DataFrame:
     return x.select("source_id", "target_id", (F.col("strength") * F.coalesce("fa", F.lit(1.0)) * F.coalesce("fb", F.lit(1.0))).alias("strength"))
 
 
-def explore(links: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float = 0.45) -> DataFrame:
+#: Links of a node in one row of the weight table; a hub has several.
+HUB_LINKS = 10_000
+
+
+def explore(links: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float = 0.45, order: str | None = None) -> DataFrame:
     """(id, s): personalised exploration from (id, seed) over (source_id, target_id, strength).
 
     Pull form, normalised by the receiver: s'(v) = alpha * p(v) + (1 - alpha) * sum(s(u) * w(v, u)) / sum(w(v, u)). The graph is
-    made symmetric first. Exactly ``rounds`` rounds; plans are cut by checkpoints in the cluster's folder where one is set.
+    made symmetric first; of rows of one pair, in either direction, the last in ``order`` (a column) counts, or without one the greatest strength.
+    Exactly ``rounds`` rounds.
+
+    Weights are dealt once: each node ``u`` has rows of at most about ``HUB_LINKS`` of its links, bucketed by (u, part). A round sends a score to
+    each row of its node and the sums back to the receivers; weights stay where they are. Rounds end in the shared folder.
     """
-    w = both_ways(links.select("source_id", "target_id", "strength")).groupBy("source_id", "target_id").agg(F.max("strength").alias("w"))
-    total = w.groupBy("source_id").agg(F.sum("w").alias("t"))
-    weights = w.join(total, "source_id").select(F.col("source_id").alias("v"), F.col("target_id").alias("u"), (F.col("w") / F.col("t")).alias("w"))
-    nodes = weights.select(F.col("v").alias("id")).union(seeds.select("id")).distinct()
+    one = links.select("source_id", "target_id", "strength", *([F.col(order).alias("_at")] if order else []))
+    both = both_ways(one)
+    strength = F.max_by("strength", "_at") if order else F.max("strength")
+    w = materialize(both.groupBy("source_id", "target_id").agg(strength.alias("w")), "weights")
+    total = w.groupBy("source_id").agg(F.sum("w").alias("t"), F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("parts"))
     mass = seeds.groupBy("id").agg(F.greatest(F.max("seed"), F.lit(0.01)).alias("m"))
     all_mass = F.broadcast(mass.agg(F.sum("m").alias("all")))  # one row
-    restart = nodes.join(mass, "id", "left").crossJoin(all_mass).select("id", (F.coalesce("m", F.lit(0.01)) / F.col("all")).alias("p"))
-    restart, weights = _cut(restart), _cut(weights)
-    s = restart.select("id", F.lit(0.0).alias("s"))
-    for i in range(rounds):
-        pulled = weights.join(s.select(F.col("id").alias("u"), "s"), "u").groupBy("v").agg(F.sum(F.col("w") * F.col("s")).alias("in"))
-        s = restart.join(pulled, restart["id"] == pulled["v"], "left").select("id", (alpha * F.col("p") + (1 - alpha) * F.coalesce("in", F.lit(0.0))).alias("s"))
-        if i % 5 == 4:
-            s = _cut(s)
-    return s
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="factloom-checkpoint-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def components(edges: DataFrame, rounds: int | None = 50) -> DataFrame:
-    """(id, component) by spreading the smallest node, with shortcuts, until nothing changes, or for ``rounds`` rounds."""
-    e = _cut(edges.select("source_id", "target_id").union(edges.select("target_id", "source_id")).where("source_id <> target_id").distinct())
-    c = _cut(e.select(F.col("source_id").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in count() if rounds is None else range(rounds):
-        low = e.join(c.select(F.col("id").alias("target_id"), "component"), "target_id").groupBy("source_id").agg(F.min("component").alias("low"))
-        n = c.join(low, c["id"] == low["source_id"]).select("id", F.least("component", "low").alias("component"))
-        jump = n.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = _cut(n.join(jump, "component", "left").select("id", F.coalesce("far", "component").alias("component")))
-        moved = new.alias("n").join(c.alias("o"), "id").where(F.col("n.component") != F.col("o.component")).isEmpty()
-        c = new
-        if moved:
-            break
-    return c
+    nodes = total.select(F.col("source_id").alias("id"), "t", "parts").join(mass, "id", "full").crossJoin(all_mass)
+    state = materialize(nodes.select("id", "t", F.coalesce("parts", F.lit(0)).alias("parts"), (F.coalesce("m", F.lit(0.01)) / F.col("all")).alias("p"), F.lit(0.0).alias("s")), "scores")
+    far = state.select(F.col("id").alias("target_id"), F.col("parts").alias("far_parts"))
+    dealt = w.join(far, "target_id").select(F.col("target_id").alias("u"), F.pmod(F.xxhash64("source_id"), "far_parts").cast("int").alias("part"), F.col("source_id").alias("v"), "w")
+    weights = Bucketed(dealt, ["u", "part"])
+    drop(w)
+    try:
+        small = state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        for _ in range(rounds):
+            sent = state.where("s <> 0 and parts > 0").select(F.col("id").alias("u"), "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            pulled = weights.frame.join(F.broadcast(sent) if small else sent.hint("shuffle_merge"), ["u", "part"]).groupBy(F.col("v").alias("id")).agg(F.sum(F.col("w") * F.col("s")).alias("_in"))
+            new = state.drop("s").join(pulled, "id", "left").withColumn("s", alpha * F.col("p") + (1 - alpha) * F.coalesce(F.col("_in") / F.col("t"), F.lit(0.0))).drop("_in")
+            new = materialize(new, "scores")
+            drop(state)
+            state = new
+    finally:
+        weights.drop()
+    return state.select("id", "s")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) by spreading the smallest node, with shortcuts, until nothing changes.
+
+    A node's edges are rows of a join; those of a hub are cut into parts (see :func:`hub_parts`), so that no task holds them all.
+    """
+    e = both_ways(edges.select("source_id", "target_id").where("source_id <> target_id")).distinct()
+    e = materialize(e, "edges")
+    state = materialize(e.groupBy(F.col("source_id").alias("id")).agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("parts")).withColumn("component", F.col("id")), "labels")
+    dealt = e.join(state.select(F.col("id").alias("target_id"), "parts"), "target_id").select(F.col("target_id").alias("u"), F.pmod(F.xxhash64("source_id"), "parts").cast("int").alias("part"), F.col("source_id").alias("v"))
+    table = Bucketed(dealt, ["u", "part"])
+    drop(e)
+    try:
+        while True:
+            sent = state.select(F.col("id").alias("u"), "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            low = table.frame.join(sent.hint("shuffle_merge"), ["u", "part"]).groupBy(F.col("v").alias("id")).agg(F.min("component").alias("low"))
+            near = state.join(low, "id").select("id", "parts", F.col("component").alias("was"), F.least("component", "low").alias("component"))
+            near = materialize(near, "labels")
+            # a shortcut to the label of the label; labels with very many nodes are looked up by a salted copy of each
+            jump = near.select(F.col("id").alias("component"), F.col("component").alias("far")).where("component <> far").join(near.groupBy("component").agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("_n")), "component")
+            jump = jump.select("component", "far", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
+            salted = near.join(jump.select("component", "_n").distinct(), "component", "left").withColumn("_salt", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("id"), "_n").cast("int")))
+            new = salted.join(jump.drop("_n"), ["component", "_salt"], "left").select("id", "parts", F.coalesce("far", "component").alias("component"), "was")
+            new = materialize(new, "labels")
+            drop(near)
+            drop(state)
+            state = new
+            if state.where("component <> was").isEmpty():
+                return state.select("id", "component")
+    finally:
+        table.drop()
+
+
+class Bucketed:
+    """A table in the shared folder dealt and sorted by its keys, so that a join on them moves only the other side."""
+
+    def __init__(self, df: DataFrame, keys: list[str]) -> None:
+        self.spark = df.sparkSession
+        path = new_path(self.spark, "bucketed")
+        self.name = "factloom_" + path.rsplit("-", 1)[1]
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(self.name)
+        self.frame = self.spark.table(self.name)
+        self.frame._factloom_path = path
+
+    def drop(self) -> None:
+        """Out of the catalog and off the disk; only what no later plan reads."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop(self.frame)
 
 
 def _breadth_first(e: DataFrame) -> tuple[DataFrame, int]:
     """((id, parent, level), greatest level): breadth-first trees of a symmetric graph, each from the smallest node of its component."""
-    roots = components(e, rounds=None).select("component").distinct()
-    seen = front = _cut(roots.select(F.col("component").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")))
+    roots = components(e).select("component").distinct()
+    seen = front = materialize(roots.select(F.col("component").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")))
     level = 0
     while True:
         met = e.join(front.select(F.col("id").alias("source_id")), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("source_id").alias("parent"))
-        front = _cut(met.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level + 1)))
+        front = materialize(met.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level + 1)))
         if front.isEmpty():
             return seen, level
         level += 1
-        seen = _cut(seen.unionByName(front))
+        seen = materialize(seen.unionByName(front))
 
 
 def articulation_points(edges: DataFrame) -> DataFrame:
@@ -225,12 +299,12 @@ def articulation_points(edges: DataFrame) -> DataFrame:
     sons has no link that leads past it; a root, where it has more than one group.
     """
     one = edges.select(F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id")).where("source_id <> target_id")
-    e = _cut(both_ways(one).distinct())
+    e = materialize(both_ways(one).distinct())
     tree, depth = _breadth_first(e)
     ends = [tree.select(F.col("id").alias(n), F.col("parent").alias(f"p_{n}"), F.col("level").alias(f"l_{n}")) for n in ("x", "y")]
     # each link once, from its deeper end; links of a son with its own parent are the tree itself
     links = e.toDF("x", "y").join(ends[0], "x").join(ends[1], "y").where("l_x > l_y or (l_x = l_y and x < y)")
-    links = _cut(links.where("l_x = l_y or p_x <> y").select("x", "y", "p_x", "p_y", F.col("l_x").alias("level"), (F.col("l_x") > F.col("l_y")).alias("up")))
+    links = materialize(links.where("l_x = l_y or p_x <> y").select("x", "y", "p_x", "p_y", F.col("l_x").alias("level"), (F.col("l_x") > F.col("l_y")).alias("up")))
     past = links.where("up").select(F.col("x").alias("id"))
     brothers, lifted = [], None
     for level in range(depth, 0, -1):
@@ -238,17 +312,17 @@ def articulation_points(edges: DataFrame) -> DataFrame:
         if lifted is not None:
             at = [t.where(F.col(f"l_{n}") == level).drop(f"l_{n}") for t, n in zip(ends, ("x", "y"))]
             own = own.unionByName(lifted.join(at[0], "x").join(at[1], "y").select("x", "y", "p_x", "p_y"))
-        pairs = _cut(own.distinct())
+        pairs = materialize(own.distinct())
         brothers.append(pairs.where("p_x = p_y").select("x", "y"))
         apart = pairs.where("p_x <> p_y")
         past = past.union(apart.select("x")).union(apart.select("y"))
         high = apart.select(F.col("p_x").alias("x"), F.col("p_y").alias("y")).union(links.where((F.col("level") == level) & F.col("up")).select(F.col("p_x").alias("x"), "y"))
         lifted = high.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if level % 20 == 0:
-            brothers, past = [_cut(reduce(DataFrame.union, brothers))], _cut(past.distinct())
+            brothers, past = [materialize(reduce(DataFrame.union, brothers))], materialize(past.distinct())
     sons = tree.where("level > 0").select("id", "parent", (F.col("level") == 1).alias("of_root"))
     if brothers:
-        joined = components(reduce(DataFrame.union, brothers).toDF("source_id", "target_id"), rounds=None)
+        joined = components(reduce(DataFrame.union, brothers).toDF("source_id", "target_id"))
         sons = sons.join(joined, "id", "left")
     else:
         sons = sons.withColumn("component", F.lit(None).cast("long"))
