@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import new_path
 from ..functions import patterns as P
 from ..streaming import observers as O
 from ..streaming import promoter as SP
@@ -87,30 +86,31 @@ def quiet_sessions(spark, d):
     return out.select("session_id", (F.unix_micros("start") / 1e6).alias("start"), "n")
 
 
-def _streamed(spark, frame: DataFrame, parts: int = 3) -> DataFrame:
-    """The frame as a stream of files, one micro-batch per file."""
-    folder = tempfile.mkdtemp(prefix="factloom-stream-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.checkpoint.dir")
-    path = f"{folder}/events-{spark.sparkContext.applicationId}-{id(frame)}"
-    frame.repartition(parts).write.mode("overwrite").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _streamed(spark, frame: DataFrame, batches: int = 1) -> DataFrame:
+    """The frame as a stream of files in ``batches`` micro-batches, each of as many files as tasks."""
+    path, n = new_path(spark, "events"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if batches == 1:  # as the table's own tasks have it
+        frame.write.parquet(path)
+        return spark.readStream.schema(frame.schema).parquet(path)
+    frame.repartition(n * batches).write.parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def stream_promote(spark, d):
     """User statements observed in a stream and promoted batch by batch: statuses at the end."""
-    stream = _streamed(spark, user_events(_rows(spark, d)))
-    facts = O.user_statements(stream)
-    store = SP.PendingStore(spark, f"{tempfile.mkdtemp(prefix='factloom-pending-') if spark.sparkContext.master.startswith('local[') else spark.conf.get('spark.checkpoint.dir')}/pending-{spark.sparkContext.applicationId}")
-    SP.promote_stream(facts, store, NOW).awaitTermination()
+    facts = O.user_statements(_streamed(spark, user_events(_rows(spark, d)), 3))
+    store = SP.PendingStore(spark, new_path(spark, "pending"))
+    SP.promote_stream(facts, store, NOW, checkpoint=new_path(spark, "progress")).awaitTermination()
     return store.read().groupBy("status", "type").agg(F.count("*").alias("n"))
 
 
 def stream_session_ttl(spark, d):
-    """The sessions of a stream, in memory, once its watermark has passed them."""
+    """The sessions of a stream, written to files, once its watermark has passed them."""
     x = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("at"))
-    name = f"quiet_{id(x)}"
-    out = SP.quiet_sessions(_streamed(spark, x, 1), "6 hours", "1 hour").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.table(name).select("session_id", F.unix_micros("start").alias("start"), "n")
+    out = SP.quiet_sessions(_streamed(spark, x), "6 hours", "1 hour")
+    path = new_path(spark, "sessions")
+    SP.write_sessions(out, path, new_path(spark, "progress")).awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).select("session_id", F.unix_micros("start").alias("start"), "n")
 
 
 QUERIES = {f.__name__: f for f in (observers_user, observers_content, observers_tests, observers_git, error_context, mirror, delegation, file_repeat, quiet_sessions, stream_promote, stream_session_ttl)}

@@ -34,12 +34,21 @@ class PendingStore:
         have = [v for v in self._versions() if before is None or v < before]
         return self.spark.read.parquet(f"{self.path}/v{have[-1]}") if have else None
 
-    def write(self, rows: DataFrame, version: int) -> None:
+    def write(self, rows: DataFrame, version: int, keep: int = 2) -> None:
+        """A new snapshot. Those before the last ``keep`` go: a batch that is run again reads the one before it at most."""
         rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for old in self._versions()[:-keep]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            at.getFileSystem(conf).delete(at, True)
 
 
-def promote_stream(facts: DataFrame, store: PendingStore, now: float, ttl: float = 600.0, checkpoint: str | None = None) -> StreamingQuery:
-    """Add each micro-batch of observed facts to the store and run a promotion pass."""
+def promote_stream(facts: DataFrame, store: PendingStore, now: float, checkpoint: str, ttl: float = 600.0) -> StreamingQuery:
+    """Add each micro-batch of observed facts to the store and run a promotion pass.
+
+    A query started again with the same ``checkpoint`` goes on where the last one stopped; a batch that was cut off is run again over the
+    snapshot before it and writes the same one.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         new = pending_of(batch).dropDuplicates(["id"])
@@ -47,10 +56,21 @@ def promote_stream(facts: DataFrame, store: PendingStore, now: float, ttl: float
         rows = new if old is None else old.unionByName(new.join(old.select("id"), "id", "left_anti"))
         store.write(PR.promote(rows, now, ttl), number)
 
-    writer = facts.writeStream.foreachBatch(step).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    return facts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quiet_sessions(events: DataFrame, gap: str = "600 seconds", delay: str = "1 hour") -> DataFrame:
     """Sessions by inactivity, with a watermark for late rows; works on streams and batches."""
     return events.withWatermark("at", delay).groupBy("session_id", F.session_window("at", gap)).agg(F.count("*").alias("n"), F.max("at").alias("last")).select("session_id", F.col("session_window.start").alias("start"), "last", "n")
+
+
+def write_sessions(sessions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Closed sessions as files, each once; sessions meet in each task before the shuffle, so that a session of very many rows is few of them."""
+    spark = sessions.sparkSession
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return sessions.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
