@@ -413,3 +413,51 @@ def test_pages_of_the_test_data(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got == {r.page_id: plain(r.html) for r in df.collect()}
+
+
+LEDE = "The first sentence of it stands here, with a comma. The second one follows, as it should, and ends. "
+PROSE = "".join(f"<p>{LEDE * 3}</p>" for _ in range(5))
+PLAIN = "\n\n".join([" ".join((LEDE * 3).split())] * 5)
+LINK_LIST = "".join(f"<p><a href=/x{i}>Link number {i} to go</a></p>" for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<body><div class="page has-sidebar"><article>{PROSE}</article><div class=sidebar>{LINK_LIST}</div></div></body>', PLAIN),
+        (f'<body><article class="post no-comments">{PROSE}</article></body>', PLAIN),
+        (f'<body><form id="aspnetForm"><div>{PROSE}</div></form></body>', PLAIN),
+        (f'<body><div><div class=c1>{PROSE}</div><div class="c9">{LINK_LIST}</div></div></body>', PLAIN),
+        (f'<body><article>{PROSE}<div class="c9">{LINK_LIST}</div></article></body>', PLAIN),
+        (f'<body><div class=c1>{PROSE}<div class="c9">{LINK_LIST}</div>{PROSE}</div></body>', PLAIN + "\n\n" + PLAIN),
+        (f"<body><div>Site</div><h1>T</h1>{PROSE}<div>Copyright 2020 Owner</div></body>", "T\n\n" + PLAIN),
+        (f"<body><article>{PROSE}<ul><li>one</li><li>two</li></ul></article></body>", PLAIN + "\n\none\n\ntwo"),
+        (f"<table><tr><td>{LINK_LIST}</td><td>{PROSE}</td></tr></table>", PLAIN),
+        (f'<body><div class=sidebar><article>{PROSE}</article></div><p>x y</p></body>', PLAIN),
+        (f"<body><nav>{LINK_LIST}</nav></body>", ""),
+        (f"<body>{PROSE}{PROSE}</body>", PLAIN + "\n\n" + PLAIN),
+    ],
+)
+def test_paths_decide_and_not_names(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a x", '<a x="', "<p><li><x-y>", "<div></p>", "<div class=sidebar>", "<!--", "</", "<div class=ad><article>", "<p>a"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    def took(n):
+        best = 9.0
+        for _ in range(2):
+            t = time.process_time()
+            html_text.main_text(part * n + "x, y. z")
+            best = min(best, time.process_time() - t)
+        return best
+
+    assert took(40_000) < 0.2 + 10 * took(8_000)
+    assert html_text.main_text("<article><p>" + "<b" * 1000 + "<p>end.") in ("end.", "")
+
+
+def test_pages_with_odd_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a.</p>", 5, "t")], "page_id long, url string, html string, n_chars int, text string")
+    assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "u", "a.", 2)]
