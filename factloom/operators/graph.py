@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import BROADCAST_ROWS, drop, materialize, new_path
+from ..frames import BROADCAST_ROWS, attach, drop, materialize, new_path
 from ..shipping import ship
 from .nearest import nearest
 
@@ -109,11 +109,17 @@ def coupling_links(tokens: DataFrame, threshold: float = 0.3) -> DataFrame:
     return x.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), (0.5 * F.col("sim")).alias("strength"))
 
 
-def temporal_links(facts: DataFrame, k: int = 4) -> DataFrame:
-    """Links to the last k facts of the same scope: 0.28 * 0.85 ** place * exp(-gap / 120), over 0.02."""
-    w = Window.partitionBy("scope_id").orderBy("created_at", "row_seq")
+def temporal_links(facts: DataFrame, k: int = 4, reach: float = 320.0) -> DataFrame:
+    """Links to the last k facts of the same scope: 0.28 * 0.85 ** place * exp(-gap / 120), over 0.02.
+
+    A link from over ``reach`` seconds away is too weak whatever its place (0.28 * exp(-317 / 120) < 0.02). So a scope is cut into spans of that length, and
+    facts are numbered among those of their span and the one before; a scope with all the rows is as many groups as its time has spans.
+    """
+    span = F.floor(F.col("created_at") / reach)
+    x = facts.select("id", "scope_id", "created_at", "row_seq", F.explode(F.array(span, span + 1)).alias("span")).withColumn("own", F.floor(F.col("created_at") / reach) == F.col("span"))
+    w = Window.partitionBy("scope_id", "span").orderBy("created_at", "row_seq")
     lags = [F.struct(F.lit(i).alias("place"), F.lag("id", i + 1).over(w).alias("target_id"), F.lag("created_at", i + 1).over(w).alias("then")) for i in range(k)]
-    x = facts.select("id", "created_at", F.array(*lags).alias("lags")).select(F.col("id").alias("source_id"), "created_at", F.inline("lags"))
+    x = x.select("id", "own", "created_at", F.array(*lags).alias("lags")).where("own").select(F.col("id").alias("source_id"), "created_at", F.inline("lags"))
     strength = 0.28 * F.pow(F.lit(0.85), F.col("place")) * F.exp(-(F.col("created_at") - F.col("then")) / 120.0)
     return x.where(F.col("target_id").isNotNull()).withColumn("strength", strength).where("strength > 0.02").select("source_id", "target_id", "strength")
 
@@ -187,7 +193,7 @@ def homeostasis(links: DataFrame, limit: float = 0.7) -> DataFrame:
 
 
 #: Links of a node in one row of the weight table; a hub has several.
-HUB_LINKS = 10_000
+HUB_LINKS = 256
 
 
 def explore(links: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float = 0.45, order: str | None = None) -> DataFrame:
@@ -209,15 +215,12 @@ def explore(links: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float =
     all_mass = F.broadcast(mass.agg(F.sum("m").alias("all")))  # one row
     nodes = total.select(F.col("source_id").alias("id"), "t", "parts").join(mass, "id", "full").crossJoin(all_mass)
     state = materialize(nodes.select("id", "t", F.coalesce("parts", F.lit(0)).alias("parts"), (F.coalesce("m", F.lit(0.01)) / F.col("all")).alias("p"), F.lit(0.0).alias("s")), "scores")
-    far = state.select(F.col("id").alias("target_id"), F.col("parts").alias("far_parts"))
-    dealt = w.join(far, "target_id").select(F.col("target_id").alias("u"), F.pmod(F.xxhash64("source_id"), "far_parts").cast("int").alias("part"), F.col("source_id").alias("v"), "w")
-    weights = Bucketed(dealt, ["u", "part"])
+    small = _small(state)
+    weights = _dealt(w.select(F.col("target_id").alias("u"), F.col("source_id").alias("v"), "w"), state, small)
     drop(w)
     try:
-        small = state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         for _ in range(rounds):
-            sent = state.where("s <> 0 and parts > 0").select(F.col("id").alias("u"), "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-            pulled = weights.frame.join(F.broadcast(sent) if small else sent.hint("shuffle_merge"), ["u", "part"]).groupBy(F.col("v").alias("id")).agg(F.sum(F.col("w") * F.col("s")).alias("_in"))
+            pulled = weights.frame.join(_sent(state.where("s <> 0"), "s", small), ["u", "part"]).groupBy(F.col("v").alias("id")).agg(F.sum(F.col("w") * F.col("s")).alias("_in"))
             new = state.drop("s").join(pulled, "id", "left").withColumn("s", alpha * F.col("p") + (1 - alpha) * F.coalesce(F.col("_in") / F.col("t"), F.lit(0.0))).drop("_in")
             new = materialize(new, "scores")
             drop(state)
@@ -228,35 +231,58 @@ def explore(links: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) by spreading the smallest node, with shortcuts, until nothing changes.
+    """(id, component) of the ends of all edges between two different nodes; component is the smallest node that is reached.
 
-    A node's edges are rows of a join; those of a hub are cut into parts (see :func:`hub_parts`), so that no task holds them all.
+    Each round a node takes the smallest label among its neighbours, and then the label of that label, until nothing changes. Edges are dealt
+    once, those of a hub in parts, so that no task holds them all; a round moves labels. Null ends are ignored.
     """
-    e = both_ways(edges.select("source_id", "target_id").where("source_id <> target_id")).distinct()
-    e = materialize(e, "edges")
+    e = edges.select("source_id", "target_id").where("source_id <> target_id")
+    e = materialize(both_ways(e).distinct(), "edges")
     state = materialize(e.groupBy(F.col("source_id").alias("id")).agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("parts")).withColumn("component", F.col("id")), "labels")
-    dealt = e.join(state.select(F.col("id").alias("target_id"), "parts"), "target_id").select(F.col("target_id").alias("u"), F.pmod(F.xxhash64("source_id"), "parts").cast("int").alias("part"), F.col("source_id").alias("v"))
-    table = Bucketed(dealt, ["u", "part"])
+    small = _small(state)
+    dealt = _dealt(e.select(F.col("target_id").alias("u"), F.col("source_id").alias("v")), state, small)
     drop(e)
     try:
         while True:
-            sent = state.select(F.col("id").alias("u"), "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-            low = table.frame.join(sent.hint("shuffle_merge"), ["u", "part"]).groupBy(F.col("v").alias("id")).agg(F.min("component").alias("low"))
-            near = state.join(low, "id").select("id", "parts", F.col("component").alias("was"), F.least("component", "low").alias("component"))
-            near = materialize(near, "labels")
-            # a shortcut to the label of the label; labels with very many nodes are looked up by a salted copy of each
-            jump = near.select(F.col("id").alias("component"), F.col("component").alias("far")).where("component <> far").join(near.groupBy("component").agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("_n")), "component")
-            jump = jump.select("component", "far", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
-            salted = near.join(jump.select("component", "_n").distinct(), "component", "left").withColumn("_salt", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("id"), "_n").cast("int")))
-            new = salted.join(jump.drop("_n"), ["component", "_salt"], "left").select("id", "parts", F.coalesce("far", "component").alias("component"), "was")
-            new = materialize(new, "labels")
-            drop(near)
+            sent = _sent(state, "component", small)
+            low = dealt.frame.join(sent, ["u", "part"]).groupBy(F.col("v").alias("id")).agg(F.min("component").alias("low"))
+            near = materialize(state.select("id", "parts", F.col("component").alias("was")).join(low, "id").withColumn("component", F.least("was", "low")).drop("low"), "labels")
             drop(state)
-            state = new
+            jump = near.where("component <> id").select(F.col("id").alias("component"), F.col("component").alias("far"))
+            state = materialize(attach(near, jump, "component", "left").withColumn("component", F.coalesce("far", "component")).drop("far"), "labels")
+            drop(near)
             if state.where("component <> was").isEmpty():
                 return state.select("id", "component")
     finally:
-        table.drop()
+        dealt.drop()
+
+
+def _small(nodes: DataFrame) -> bool:
+    return nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _dealt(links: DataFrame, nodes: DataFrame, small: bool) -> "Bucketed | Kept":
+    """(u, part, v, ...): links with a part of ``u``'s, for joins with what :func:`_sent` gives; bucketed if the nodes are too many to be sent everywhere."""
+    parts = nodes.select(F.col("id").alias("u"), "parts")
+    x = links.join(F.broadcast(parts) if small else parts, "u")
+    x = x.select("u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), *[c for c in links.columns if c != "u"])
+    return Kept(x) if small else Bucketed(x, ["u", "part"])
+
+
+def _sent(state: DataFrame, value: str, small: bool) -> DataFrame:
+    """(u, part, value): the value of a node for each part of its links."""
+    x = state.where("parts > 0").select(F.col("id").alias("u"), value, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return F.broadcast(x) if small else x.hint("shuffle_merge")
+
+
+class Kept:
+    """A table in the shared folder."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.frame = materialize(df, "links")
+
+    def drop(self) -> None:
+        drop(self.frame)
 
 
 class Bucketed:
