@@ -1,21 +1,11 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
-
-Each step is a grouped minimum and an equi-join; a node with very many neighbours is only ever aggregated (combined before
-the shuffle) and joined (a skewed join, which the planner splits). Steps are written to the shared folder, so
-lineage stays short. The number of steps grows with the logarithm of the longest chain.
-"""
+"""Connected components of an edge table: the library's own, with the names the operators here use."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
-
-
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    return tuple(row)
+from ..operators import graph
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,20 +13,5 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
     Null ends and loops are ignored; nodes without an edge don't appear; no edges give no rows.
     """
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    e = materialize(e.where(e[2]).select("u", "v").distinct(), "edges")
-    before = _signature(e)
-    while before[0]:
-        both = e.union(e.select("v", "u")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        after = materialize(small.distinct(), "edges")
-        now = _signature(after)
-        drop_table(e)
-        e = after
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+    e = edges.select(F.col(src).alias("source_id"), F.col(dst).alias("target_id"))
+    return graph.components(e).withColumnRenamed("id", "node")
