@@ -303,7 +303,7 @@ def test_mixing(spark, sf_dir, docs):
 
 def test_licenses(spark, docs):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n"
-    end = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nimplied, including but not limited to the warranties of merchantability,\nfitness for a particular purpose and noninfringement.'
+    end = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
     cases = [(1, mit + end, "MIT"), (2, mit, ""), (3, "Text.\nReleased under the MIT License.\nMore", "MIT"), (4, "All rights reserved. Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0,proprietary"), (5, None, ""), (6, "the MIT License is nice", "")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
     assert {i: r.licenses for i, r in got.items()} == {c[0]: c[2] for c in cases}
@@ -356,13 +356,79 @@ modification, are permitted provided that the following conditions are met:
 }
 
 
+PUBLISHED["BSD-3-Clause"] = PUBLISHED["BSD-2-Clause"] + """
+
+3. Neither the name of Example Holdings Inc. nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+PUBLISHED["X11"] = PUBLISHED["MIT"] + """
+
+Except as contained in this notice, the name of the X Consortium shall not be
+used in advertising or otherwise to promote the sale, use or other dealings in
+this Software without prior written authorization from the X Consortium."""
+PUBLISHED |= {
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at
+https://www.boost.org/LICENSE_1_0.txt)""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "CC-BY-NC-SA-4.0": """This work is licensed under a Creative Commons
+Attribution-NonCommercial-ShareAlike 4.0 International License.""",
+}
+
+
 def test_published_licenses(spark):
     """Bare, behind comment signs, and with the line ends of other systems."""
     forms = [lambda t: t, lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */", lambda t: "\n".join("# " + x for x in t.split("\n")), lambda t: "\n".join("// " + x for x in t.split("\n")), lambda t: t.replace("\n", "\r\n")]
     cases = [(name, f(t)) for name, t in PUBLISHED.items() for f in forms]
     cases += [("MIT", "This project is licensed under the MIT License."), ("", "This project is not licensed under the MIT License."), ("", "Licensed under\n\nthe MIT license"), ("MIT", "A title\n# licensed under the MIT license\n# and a comment")]
+    cases += [("Apache-2.0,MIT", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;"), ("GPL-2.0-or-later", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("MPL-2.0", "Released under the Mozilla Public License 2.0.")]
+    cases += [("BSD-2-Clause,BSD-3-Clause", PUBLISHED["BSD-3-Clause"] + "\n\n" + PUBLISHED["BSD-2-Clause"]), ("ISC,MIT", PUBLISHED["ISC"] + "\n\n" + PUBLISHED["MIT"])]
     got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.licenses for r in got] == [name for name, _ in cases]
+    assert [(r.licenses, t[:60]) for r, (_, t) in zip(got, cases)] == [(name, t[:60]) for name, t in cases]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><script>var x="<p>no</p>";</script></head><body><header><p>Site, with a slogan. Nice.</p></header>
