@@ -53,16 +53,18 @@ def attach(x: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner"
     return x.join(F.broadcast(few) if small else few, on, how)
 
 
-def ranks(x: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
-    """``x`` with the place of each row among those of its group, from 0 in ``order``, which must leave no ties.
+def ranks(x: DataFrame, group: str | list[str], order: list[Column], name: str) -> DataFrame:
+    """``x`` with the place of each row among those of its group, from 0 in ``order``. Rows that ``order`` does not tell apart
+    come in any order. Groups must not be null.
 
     Rows are dealt by range of (group, order) and numbered where they lie; numbers of rows in earlier ranges are added. A group of any size is
     spread over tasks. ``x`` is read twice (the ranges are drawn from it), so it should be a table.
     """
     n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = x.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_mid", F.monotonically_increasing_id())
+    group = [group] if isinstance(group, str) else group
+    dealt = x.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order).withColumn("_mid", F.monotonically_increasing_id())
     t = materialize(dealt, "ranks").withColumn("_pid", F.shiftright("_mid", 33))
-    per = t.groupBy(group, "_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
-    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
-    per = per.select(group, "_pid", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return attach(t, per, [group, "_pid"]).withColumn(name, (F.col("_mid") + F.col("_shift")).cast("int")).drop("_mid", "_pid", "_shift")
+    per = t.groupBy(*group, "_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    per = per.select(*group, "_pid", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return attach(t, per, [*group, "_pid"]).withColumn(name, (F.col("_mid") + F.col("_shift")).cast("int")).drop("_mid", "_pid", "_shift")
