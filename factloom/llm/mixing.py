@@ -3,9 +3,9 @@
 Sources share all words by weight; a source that would get more than ``max_epochs`` times its own words stops there and the rest is
 shared out again by weight until none is above. That is the level L with ``sum(min(cap, L * weight)) = total``; rounds
 over the table of sources find it, and only sums leave the cluster. A source is then repeated ``target / size``
-times: whole repetitions of every document, and for the fraction a seeded sample. For the sample each source is cut into
-buckets by a hash, so that no source meets in one task; in a bucket documents stand in order of falling size, and one is taken
-when the words still wanted reach a seeded part of its size. So words taken follow words wanted to within a small document.
+times: whole repetitions of every document, and for the fraction a seeded sample. From the largest size down, as many documents of a size are taken
+once more as bring the words taken nearest to those wanted so far; which ones, a hash of the identifier decides. So words taken follow words wanted
+to within a small document, and the sample is the same however the documents are dealt.
 
 Defined results: null and word-less texts have size 0 and are never taken; a null source is a source of its own and comes
 last; null ids and repeated rows are rows like others; an empty table, or one without words, gives
@@ -14,14 +14,15 @@ targets of 0; other columns pass through :func:`sample` whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import attach, ranks
 from .common import global_rank, materialize, ship
 
-BUCKET_DOCS = 10_000
 _KEY = "coalesce(concat('s', {0}), 'n')"
 
 
@@ -55,27 +56,20 @@ def _draw(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def _take(group: pa.Table) -> pa.Table:
-    """Fractional repetitions of a bucket: in order of falling size, a document is taken when the words still wanted reach its drawn part of its size,
-    unless smaller ones could no longer make up for it."""
-    size, part = group.column("size").to_numpy(), group.column("part").to_numpy()
-    draw, ids = group.column("draw").to_numpy(), group.column("doc_id").to_numpy(zero_copy_only=False)
-    order = np.lexsort((np.nan_to_num(ids.astype(float), nan=-1.0), draw, -size))
-    so_far = np.cumsum(size[order])
-    all_wanted = float(part[order[0]]) * float(so_far[-1])
-    more, taken = np.zeros(len(size), np.int64), 0
-    for i, wanted, s, left, u in zip(order.tolist(), (part[order] * so_far).tolist(), size[order].tolist(), (so_far[-1] - so_far).tolist(), draw[order].tolist()):
-        too_much, too_little = taken + s - all_wanted, all_wanted - taken - left  # beyond repair if it is taken, or left out
-        if too_much > 0 or too_little > 0:
-            take = max(too_much, 0.0) < max(too_little, 0.0)
-        else:
-            take = wanted - taken >= u * s
-        if take and s:
-            more[i] = 1
-            taken += s
-    times = np.where(size > 0, group.column("whole").to_numpy() + more, 0)
-    names = [c for c in ("doc_id", "source_key", "size", "text_hash", "source_size", "target") if c in group.column_names]
-    return group.select(names).append_column("times", pa.array(times, pa.int64()))
+_CLASSES = "source_key string, size long, whole long, more long, source_size long, target double"
+
+
+def _fold(group: pa.Table) -> pa.Table:
+    """How many documents of each size are taken once more, of one source: from the largest size down, as many as bring the words taken nearest
+    to those wanted so far."""
+    g = group.sort_by([("size", "descending")])
+    part, taken, wanted, more = g.column("part").to_pylist(), 0, 0, []
+    for p, s, n in zip(part, g.column("size").to_pylist(), g.column("n").to_pylist()):
+        wanted += s * n
+        k = max(0, min(n, math.floor((p * wanted - taken) / s + 0.5)))
+        taken += k * s
+        more.append(k)
+    return g.select(["source_key", "size", "whole"]).append_column("more", pa.array(more, pa.int64())).append_column("source_size", g.column("source_size")).append_column("target", g.column("target"))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, text_hash: bool = False) -> DataFrame:
@@ -86,14 +80,17 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoc
     base = materialize(base, "sizes")
     t = materialize(targets(base, weights, max_epochs), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    x = base.drop("source").join(t, "source_key").withColumn("whole", F.floor(rate + 1e-12))
-    x = x.withColumn("part", F.greatest(rate - F.col("whole"), F.lit(0.0))).withColumn("draw", _draw(seed, F.col("doc_id")))
-    n = F.greatest(F.ceil(F.col("n_docs") / BUCKET_DOCS), F.lit(1))
-    spread = F.pmod(F.xxhash64("draw") if not text_hash else F.xxhash64("draw", "text_hash"), n)
-    x = x.withColumn("bucket", F.when(n == 1, F.lit(0).cast("long")).otherwise(spread)).drop("n_docs")
-    out = f"doc_id long, source_key string, size long{', text_hash long' if text_hash else ''}, source_size long, target double, times long"
-    got = x.groupBy("source_key", "bucket").applyInArrow(_take, out)
-    return got.withColumn("taken", F.col("times") * F.col("size"))
+    classes = base.groupBy("source_key", "size").agg(F.count("*").alias("n")).join(t.drop("n_docs"), "source_key").withColumn("whole", F.floor(rate + 1e-12))
+    classes = classes.withColumn("part", F.greatest(rate - F.col("whole"), F.lit(0.0)))
+    # a row for each size in a source: with w words in all there are at most the square root of 2 w of them
+    folded = classes.where("size > 0").groupBy("source_key").applyInArrow(_fold, _CLASSES)
+    none = classes.where("size = 0").select("source_key", "size", F.lit(0).cast("long").alias("whole"), F.lit(0).cast("long").alias("more"), "source_size", "target")
+    drawn = base.drop("source").withColumn("draw", _draw(seed, F.col("doc_id")))
+    ranked = ranks(drawn, ["source_key", "size"], [F.col("draw"), F.col("doc_id").asc_nulls_first(), *([F.col("text_hash")] if text_hash else [])], "place")
+    got = attach(ranked, folded.union(none), ["source_key", "size"])
+    times = (F.col("whole") + (F.col("place") < F.col("more")).cast("long")).alias("times")
+    names = ["doc_id", "source_key", "size", *(["text_hash"] if text_hash else []), "source_size", "target"]
+    return got.select(*names, times).withColumn("taken", F.col("times") * F.col("size"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
@@ -106,9 +103,7 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.select(F.struct(*cols).alias("_row"), *[v.alias(k) for k, v in key.items()], F.expr(_KEY.format("source")).alias("_k3"), F.xxhash64("text").alias("_k4"))
     both = keyed.join(total, ["_k1", "_k2", "_k3", "_k4"])
     even = both.where("_t % _m = 0").select("_row", (F.col("_t") / F.col("_m")).cast("long").alias("_times"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_m") / BUCKET_DOCS)).alias("_salt")
-    odd = both.where("_t % _m <> 0").select("*", salt)
-    rn = F.row_number().over(Window.partitionBy("_k1", "_k2", "_k3", "_k4", "_salt").orderBy("_k1"))
+    odd = materialize(both.where("_t % _m <> 0").withColumn("_at", F.monotonically_increasing_id()), "copies")
     share = F.col("_t") / F.col("_m")
-    odd = odd.withColumn("_rn", rn).select("_row", (F.floor(F.col("_rn") * share + 0.5) - F.floor((F.col("_rn") - 1) * share + 0.5)).alias("_times"))
+    odd = ranks(odd, ["_k1", "_k2", "_k3", "_k4"], [F.col("_at")], "_rn").select("_row", (F.floor((F.col("_rn") + 1) * share + 0.5) - F.floor(F.col("_rn") * share + 0.5)).alias("_times"))
     return even.union(odd).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_row.*")

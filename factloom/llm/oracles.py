@@ -33,7 +33,6 @@ def quality_sql() -> str:
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT broken AS kept FROM k"""
 
 
-#: Holds while no source has more than a bucket of documents (10,000), as in the small sizes.
 MIXING = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
     CAST(CAST('0x' || left(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS draw FROM documents),
@@ -43,14 +42,13 @@ l AS (SELECT *, (total - sum(cap) OVER (ORDER BY k) + cap) / (sum(w) OVER () - s
 b AS (SELECT min(level) FILTER (level <= cap / w) AS level FROM l), e AS (SELECT (any_value(total) - coalesce(sum(cap) FILTER (cap < b.level * w), 0)) / sum(w) FILTER (cap >= b.level * w) AS level FROM c, b),
 t AS (SELECT source, source_size, least(cap, e.level * w) AS target FROM c, e),
 x AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
-y AS (SELECT *, CAST(floor(rate + 1e-12::DOUBLE) AS BIGINT) AS whole, greatest(rate - floor(rate + 1e-12::DOUBLE), 0.0::DOUBLE) AS part, row_number() OVER o AS rn, CAST(sum(size) OVER (PARTITION BY source ORDER BY size DESC, draw, coalesce(doc_id, -1) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum,
-    CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS alls FROM x WINDOW o AS (PARTITION BY source ORDER BY size DESC, draw, coalesce(doc_id, -1))),
-z AS MATERIALIZED (SELECT *, part * alls AS wanted_all, part * cum AS wanted, alls - cum AS rest FROM y),
-g(source, rn, taken, more) AS (SELECT source, 0, CAST(0 AS BIGINT), 0 FROM t UNION ALL
-    SELECT z.source, z.rn, g.taken + CASE WHEN f.take AND z.size > 0 THEN z.size ELSE 0 END, CASE WHEN f.take AND z.size > 0 THEN 1 ELSE 0 END
-    FROM g JOIN z ON z.rn = g.rn + 1 AND z.source IS NOT DISTINCT FROM g.source,
-    LATERAL (SELECT CASE WHEN g.taken + z.size - z.wanted_all > 0 OR z.wanted_all - g.taken - z.rest > 0 THEN greatest(g.taken + z.size - z.wanted_all, 0) < greatest(z.wanted_all - g.taken - z.rest, 0) ELSE z.wanted - g.taken >= z.draw * z.size END AS take) f)
-SELECT z.doc_id, z.size, z.source_size, z.target, CAST(CASE WHEN z.size > 0 THEN (z.whole + g.more) * z.size ELSE 0 END AS BIGINT) AS taken FROM z JOIN g ON g.rn = z.rn AND g.source IS NOT DISTINCT FROM z.source"""
+y AS (SELECT *, CAST(floor(rate + 1e-12::DOUBLE) AS BIGINT) AS whole, greatest(rate - floor(rate + 1e-12::DOUBLE), 0.0::DOUBLE) AS part, row_number() OVER (PARTITION BY source, size ORDER BY draw, doc_id NULLS FIRST) - 1 AS place FROM x),
+k AS (SELECT source, size, any_value(part) AS part, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS rn, CAST(sum(size * count(*)) OVER (PARTITION BY source ORDER BY size DESC) AS BIGINT) AS cum FROM y WHERE size > 0 GROUP BY source, size),
+g(source, rn, size, taken, more) AS (SELECT source, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM t UNION ALL
+    SELECT k.source, k.rn, k.size, g.taken + f.m * k.size, f.m FROM g JOIN k ON k.rn = g.rn + 1 AND k.source IS NOT DISTINCT FROM g.source,
+    LATERAL (SELECT CAST(greatest(0, least(k.n, floor((k.part * k.cum - g.taken) / k.size + 0.5::DOUBLE))) AS BIGINT) AS m) f)
+SELECT y.doc_id, y.size, y.source_size, y.target, CAST(CASE WHEN y.size > 0 THEN (y.whole + CASE WHEN y.place < g.more THEN 1 ELSE 0 END) * y.size ELSE 0 END AS BIGINT) AS taken
+FROM y LEFT JOIN g ON g.size = y.size AND g.rn > 0 AND g.source IS NOT DISTINCT FROM y.source"""
 
 
 def oracle_sql() -> dict[str, str]:
