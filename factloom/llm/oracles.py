@@ -14,21 +14,31 @@ SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id
 
 
 def quality_sql() -> str:
-    """Counts by splitting and windows; quartiles from the same log-linear cells, found by ordering the documents themselves."""
+    """Counts by splitting and windows; deciles from the same log-linear cells, found by ordering the documents themselves."""
     ppm = {"symbol_ppm": "n_symbols * 1000000 // word_chars", "dup_line_ppm": "n_dup_lines * 1000000 // n_lines", "repeat_ppm": "n_repeat_words * 1000000 // n_words", "word_milli": "word_chars * 1000 // n_words"}
-    quartiles = ", ".join(f"quantile_disc({k}_low, {p}) AS {k}_{n}" for k in ppm for n, p in (("q1", 0.25), ("q3", 0.75)))
-    broken = " OR ".join([f"{k} > {k}_q3 + {quality.FENCE} * ({k}_q3 - {k}_q1) + {s}" for k, s in quality.SLACK.items()] + [f"word_milli < word_milli_q1 - {quality.FENCE} * (word_milli_q3 - word_milli_q1) - {quality.SLACK['word_milli']}"])
+    units = ["word_chars", "n_lines", "n_words"]
     low = "CASE WHEN {0} < 64 THEN {0} ELSE ({0} >> CAST(length(bin({0})) - 6 AS BIGINT)) << CAST(length(bin({0})) - 6 AS BIGINT) END"
-    cells = ", ".join(f"{low.format(k)} AS {k}_low" for k in ppm)
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CAST({low.format(k)} AS DOUBLE) AS v FROM r WHERE n_words > 0" for k in [*ppm, *units])
+
+    def deciles(name: str, key: str) -> str:
+        qs = ", ".join(f"min(v) FILTER (rn * 10 >= total * {p}) AS q{p}" for p in (1, 5, 9))
+        return f"{name} AS (SELECT {key}, measure, max(total) AS n, {qs} FROM (SELECT *, row_number() OVER (PARTITION BY {key}, measure ORDER BY v) AS rn, count(*) OVER (PARTITION BY {key}, measure) AS total FROM v) GROUP BY {key}, measure)"
+
+    drawn = ", ".join(f"(o.n * o.q{p} + {quality.SHRINK} * w.q{p}) / (o.n + {quality.SHRINK}) AS q{p}" for p in (1, 5, 9))
+    of = "max({1}) FILTER (measure = '{0}')".format
+    limits = [f"{of(k, f'q9 + {quality.FENCE} * (q9 - q5)')} + {s} * sqrt({of(u, 'w5')} / {of(u, 'q5')}) AS {k}_max" for k, (s, u) in quality.SLACK.items()]
+    limits.append(f"{of('word_milli', f'q1 - {quality.FENCE} * (q5 - q1)')} - {quality.SLACK['word_milli'][0]} * sqrt({of('n_words', 'w5')} / {of('n_words', 'q5')}) AS word_milli_min")
+    broken = " OR ".join([f"{k} > {k}_max" for k in ppm] + ["word_milli < word_milli_min"])
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
     w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
     win AS (SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
     twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, s) > 1), rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY rid),
     m AS (SELECT w.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-        CAST(len(ls) - list_unique(ls) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN rep USING (rid)),
-    r AS (SELECT *, {', '.join(f'CASE WHEN n_words > 0 THEN {v} ELSE 0 END AS {k}' for k, v in ppm.items())} FROM m),
-    c AS (SELECT *, {cells} FROM r WHERE n_words > 0), q AS (SELECT lang, source, {quartiles} FROM c GROUP BY lang, source),
+        CAST(len(ls) - list_unique(ls) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines FROM w LEFT JOIN rep USING (rid)),
+    r AS MATERIALIZED (SELECT *, {', '.join(f'CASE WHEN n_words > 0 THEN {v} ELSE 0 END AS {k}' for k, v in ppm.items())} FROM m), v AS MATERIALIZED ({long}),
+    {deciles("o", "lang, source")}, {deciles("l", "lang")},
+    x AS (SELECT o.lang, o.source, o.measure, {drawn}, w.q5 AS w5 FROM o JOIN l w ON w.lang IS NOT DISTINCT FROM o.lang AND w.measure = o.measure), q AS (SELECT lang, source, {", ".join(limits)} FROM x GROUP BY lang, source),
     k AS (SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce({broken}, false) AS broken FROM r LEFT JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT broken AS kept FROM k"""
 

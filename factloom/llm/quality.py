@@ -3,8 +3,11 @@
 Every document gets counts of words, symbols, repeated lines and repeated five-word windows. The thresholds are not fixed:
 each (language, source) keeps, for each measure, a log-linear histogram (32 cells for each power of two, a relative
 error of 1/32). Such sketches add up cell by cell in any order, so they are combined before the shuffle, are the same on
-every run and see all documents. A document fails where a measure lies beyond ``q75 + FENCE * (q75 - q25) + slack`` of its
-own group (mean word length: below the mirrored fence, too). The slack keeps clean documents in groups that hardly vary.
+every run and see all documents. A document fails where a measure lies beyond ``q90 + FENCE * (q90 - q50) + slack`` of its own group (mean word
+length: below the mirrored limit, too). Quantiles of a group of n documents are drawn towards those of its language as if that held ``SHRINK`` more
+documents of it, so that a small group has no wild limits. The slack is what a rate of a typical document of the language may vary by; it grows with the
+root of how many fewer words, lines or characters the group's documents have. Where nine documents in ten have none of what is measured, quantiles are zero
+and the slack alone is the limit.
 
 Measures, as whole numbers: symbols, repeated lines and repeated words in parts per million of word characters, lines and words; word
 length in thousandths.
@@ -27,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize, ship
 
-WINDOW, FENCE = 5, 6
-#: Measure: slack above (and, for word length, below) the fences.
-SLACK = {"symbol_ppm": 20_000, "dup_line_ppm": 300_000, "repeat_ppm": 100_000, "word_milli": 3_000}
+WINDOW, FENCE, SHRINK = 5, 3, 50
+#: Measure: slack beyond the tail, and what the measure is a rate of.
+SLACK = {"symbol_ppm": (20_000, "word_chars"), "dup_line_ppm": (300_000, "n_lines"), "repeat_ppm": (100_000, "n_words"), "word_milli": (1_000, "n_words")}
+_UNITS = ["word_chars", "n_lines", "n_words"]
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
 _CONTINUES = bytes(range(0x80, 0xC0))
@@ -116,23 +120,39 @@ def low_end(c: str) -> str:
 
 def sketches(rated: DataFrame) -> DataFrame:
     """(lang, source, measure, cell, n): the sketch of each measure of each group; sketches of parts add up."""
-    cols = ", ".join(f"'{k}', cast({cell(k)} as long)" for k in SLACK)
-    long = rated.where("n_words > 0").select("lang", "source", F.expr(f"stack({len(SLACK)}, {cols}) as (measure, cell)"))
+    names = [*SLACK, *_UNITS]
+    cols = ", ".join(f"'{k}', cast({cell(k)} as long)" for k in names)
+    long = rated.where("n_words > 0").select("lang", "source", F.expr(f"stack({len(names)}, {cols}) as (measure, cell)"))
     return long.groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n"))
 
 
-def thresholds(cells: DataFrame, fence: int = FENCE) -> DataFrame:
+def _quantiles(cells: DataFrame, *key: str) -> DataFrame:
+    """(key, measure, n, q1, q5, q9): deciles of sketches."""
+    group = Window.partitionBy(*key, "measure")  # cells, not documents: a few hundred at most
+    at = cells.withColumns({"run": F.sum("n").over(group.orderBy("cell")), "total": F.sum("n").over(group)})
+    q = [F.min(F.when(F.col("run") * 10 >= F.col("total") * p, F.col("cell"))).alias(f"c{p}") for p in (1, 5, 9)]
+    deciles = at.groupBy(*key, "measure").agg(*q, F.max("total").alias("n"))
+    return deciles.select(*key, "measure", "n", *[F.expr(low_end(f"c{p}")).cast("double").alias(f"q{p}") for p in (1, 5, 9)])
+
+
+def thresholds(cells: DataFrame, fence: int = FENCE, shrink: int = SHRINK) -> DataFrame:
     """A row per (lang, source) with the upper limit of every measure and the lower one of word length."""
-    group = Window.partitionBy("lang", "source", "measure")  # cells, not documents: a few hundred at most
-    run = F.sum("n").over(group.orderBy("cell"))
-    total = F.sum("n").over(group)
-    at = cells.withColumn("run", run).withColumn("total", total)
-    q = {p: F.min(F.when(F.col("run") * 4 >= F.col("total") * p, F.col("cell"))) for p in (1, 3)}
-    quart = at.groupBy("lang", "source", "measure").agg(q[1].alias("c1"), q[3].alias("c3"))
-    quart = quart.withColumn("q1", F.expr(low_end("c1")).cast("long")).withColumn("q3", F.expr(low_end("c3")).cast("long"))
-    aggs = [F.max(F.when(F.col("measure") == k, F.col("q3") + fence * (F.col("q3") - F.col("q1")) + s)).alias(f"{k}_max") for k, s in SLACK.items()]
-    low = F.max(F.when(F.col("measure") == "word_milli", F.col("q1") - fence * (F.col("q3") - F.col("q1")) - SLACK["word_milli"])).alias("word_milli_min")
-    return quart.groupBy("lang", "source").agg(*aggs, low)
+    own = _quantiles(cells, "lang", "source")
+    whole = _quantiles(cells.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")), "lang")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n")).alias("_l")
+    both = own.select("*", key).join(whole.select(key, "measure", *[F.col(f"q{p}").alias(f"w{p}") for p in (1, 5, 9)]), ["_l", "measure"])
+    drawn = [((F.col("n") * F.col(f"q{p}") + shrink * F.col(f"w{p}")) / (F.col("n") + shrink)).alias(f"q{p}") for p in (1, 5, 9)]
+    x = both.select("lang", "source", "measure", *drawn, "w5")
+
+    def of(measure: str, value: Column) -> Column:
+        return F.max(F.when(F.col("measure") == measure, value))
+
+    wide = [F.sqrt(of(u, F.col("w5")) / of(u, F.col("q5"))).alias(f"{u}_scale") for u in _UNITS]
+    tail = [of(k, F.col("q9") + fence * (F.col("q9") - F.col("q5"))).alias(f"{k}_tail") for k in SLACK]
+    low = of("word_milli", F.col("q1") - fence * (F.col("q5") - F.col("q1"))).alias("word_milli_low")
+    g = x.groupBy("lang", "source").agg(*wide, *tail, low)
+    limits = [(F.col(f"{k}_tail") + s * F.col(f"{u}_scale")).alias(f"{k}_max") for k, (s, u) in SLACK.items()]
+    return g.select("lang", "source", *limits, (F.col("word_milli_low") - SLACK["word_milli"][0] * F.col("n_words_scale")).alias("word_milli_min"))
 
 
 def rate(docs: DataFrame, fence: int = FENCE, text_hash: bool = False) -> DataFrame:

@@ -22,7 +22,8 @@ def counts(text):
     lines = [x for x in text.split("\n") if WORD.search(x)]
     n, chars, symbols, dup = len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
     part = lambda a, b: a * 1_000_000 // b if b else 0
-    return n, len(covered), {"symbol": part(symbols, chars), "dup": part(dup, len(lines)), "repeat": part(len(covered), n), "word": chars * 1000 // n if n else 0}
+    rates = {"symbol": part(symbols, chars), "dup": part(dup, len(lines)), "repeat": part(len(covered), n), "word": chars * 1000 // n if n else 0}
+    return n, len(covered), rates | {"chars": chars, "lines": len(lines), "words": n}
 
 
 def floor_cell(x):
@@ -30,26 +31,35 @@ def floor_cell(x):
     return x >> shift << shift
 
 
-def quartile(xs, p):
+def decile(xs, p):
     xs = sorted(xs)
-    return xs[math.ceil(len(xs) * p) - 1]
+    return float(xs[-(-len(xs) * p // 10) - 1])
 
 
 def brute(rows, who):
     rows = [r for r in rows if not who.predict([r["text"].encode()])[0][3]]
-    slack = {"symbol": 20_000, "dup": 300_000, "repeat": 100_000, "word": 3_000}
+    slack = {"symbol": (20_000, "chars"), "dup": (300_000, "lines"), "repeat": (100_000, "words"), "word": (1_000, "words")}
     seen = [(r, *counts(r["text"])) for r in rows]
-    groups = collections.defaultdict(list)
+    groups, langs = collections.defaultdict(list), collections.defaultdict(list)
     for r, n, _, m in seen:
         if n:
-            groups[r["lang"], r["source"]].append({k: floor_cell(v) for k, v in m.items()})
+            cells = {k: floor_cell(v) for k, v in m.items()}
+            groups[r["lang"], r["source"]].append(cells)
+            langs[r["lang"]].append(cells)
+
+    def limits(key):
+        own, whole = groups[key], langs[key[0]]
+        q = {(k, p): (len(own) * decile([x[k] for x in own], p) + 50 * decile([x[k] for x in whole], p)) / (len(own) + 50) for k in own[0] for p in (1, 5, 9)}
+        out = {}
+        for k, (s, unit) in slack.items():
+            s *= math.sqrt(decile([x[unit] for x in whole], 5) / q[unit, 5])
+            out[k] = q[k, 1] - 3 * (q[k, 5] - q[k, 1]) - s if k == "word" else -1.0, q[k, 9] + 3 * (q[k, 9] - q[k, 5]) + s
+        return out
+
+    bounds = {key: limits(key) for key in groups}
     good = []
     for r, n, covered, m in seen:
-        ok = n >= 10 and 100 * covered <= 20 * n
-        for k in slack if ok else ():
-            q1, q3 = (quartile([x[k] for x in groups[r["lang"], r["source"]]], p) for p in (0.25, 0.75))
-            ok = ok and m[k] <= q3 + 6 * (q3 - q1) + slack[k] and (k != "word" or m[k] >= q1 - 6 * (q3 - q1) - slack[k])
-        if ok:
+        if n >= 10 and 100 * covered <= 20 * n and all(lo <= m[k] <= hi for k, (lo, hi) in bounds[r["lang"], r["source"]].items()):
             good.append(r)
     good.sort(key=lambda r: r["doc_id"])
     fps = [slow_fingerprint(r["text"]) for r in good]
@@ -67,17 +77,19 @@ def brute(rows, who):
     target = slow_targets(dict(total))
     times = {}
     for s in total:
-        own = sorted((r["doc_id"] for r in kept if r["source"] == s), key=lambda d: (-size[d], hashlib.md5(f"7:{d}".encode()).hexdigest()[:8], d))
         rate = target[s] / total[s]
         whole = math.floor(rate + 1e-12)
-        part, taken, done = max(rate - whole, 0.0), 0, 0
-        for d in own:
-            done += size[d]
-            draw = int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:8], 16) / 2**32
-            much, little = taken + size[d] - part * total[s], part * total[s] - taken - (total[s] - done)
-            take = max(much, 0) < max(little, 0) if much > 0 or little > 0 else part * done - taken >= draw * size[d]
-            taken += size[d] * take
-            times[d] = whole + take
+        part, taken, wanted = max(rate - whole, 0.0), 0, 0
+        of = collections.defaultdict(list)
+        for r in kept:
+            if r["source"] == s:
+                of[size[r["doc_id"]]].append((int(hashlib.md5(f"7:{r['doc_id']}".encode()).hexdigest()[:8], 16), r["doc_id"]))
+        for n in sorted(of, reverse=True):
+            wanted += n * len(of[n])
+            k = max(0, min(len(of[n]), math.floor((part * wanted - taken) / n + 0.5)))
+            taken += k * n
+            for i, (_, d) in enumerate(sorted(of[n])):
+                times[d] = whole + (i < k)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer_path("word_bpe_49k.json"))
