@@ -24,6 +24,7 @@ class Config:
     link_decay: float = 0.95
     exploration_alpha: float = 0.45
     exploration_rounds: int = 20
+    exploration_boost: float = 0.2
     promotion_ttl: float = 600.0
     gauge_chars: int = 10_000
     top_k: int = 8

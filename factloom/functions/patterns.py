@@ -6,7 +6,8 @@ Patterns are written in the common subset of Java and RE2 syntax.
 
 # Notation signs of a fact, and how fast facts of each type fade.
 NOTATION = r"^(C|D|V|\?|✓|~)\[([^\]]+)\]:\s*(.+)$"
-METABOLIC_RATES = {"C": 0.3, "D": 0.7, "V": 1.0, "?": 2.0, "✓": 2.5, "~": 5.0}
+SIGN_TYPES = {"C": "C", "D": "D", "V": "V", "?": "?", "✓": "done", "~": "obs"}
+METABOLIC_RATES = {"C": 0.3, "D": 0.7, "V": 1.0, "?": 2.0, "done": 2.5, "obs": 5.0}
 
 # Words that carry no meaning in queries.
 QUERY_STOP_WORDS = """the a an is are was were with and or for in on at to of it its by as that this from has have be been

@@ -46,7 +46,7 @@ def notation(raw: Column) -> dict[str, Column]:
     s = strip(raw)
     is_typed = s.rlike(P.NOTATION)
     part = [F.regexp_extract(s, P.NOTATION, i) for i in (1, 2, 3)]
-    fact_type = F.when(is_typed, part[0]).otherwise("V")
+    fact_type = F.when(is_typed, lookup(part[0], P.SIGN_TYPES)).otherwise("V")
     return {"type": fact_type, "target": F.when(is_typed, strip(part[1])).otherwise("general"), "content": F.when(is_typed, strip(part[2])).otherwise(s), "rate": lookup(fact_type, P.METABOLIC_RATES, 1.0)}
 
 

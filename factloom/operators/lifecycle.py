@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import drop, materialize
 from ..functions import text as T
 
 
@@ -46,6 +47,56 @@ def supersede(facts: DataFrame) -> DataFrame:
     return x.withColumn("status", F.when(held & (moment < F.col("_last")), "superseded").otherwise(F.col("status"))).drop(*key, "_last")
 
 
+#: Numbers of row_seq in which rows of a key meet in one task.
+SPAN = 100_000
+
+
+def _previous(x: DataFrame, key: list[str], here: Column, value: Column, name: str) -> DataFrame:
+    """``x`` with the ``value`` (a struct that begins with row_seq) of the last row before each one, of its key, where ``here`` holds.
+
+    Rows of a key meet in spans of row_seq; what earlier spans hold last is carried over. So a key with any number of rows is many groups.
+    """
+    x = x.withColumns({"_value": F.when(here, value), "_span": F.floor(F.col("row_seq") / SPAN)})
+    within = Window.partitionBy(*key, "_span").orderBy("row_seq").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span of a key
+    spans = x.groupBy(*key, "_span").agg(F.max("_value").alias("_last")).select(*key, "_span", F.max("_last").over(across).alias("_carried"))
+    x = x.withColumn("_own", F.last("_value", ignorenulls=True).over(within)).join(spans, [*key, "_span"])
+    return x.withColumn(name, F.coalesce("_own", "_carried")).drop("_value", "_own", "_carried", "_span")
+
+
+def write(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """``rows`` as if written one by one after the ``active`` ones, in order of row_seq, with two more columns: whether each is ``inserted``, and
+    then ``replaced``. Of ``active`` too the replaced ones are marked. All have row_seq (each once, the active ones' lower), type, target, scope_id
+    and source_hash.
+
+    A row is a copy, and not inserted, if a fact with its hash is active at its turn, whatever that one's key. Another row of a key (a target other than
+    general, a type other than done and obs) replaces the active one, whose text may then come again. Which rows are copies depends on which earlier
+    ones are not: all are taken as inserted first, and are judged anew by what the last judgement left until nothing changes.
+    """
+    key = _key()
+    typed = (F.col("target") != "general") & ~F.col("type").isin("done", "obs")
+    names = ["row_seq", "type", "target", "scope_id", "source_hash"]
+    both = active.select(*names, F.lit(True).alias("old")).unionByName(rows.select(*names, F.lit(False).alias("old")))
+    # facts that replace nothing have a key of their own
+    ids = F.when(typed, F.concat_ws("\x1f", *key.values())).otherwise(F.concat(F.lit("\x1e"), F.col("row_seq").cast("string")))
+    state = materialize(both.select("row_seq", "source_hash", "old", ids.alias("key"), F.lit(True).alias("inserted")), "written")
+    while True:
+        # the next inserted row of a key ends a fact; seen from the back it is the previous one
+        back = state.where("inserted").withColumn("row_seq", -F.col("row_seq"))
+        ends = _previous(back, ["key"], F.lit(True), F.struct("row_seq"), "_next").select((-F.col("row_seq")).alias("row_seq"), (-F.col("_next.row_seq")).alias("end"))
+        x = state.select("row_seq", "source_hash", "old", "key", "inserted").join(ends, "row_seq", "left")
+        x = _previous(x, ["source_hash"], F.col("inserted"), F.struct("row_seq", "end"), "_like")
+        copy = F.col("_like").isNotNull() & (F.col("_like.end").isNull() | (F.col("_like.end") >= F.col("row_seq")))
+        new = x.select("row_seq", "source_hash", "old", "key", "end", (F.col("old") | ~copy).alias("inserted"), F.col("inserted").alias("was"))
+        new = materialize(new, "written")
+        drop(state)
+        state = new
+        if state.where("inserted <> was").isEmpty():
+            break
+    marks = state.select("row_seq", "inserted", (F.col("inserted") & F.col("end").isNotNull()).alias("replaced"))
+    return active.withColumn("_old", F.lit(True)).unionByName(rows.withColumn("_old", F.lit(False)), allowMissingColumns=True).join(marks, "row_seq").drop("_old")
+
+
 def gauge(facts: DataFrame, scopes: DataFrame, now: float, max_chars: int = 10_000) -> DataFrame:
     """Pressure relief in three steps, all judged by the share used before the first: 70 % merge, 85 % archive, 95 % cool ten."""
     share = F.broadcast(used_chars(facts).select((F.col("used") / max_chars * 100).alias("pct")))  # one row
@@ -92,6 +143,12 @@ def merge_facts(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     return x.withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status")))
 
 
+def merge_access(access: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Accesses of duplicates count for what they are merged into."""
+    x = access.join(mapping.select(F.col("dup").alias("fact_id"), "into"), "fact_id", "left")
+    return x.withColumn("fact_id", F.coalesce("into", "fact_id")).drop("into").select(*access.columns)
+
+
 def cap_access(access: DataFrame, keep: int = 100) -> DataFrame:
     """The newest ``keep`` accesses of each fact; moments shared with a dropped one go with it. Only the newest ``keep`` + 1 of a fact are ranked."""
     w = Window.partitionBy("fact_id").orderBy(F.desc("seen_at"))
@@ -146,7 +203,7 @@ def get_or_create_scopes(scopes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def write_log(rows: list[tuple[str, str, str]]) -> tuple[list[int], list[int]]:
-    """The exact one-by-one write of (key, hash, type): which are inserted, and which of them are superseded later. The fold the set forms are tested against."""
+    """The exact one-by-one write of (key, hash, type): which are inserted, and which of them are superseded later. The fold :func:`write` is tested against."""
     active: dict[str, int] = {}
     latest: dict[str, int] = {}
     inserted, gone = [], []

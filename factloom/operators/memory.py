@@ -45,14 +45,26 @@ def contradicted(new: DataFrame, old: DataFrame, threshold: float = 0.12) -> Dat
 
 
 def store(raw: DataFrame, facts: DataFrame, now: float, config: Config = Config()) -> DataFrame:
-    """The facts after a batch is written: encoded, exact duplicates dropped, older facts of a key superseded.
+    """The facts after a batch is written, row by row in order of row_seq: encoded, exact copies of active facts dropped, older facts of a key superseded.
 
-    Near duplicates, contradictions and links need vectors and are steps of their own: :func:`near_copies`, :func:`contradicted`, and the
-    link operators.
+    Signs of done and obsolete facts are read, but such facts are written as values, as the store has no notation for them. Near duplicates, contradictions
+    and links need vectors and are steps of their own: :func:`near_copies`, :func:`contradicted`, and the link operators; :func:`first_access` has the
+    accesses that writing makes.
     """
-    fresh = L.new_facts(encode(raw, now), facts)
-    both = facts.unionByName(fresh.select(*[c for c in facts.columns if c in fresh.columns]), allowMissingColumns=True)
-    return L.supersede(both)
+    fresh = encode(raw, now)
+    odd = F.col("type").isin("done", "obs")
+    fresh = fresh.withColumns({"metabolic_rate": F.when(odd, 1.0).otherwise(F.col("metabolic_rate")), "type": F.when(odd, "V").otherwise(F.col("type"))})
+    fresh = fresh.select(*[c for c in facts.columns if c in fresh.columns])
+    live = F.col("status") == "active"
+    hashed = facts.withColumn("source_hash", T.content_hash(F.col("content")))
+    out = L.write(fresh, hashed.where(live)).where("inserted")
+    out = out.withColumn("status", F.when(F.col("replaced"), "superseded").otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("replaced"), float(now)).otherwise(F.col("updated_at")))
+    return facts.where(~live | F.col("status").isNull()).unionByName(out.select(*facts.columns))
+
+
+def first_access(before: DataFrame, after: DataFrame, now: float) -> DataFrame:
+    """(fact_id, seen_at): writing a fact is its first access."""
+    return after.join(before.select("id"), "id", "left_anti").select(F.col("id").alias("fact_id"), F.lit(float(now)).alias("seen_at"))
 
 
 def near_copies(new: DataFrame, old: DataFrame, config: Config = Config()) -> DataFrame:
@@ -102,7 +114,28 @@ def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataF
     return results, uses, pairs
 
 
-def explore(queries_results: DataFrame, links: DataFrame, config: Config = Config()) -> DataFrame:
-    """(id, s) of exploration from recalled facts, with their scores as seeds."""
-    seeds = queries_results.groupBy("id").agg(F.max("score").alias("seed"))
-    return G.explore(links.select("source_id", "target_id", "strength"), seeds, config.exploration_rounds, config.exploration_alpha)
+def explore(results: DataFrame, links: DataFrame, facts: DataFrame, top_k: int = 20, config: Config = Config()) -> DataFrame:
+    """(query_id, id, score, discovered): recalled facts and those that links lead to from them, the best ``top_k`` of each query.
+
+    ``results`` has (query_id, id, score). A recalled fact gains ``exploration_boost`` times its share of the walk; of the others those with a share over 0.01 come in,
+    best first, until there are ``top_k``, with the boost times their share as score, if they are active or cold. A query with fewer than two recalled
+    facts, or a graph of fewer than three nodes, gives the recalled facts alone. Each query is a walk of its own,
+    one after another: this is for a handful of queries.
+    """
+    boost = config.exploration_boost
+    nodes = links.select("source_id").union(links.select("target_id")).distinct().limit(3).count()
+    seen = materialize(results.select("query_id", "id", "score"), "recalled")
+    plain = seen.withColumn("discovered", F.lit(False))
+    walks = [r["query_id"] for r in seen.groupBy("query_id").count().where("count >= 2").select("query_id").collect()] if nodes >= 3 else []
+    live = facts.where("status in ('active', 'cold')").select("id")
+    out = plain.where(~F.col("query_id").isin(walks)) if walks else plain
+    for q in walks:
+        own = seen.where(F.col("query_id") == q)
+        s = G.explore(links, own.select("id", F.col("score").alias("seed")), config.exploration_rounds, config.exploration_alpha, "row_seq" if "row_seq" in links.columns else None)
+        lifted = own.join(s, "id", "left").select("query_id", "id", (F.col("score") + boost * F.coalesce("s", F.lit(0.0))).alias("score"), F.lit(False).alias("discovered"))
+        room = max(0, top_k - own.count())
+        far = s.join(own.select("id"), "id", "left_anti").where("s > 0.01").orderBy(F.desc("s"), "id").limit(room)
+        far = far.join(live, "id", "left_semi").select(F.lit(q).alias("query_id"), "id", (boost * F.col("s")).alias("score"), F.lit(True).alias("discovered"))
+        out = out.unionByName(lifted.unionByName(far))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= top_k).drop("_rn")

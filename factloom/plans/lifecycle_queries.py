@@ -212,11 +212,14 @@ _BR = "(SELECT lang AS arm, [1.0::DOUBLE, least(n_chars, 5000) / 5000.0::DOUBLE,
 
 _NOTED = S.hit("s", P.NOTATION)
 ORACLES = {
-    "store_path": f"""WITH x AS (SELECT id, scope, {S.strip('raw')} AS s FROM {duck_view('typed_facts')}),
-        p AS (SELECT id AS row_seq, scope, CASE WHEN {_NOTED} THEN regexp_extract(s, {S.q(P.NOTATION)}, 1) ELSE 'V' END AS type, CASE WHEN {_NOTED} THEN {S.strip(f"regexp_extract(s, {S.q(P.NOTATION)}, 2)")} ELSE 'general' END AS target, CASE WHEN {_NOTED} THEN {S.strip(f"regexp_extract(s, {S.q(P.NOTATION)}, 3)")} ELSE s END AS content FROM x),
-        u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY content ORDER BY row_seq) = 1),
-        c AS (SELECT *, {_CATEGORY} AS category, len({S.words('content')}) AS n_words FROM u)
-        SELECT row_seq, type, target, content, CASE WHEN target <> 'general' AND row_seq < max(row_seq) OVER (PARTITION BY type, target, scope) THEN 'superseded' ELSE 'active' END AS status, category, round(least(greatest(CAST({_IMPORTANCE} AS DOUBLE), 0.1), 1.0), 6) AS importance, left(sha256(content), 16) AS source_hash FROM c""",
+    "store_path": f"""WITH RECURSIVE x AS (SELECT id, scope, {S.strip('raw')} AS s FROM {duck_view('typed_facts')}),
+        p AS (SELECT id AS row_seq, scope, CASE WHEN {_NOTED} THEN CASE regexp_extract(s, {S.q(P.NOTATION)}, 1) WHEN '✓' THEN 'V' WHEN '~' THEN 'V' ELSE regexp_extract(s, {S.q(P.NOTATION)}, 1) END ELSE 'V' END AS type, CASE WHEN {_NOTED} THEN {S.strip(f"regexp_extract(s, {S.q(P.NOTATION)}, 2)")} ELSE 'general' END AS target, CASE WHEN {_NOTED} THEN {S.strip(f"regexp_extract(s, {S.q(P.NOTATION)}, 3)")} ELSE s END AS content FROM x),
+        o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY row_seq) AS rn, target <> 'general' AS keyed, concat_ws(chr(31), type, target, coalesce(scope, '')) AS k FROM p),
+        w(rn, held, loose, ins) AS (SELECT CAST(0 AS BIGINT), CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)), CAST([] AS VARCHAR[]), false UNION ALL
+            SELECT o.rn, CASE WHEN f.ins AND o.keyed THEN map_concat(w.held, MAP {{o.k: o.content}}) ELSE w.held END, CASE WHEN f.ins AND NOT o.keyed THEN list_append(w.loose, o.content) ELSE w.loose END, f.ins
+            FROM w JOIN o ON o.rn = w.rn + 1, LATERAL (SELECT NOT list_contains(map_values(w.held), o.content) AND NOT list_contains(w.loose, o.content) AS ins) f),
+        u AS (SELECT o.* FROM o JOIN w USING (rn) WHERE w.ins), c AS (SELECT *, {_CATEGORY} AS category, len({S.words('content')}) AS n_words FROM u)
+        SELECT row_seq, type, target, content, CASE WHEN keyed AND row_seq < max(row_seq) OVER (PARTITION BY keyed, k) THEN 'superseded' ELSE 'active' END AS status, category, round(least(greatest(CAST({_IMPORTANCE} AS DOUBLE), 0.1), 1.0), 6) AS importance, left(sha256(content), 16) AS source_hash FROM c""",
     "exact_dedup": f"SELECT id, left(sha256(content), 16) AS source_hash FROM {_F} WHERE content NOT IN (SELECT content FROM {_F} WHERE layer = 'core' AND type = 'D' AND status = 'active') QUALIFY row_number() OVER (PARTITION BY content ORDER BY id) = 1",
     "supersession": f"SELECT id, CASE WHEN status = 'active' AND target <> 'general' AND row_number() OVER (PARTITION BY type, target, scope_id, status ORDER BY created_at DESC, id DESC) > 1 THEN 'superseded' ELSE status END AS status FROM {_F}",
     "gauge_cascade": f"""WITH x AS (SELECT f.*, used / 100.0 AS pct FROM {_F} f CROSS JOIN {_USED}),

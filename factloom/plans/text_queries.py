@@ -175,7 +175,8 @@ def _jaccard(a: str, b: str) -> str:
 
 
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', E'\\\\1\\n', 'g'), '\\n+', E'\\n', 'g'), E'\\n'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
-_TYPE = f"CASE WHEN regexp_matches(s, {S.q(P.NOTATION)}) THEN regexp_extract(s, {S.q(P.NOTATION)}, 1) ELSE 'V' END"
+_SIGN = f"regexp_extract(s, {S.q(P.NOTATION)}, 1)"
+_TYPE = f"CASE WHEN regexp_matches(s, {S.q(P.NOTATION)}) THEN CASE {_SIGN} WHEN '✓' THEN 'done' WHEN '~' THEN 'obs' ELSE {_SIGN} END ELSE 'V' END"
 
 ORACLES = {
     "notation_parse": f"""WITH x AS (SELECT id, {S.strip('raw')} AS s FROM {duck_view('typed_facts')})

@@ -42,7 +42,13 @@ def test_recall_finds_the_fact_and_writes_nothing(spark):
     got = results.orderBy("rank").collect()
     assert got[0]["id"] == 0 and len(got) == 4
     assert uses.count() == 4 and pairs.where("place = 1").count() == 1
-    assert memory.explore(results, links).count() >= 2
+    wide = links.union(spark.createDataFrame([(3, 9, 0.9, NOW), (9, 8, 0.9, NOW)], links.schema))
+    more = facts.select("id", "status").union(spark.createDataFrame([(9, "cold"), (8, "superseded")], "id long, status string"))
+    found = {r["id"]: r for r in memory.explore(results, wide, more).collect()}
+    assert set(found) == {0, 1, 2, 3, 9} and found[9]["discovered"] and not found[3]["discovered"]
+    first = {r["id"]: r["score"] for r in results.collect()}
+    assert found[3]["score"] > first[3]
+    assert {r["id"] for r in memory.explore(results, links.limit(0), more).collect()} == {0, 1, 2, 3}
 
 
 def test_near_copies_and_contradictions(spark):
@@ -90,3 +96,48 @@ def test_decide(spark):
 def test_gauge_of_an_empty_store(spark):
     facts = snapshot(spark).withColumn("pinned", F.lit(False)).withColumn("last_accessed", F.lit(0.0)).limit(0)
     assert lifecycle.used_chars(facts).first()["used"] == 0
+
+
+def test_writing_equals_the_row_by_row_fold(spark, trials=2):
+    """Texts that come again after they were replaced, under their own and other keys, in one batch and in two."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(trials):
+        rows = [(i, rng.choice(["C", "V", "plain"]), rng.choice(["a", "b"]), rng.choice(["x", "y", "z"])) for i in range(60)]
+        raw = [(i, text if kind == "plain" else f"{kind}[{target}]: {text}", "s") for i, kind, target, text in rows]
+        keys = [(f"general{i}" if kind == "plain" else f"{kind}.{target}", text, kind) for i, kind, target, text in rows]
+        kept, gone = lifecycle.write_log(keys)
+        want = {(i, "superseded" if i in gone else "active") for i in kept}
+        frame = spark.createDataFrame(raw, "row_seq long, raw string, scope_id string")
+        empty = spark.createDataFrame([], STATE["facts"])
+        assert {(r.row_seq, r.status) for r in memory.store(frame, empty, NOW).collect()} == want
+        half = memory.store(frame.where("row_seq < 30"), empty, NOW)
+        both = memory.store(frame.where("row_seq >= 30"), half, NOW + 9)
+        assert {(r.row_seq, r.status) for r in both.collect()} == want
+        assert memory.first_access(half, both, NOW).count() == both.count() - half.count()
+
+
+def test_spans_carry_over(spark, monkeypatch):
+    monkeypatch.setattr(lifecycle, "SPAN", 2)
+    test_writing_equals_the_row_by_row_fold(spark, 1)
+
+
+def test_the_last_of_a_key_stays(spark):
+    raw = spark.createDataFrame([(1, "C[db.port]: 5432", None), (2, "C[db.port]: 5433", None), (3, "C[db.port]: 5432", None), (4, "✓[t]: one", None), (5, "✓[t]: two", None)], "row_seq long, raw string, scope_id string")
+    got = {r.row_seq: (r.type, r.status) for r in memory.store(raw, spark.createDataFrame([], STATE["facts"]), NOW).collect()}
+    assert got == {1: ("C", "superseded"), 2: ("C", "superseded"), 3: ("C", "active"), 4: ("V", "superseded"), 5: ("V", "active")}
+
+
+def test_merged_accesses_and_last_links(spark):
+    access = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "fact_id long, seen_at double")
+    mapping = spark.createDataFrame([(3, 1)], "dup long, into long")
+    assert sorted(map(tuple, lifecycle.merge_access(access, mapping).collect())) == [(1, 1.0), (1, 3.0), (2, 2.0)]
+    from factloom.operators import graph
+
+    links = spark.createDataFrame([(1, 2, 0.9, 1), (2, 1, 0.1, 2), (2, 3, 0.5, 3)], "source_id long, target_id long, strength double, row_seq long")
+    seeds = spark.createDataFrame([(1, 1.0)], "id long, seed double")
+    last = {r["id"]: r["s"] for r in graph.explore(links, seeds, 3, 0.45, "row_seq").collect()}
+    most = {r["id"]: r["s"] for r in graph.explore(links, seeds, 3, 0.45).collect()}
+    # node 2 pulls from 1 by 0.1 of 0.6 in the one case, by 0.9 of 1.4 in the other
+    assert last[2] < most[2]

@@ -25,7 +25,7 @@ def test_notation(spark):
     parts = {k: one(spark, " C[api]: no breaking changes ", lambda c, k=k: T.notation(c)[k]) for k in ("type", "target", "content", "rate")}
     assert parts == {"type": "C", "target": "api", "content": "no breaking changes", "rate": 0.3}
     assert one(spark, "plain text", lambda c: T.notation(c)["target"]) == "general"
-    assert one(spark, "✓[a]: b", lambda c: T.notation(c)["type"]) == "✓"
+    assert one(spark, "✓[a]: b", lambda c: T.notation(c)["type"]) == "done"
 
 
 def test_slug_and_null(spark):
