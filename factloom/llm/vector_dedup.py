@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from ..frames import attach
+from .common import drop_table, materialize, ship
 from .graph import components
 from .simhash import forest
 
@@ -35,54 +36,78 @@ TREES, LEAF, LEVELS, TILE = 4, 1024, 24, 1024
 SPILL = 1.0
 
 
-def _project(trees: int, levels: int, seed: int):
-    """The projections of a unit vector on the random direction of each tree and level, and the vector's spill width."""
+def _directions(seed: int, level: int, trees: int, width: int) -> np.ndarray:
+    """A random unit direction for each tree at a level."""
+    r = np.random.default_rng([seed, level, width]).standard_normal((trees, width))
+    return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+def _project(trees: int, level: int, seed: int):
+    """The projection of each unit vector on the direction of its tree at this level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                x = np.array(v, np.float64)
-                d = len(x)
+            col, tree = batch.column("v"), batch.column("tree").to_numpy()
+            lens = np.diff(col.offsets.to_numpy())
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.cumsum(lens) - lens
+            x = np.zeros(len(lens))
+            for d in np.unique(lens).tolist():
                 if d not in made:
-                    r = np.random.default_rng([seed, d]).standard_normal((trees * levels, d))
-                    made[d] = r / np.linalg.norm(r, axis=1, keepdims=True)
-                out.append((made[d] @ (x / np.linalg.norm(x))).astype(np.float32))
-            flat = np.concatenate(out) if out else np.zeros(0, np.float32)
-            lists = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * trees * levels, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["rid", "p"])
+                    made[d] = _directions(seed, level, trees, d)
+                own = np.flatnonzero(lens == d)
+                m = flat[starts[own][:, None] + np.arange(d)]
+                x[own] = np.einsum("ij,ij->i", m, made[d][tree[own]]) / np.linalg.norm(m, axis=1)
+            kept = [batch.column(c) for c in ("rid", "label", "tree", "node")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(x.astype(np.float32)), pa.array(lens.astype(np.int32))], names=["rid", "label", "tree", "node", "x", "d"])
 
     return run
 
 
 def leaves(vectors: DataFrame, threshold: float, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS, seed: int = 17) -> DataFrame:
-    """(rid, label, tree, node) of every leaf each of the (rid, label, v) vectors is in."""
-    projected = materialize(vectors.select("rid", "v").mapInArrow(_project(trees, levels, seed), "rid long, p array<float>"), "projected")
-    wide = vectors.select("rid", "label", (2 * (1 - threshold) / F.size("v") * SPILL**2).alias("w"))
-    at = projected.join(wide.withColumn("spill", F.sqrt("w")), "rid").select("rid", "label", "spill", "p", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    active = materialize(at.withColumn("node", F.lit(1).cast("long")), "nodes")
-    done: list[DataFrame] = []
+    """(rid, label, tree, node) of every leaf each of the (rid, label, v) vectors is in.
+
+    Between levels only the places of vectors are kept; a vector's projection on the next direction is worked out when it is needed. Tables of past
+    levels are dropped.
+    """
+    whole = vectors.select("rid", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("node"))
+    sizes = _sizes(whole)
+    done = [materialize(whole.join(sizes.where(F.col("n") <= leaf), ["label", "tree", "node"], "left_semi").select("rid", "label", "tree", "node"), "leaves")]
+    active = materialize(whole.join(sizes.where(F.col("n") > leaf), ["label", "tree", "node"], "left_semi").select("rid", "label", "tree", "node"), "nodes")
     for level in range(levels):
-        x = F.get("p", F.col("tree") * levels + level)
-        stats = active.groupBy("label", "tree", "node").agg(F.count("*").alias("n"), F.percentile_approx(x, 0.5, 1000).alias("cut"), F.max("spill").alias("s"))
-        both = active.withColumn("x", x).join(stats, ["label", "tree", "node"])
-        sides = F.array_compact(F.array(F.when(F.col("x") <= F.col("cut") + F.col("s"), 0), F.when(F.col("x") >= F.col("cut") - F.col("s"), 1)))
-        marked = materialize(both.withColumn("sides", F.when(F.col("n") > leaf, sides)), "split")
-        # a split into two sides that both hold nearly all of the node separates nothing
-        held = marked.where("n > %d" % leaf).groupBy("label", "tree", "node").agg((F.greatest(F.sum(F.array_contains("sides", 0).cast("long")), F.sum(F.array_contains("sides", 1).cast("long"))) > 0.9 * F.first("n")).alias("stuck"))
-        marked = marked.join(held, ["label", "tree", "node"], "left").withColumn("leaf", (F.col("n") <= leaf) | F.coalesce("stuck", F.lit(False)) | F.lit(level == levels - 1))
-        done.append(marked.where("leaf").select("rid", "label", "tree", "node"))
-        grown = marked.where("not leaf").select("rid", "label", "spill", "p", "tree", F.explode(F.transform("sides", lambda side: F.col("node") * 2 + side)).alias("node"))
-        active = materialize(grown, "nodes")
         if active.isEmpty():
             break
+        placed = active.join(vectors.select("rid", "v"), "rid").select("rid", "label", "tree", "node", "v").mapInArrow(_project(trees, level, seed), "rid long, label int, tree int, node long, x float, d int")
+        spill = F.sqrt(2 * (1 - threshold) / F.col("d") * SPILL**2)
+        at = materialize(placed.withColumn("s", spill.cast("float")).drop("d"), "projected")
+        stats = at.groupBy("label", "tree", "node").agg(F.count("*").alias("n"), F.percentile_approx("x", 0.5, 1000).alias("cut"), F.max("s").alias("w"))
+        both = attach(at.drop("s"), stats, ["label", "tree", "node"])
+        left, right = F.col("x") <= F.col("cut") + F.col("w"), F.col("x") >= F.col("cut") - F.col("w")
+        # a split into two sides that both hold nearly all of the node separates nothing
+        held = both.groupBy("label", "tree", "node").agg(F.sum(left.cast("long")).alias("n0"), F.sum(right.cast("long")).alias("n1"), F.first("n").alias("n"))
+        held = materialize(held.withColumn("stuck", (F.greatest("n0", "n1") > 0.9 * F.col("n")) | F.lit(level == levels - 1)), "sides")
+        marked = attach(both.drop("n"), held, ["label", "tree", "node"])
+        sides = F.array_compact(F.array(F.when(left, F.struct(F.lit(0).alias("side"), F.col("n0").alias("m"))), F.when(right, F.struct(F.lit(1).alias("side"), F.col("n1").alias("m")))))
+        done.append(materialize(marked.where("stuck").select("rid", "label", "tree", "node"), "leaves"))
+        grown = marked.where("not stuck").select("rid", "label", "tree", F.explode(sides).alias("o"), "node").select("rid", "label", "tree", (F.col("node") * 2 + F.col("o.side")).alias("node"), F.col("o.m").alias("m"))
+        grown = materialize(grown, "grown")
+        done.append(grown.where(F.col("m") <= leaf).select("rid", "label", "tree", "node"))
+        new = grown.where(F.col("m") > leaf).select("rid", "label", "tree", "node")
+        drop_table(at)
+        if level == 0:
+            drop_table(active)
+        active = new
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
     return out
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("label", "tree", "node").agg(F.count("*").alias("n"))
+
+
 _TILE = "struct<rid:long,mult:long,v:array<float>,codes:array<long>>"
 
 
