@@ -8,7 +8,8 @@ per character wins.
 
 Calibration: a part of the training sample is not counted into the models. On it, a logistic curve (fitted to
 smoothed targets) turns the winning margin into a score between 0 and 1, and a high quantile of the
-cross-entropy of each language plus ``slack`` becomes the limit beyond which a text is rejected.
+cross-entropy of each language plus ``slack`` becomes the limit beyond which a text is rejected; a language with too few texts for that has
+the limit of all languages together, and all share one number of signs, so that a rare label takes no foreign texts.
 
 The models are fitted on at most ``docs_per_lang`` labelled documents of each language, those with the smallest hash of
 identifier and text; this bounds model and driver. Prediction reads every text whole.
@@ -72,8 +73,8 @@ class LanguageModel:
     unknown: float = -20.0
 
 
-def fit(counts: Counter[str], order: int = ORDER) -> LanguageModel:
-    """A model from counts of words (letters only)."""
+def fit(counts: Counter[str], order: int = ORDER, vocab: int | None = None) -> LanguageModel:
+    """A model from counts of words (letters only). ``vocab`` is the number of signs, one unseen among them; by default those of ``counts``."""
     by_order: list[Counter[str]] = [Counter() for _ in range(order + 1)]
     for word, n in counts.items():
         s = START + word + END
@@ -85,7 +86,7 @@ def fit(counts: Counter[str], order: int = ORDER) -> LanguageModel:
             if len(gram) > 1:
                 by_order[k - 1][gram[1:]] += 1
     chars = {c for g in by_order[1] for c in g}
-    vocab = len(chars) + 1
+    vocab = vocab or len(chars) + 1
     model = LanguageModel(unknown=math.log(1.0 / vocab))
     lower: dict[str, float] = defaultdict(lambda: 1.0 / vocab)
     lower_empty = 1.0 / vocab
@@ -260,7 +261,9 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, slack: float = SL
     for c in counts.values():
         c.pop("", None)
     langs = [lang for lang in counts if counts[lang]]
-    who = Identifier(langs, [fit(counts[lang]) for lang in langs])
+    # one number of signs for all, so that no language takes unseen ones for their few
+    vocab = len({c for lang in langs for word in counts[lang] for c in word}) + 2
+    who = Identifier(langs, [fit(counts[lang], vocab=vocab) for lang in langs])
     who.limits = [math.inf] * len(langs)
     if not langs:
         return who
@@ -271,10 +274,12 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, slack: float = SL
         want = np.array([langs.index(lang) for lang, _ in aside])
         use = n > 0
         who.slope, who.offset = _platt(who.margin(h_, n)[use], (best == want)[use])
+        long = use & (n >= 20)
+        every = h_[long, want[long]]
         for i in range(len(langs)):
-            own = h_[use & (want == i) & (n >= 20), i]
-            if len(own):
-                who.limits[i] = float(np.quantile(own, 0.999)) + slack
+            own = h_[long & (want == i), i]
+            if len(own) or len(every):  # a language without texts for calibration has the limit of all together
+                who.limits[i] = float(np.quantile(own if len(own) else every, 0.999)) + slack
     return who
 
 

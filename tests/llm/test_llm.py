@@ -258,6 +258,50 @@ def test_language_id_held_out(spark, sf_dir, docs):
     assert langid.identify(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_a_rare_language_takes_no_foreign_texts(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(10**7 + i, t, "it") for i, t in enumerate(["la casa era vuota e silenziosa", "domani andremo tutti al mare", "il treno parte alle otto di sera", "una tazza di caffè molto forte"]) if zlib.crc32(str(10**7 + i).encode()) % 5]
+    who = langid.train(df.unionByName(spark.createDataFrame(rare, df.schema)))
+    assert "it" in who.langs and all(np.isfinite(who.limits))
+    foreign = ["это предложение написано по русски и довольно длинное", "这 是 一 个 中文 句子 没有 别的 语言", "zxqv wkjq pqzx vvkw qjxz kzzq xqvw jjkq", "łódź żółć gęślą jaźń pchnąć w tę łódź jeża"]
+    assert all(r[3] for r in who.predict([t.encode() for t in foreign]))
+
+
+def test_prediction_of_words_against_a_plain_model():
+    """Interpolated probabilities by recursion, without hashes or arrays."""
+    words = collections.Counter({"aba": 3, "abb": 1, "ba": 2, "cab": 1})
+    model, order = langid.fit(words), langid.ORDER
+    grams = [collections.Counter() for _ in range(order + 1)]
+    for w, n in words.items():
+        s = "\x02" + w + "\x03"
+        for i in range(1, len(s)):
+            k = min(order, i + 1)
+            grams[k][s[i + 1 - k : i + 1]] += n
+    for k in range(order, 1, -1):
+        for g in list(grams[k]):
+            if len(g) > 1:
+                grams[k - 1][g[1:]] += 1
+    vocab = len(grams[1]) + 1
+
+    def p(gram):
+        if not gram:
+            return 1 / vocab
+        own = grams[len(gram)]
+        ones, twos = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        with_context = {g: v for g, v in own.items() if g[:-1] == gram[:-1]}
+        if not with_context:
+            return p(gram[1:])
+        total = sum(with_context.values())
+        return max(own[gram] - d, 0) / total + d * len(with_context) / total * p(gram[1:])
+
+    for w in ("aba", "cab", "bbb", "xa", "ab"):
+        s = "\x02" + w + "\x03"
+        want = sum(np.log(p(s[max(0, i + 1 - order) : i + 1])) for i in range(1, len(s)))
+        got, n = langid.score_words([w], [model])
+        assert n[0] == len(w) + 1 and abs(got[0, 0] - want) < 1e-9
+
+
 def slow_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
