@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import wordtable
 from .common import default_tokenizer_path
 
-COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, budget_chars long"
 PREFIXES = "doc_id long, n_bytes long, n_tokens long, prefix_tokens array<int>"
 _RUNS = re.compile(rb" *[^ ]+| +\Z")
 _MARK = "▁".encode()
@@ -42,6 +42,15 @@ def split_units(text: bytes) -> list[bytes]:
     return [x[1:] for x in _RUNS.findall(b" " + text)]
 
 
+def pack(counts: list[int]) -> bytes:
+    """Counts as bytes where they fit, else as 32-bit integers; the first byte says which."""
+    return b"\x01" + bytes(counts) if max(counts) < 256 else b"\x04" + np.array(counts, "<u4").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if data[0] == 4 else "u1", offset=1).astype(np.int64)
+
+
 class PrefixCounter:
     """Exact token counts of all prefixes of units for one SentencePiece BPE model."""
 
@@ -103,7 +112,7 @@ class PrefixCounter:
                     last.append("")
                     cnt.append(cnt[-1] + (len(s[i - 1].encode()) if self.byte_fallback else 1))
             before = s
-            out[at] = np.array(cnt[1:], "<u4").tobytes()
+            out[at] = pack(cnt[1:])
         return out
 
 
@@ -116,16 +125,24 @@ def _values(path: str, units: list[bytes]) -> list[bytes]:
     return _counter(path).count(units)
 
 
-def _last_only(path: str, units: list[bytes]) -> list[bytes]:
-    """The count of the whole unit, which ends its prefixes."""
-    return [v[-4:] for v in _counter(path).count(units)]
-
-
 def _emit_counts(limit: int, block: wordtable.Assembled) -> pa.RecordBatch:
-    whole = np.frombuffer(b"".join(block.values), "<u4").astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(whole[block.at])]) if len(block.at) else np.zeros(1, np.int64)
-    n = sums[block.ends] - sums[block.starts]
-    return wordtable._batch(COUNTS, [(d, b, int(c), bool(c > limit)) for d, b, c in zip(block.doc_ids, block.n_bytes, n)])
+    """Tokens of each text, and where its budget ends: by the sums of its units' counts, and the prefixes of the one unit in which it ends."""
+    whole = np.fromiter((v[-1] if v[0] == 1 else int.from_bytes(v[-4:], "little") for v in block.values), np.int64, len(block.values))
+    chars = np.fromiter(((len(v) - 1) // v[0] for v in block.values), np.int64, len(block.values))
+    rows = []
+    for d, b, lo, hi in zip(block.doc_ids, block.n_bytes, block.starts.tolist(), block.ends.tolist()):
+        at = block.at[lo:hi]
+        sums = np.cumsum(whole[at])
+        n = int(sums[-1]) if len(at) else 0
+        far = int(chars[at].sum()) - 1 if len(at) else 0  # the first unit's space is not in the text
+        if n > limit:
+            k = int(np.searchsorted(sums, limit))  # the unit in which the budget ends; a later one starts beyond it
+            k += int(sums[k] == limit)
+            own = unpack(block.values[at[k]]) + (int(sums[k - 1]) if k else 0)
+            fits = np.flatnonzero(own <= limit)
+            far = int(chars[at[:k]].sum()) - 1 + (int(fits[-1]) + 1 if len(fits) else 0)
+        rows.append((d, b, n, n > limit, max(far, 0)))
+    return wordtable._batch(COUNTS, rows)
 
 
 def _emit_prefixes(block: wordtable.Assembled) -> pa.RecordBatch:
@@ -133,7 +150,7 @@ def _emit_prefixes(block: wordtable.Assembled) -> pa.RecordBatch:
     for d, b, lo, hi in zip(block.doc_ids, block.n_bytes, block.starts.tolist(), block.ends.tolist()):
         total, counts = 0, []
         for k, i in enumerate(block.at[lo:hi].tolist()):
-            own = np.frombuffer(block.values[i], "<u4")
+            own = unpack(block.values[i])
             counts.append(own[(k == 0) :] + total)  # the first unit's space is not in the text
             total += int(own[-1])
         rows.append((d, b, total, np.concatenate(counts).tolist() if counts else []))
@@ -141,9 +158,9 @@ def _emit_prefixes(block: wordtable.Assembled) -> pa.RecordBatch:
 
 
 def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """Bytes, tokens and whether a text has more than ``limit`` tokens."""
+    """Bytes, tokens, whether a text has more than ``limit`` tokens, and the code points of its longest prefix that has no more (``budget_chars``)."""
     path = model_path or default_tokenizer_path("piece_bpe_32k.model")
-    return wordtable.value_units(docs, split_units, functools.partial(_last_only, path), functools.partial(_emit_counts, limit), COUNTS, id_col, text_col, **limits)
+    return wordtable.value_units(docs, split_units, functools.partial(_values, path), functools.partial(_emit_counts, limit), COUNTS, id_col, text_col, **limits)
 
 
 def count_prefixes(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

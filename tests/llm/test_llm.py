@@ -51,12 +51,16 @@ def test_token_counts_and_prefixes(spark, docs, rows):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=default_tokenizer_path("piece_bpe_32k.model"))
     want = collections.Counter((i, len((x or "").encode()), len(sp.encode(x or "")), len(sp.encode(x or "")) > 4096) for i, x in rows)
-    assert collections.Counter(map(tuple, token_counts.count_tokens(docs).collect())) == want
+    assert collections.Counter(tuple(r)[:4] for r in token_counts.count_tokens(docs).collect()) == want
     short = [(i, x) for i, x in rows if len(x or "") < 100]
     got = {(r.doc_id, r.n_tokens): r for r in token_counts.count_prefixes(spark.createDataFrame(short, "doc_id long, text string")).collect()}
     for i, x in short:
         prefixes = [len(sp.encode(x[:k])) for k in range(1, len(x or "") + 1)]
         assert got[i, len(sp.encode(x or ""))].prefix_tokens == prefixes
+    for limit in (1, 3, 7):
+        for r in token_counts.count_tokens(spark.createDataFrame(short, "doc_id long, text string"), limit=limit).collect():
+            text = next(x or "" for i, x in short if i == r.doc_id and len(sp.encode(x or "")) == r.n_tokens and len((x or "").encode()) == r.n_bytes)
+            assert r.budget_chars == max([k for k in range(len(text) + 1) if len(sp.encode(text[:k])) <= limit])
     budget = spark.createDataFrame([([1, 2, 2, 3, 4],)], "p array<int>").select(token_counts.longest_prefix(F.col("p"), 2)).first()[0]
     assert budget == 3
     assert token_counts.count_tokens(spark.createDataFrame([], EMPTY)).count() == 0
