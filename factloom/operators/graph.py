@@ -291,15 +291,14 @@ class Bucketed:
     def __init__(self, df: DataFrame, keys: list[str]) -> None:
         self.spark = df.sparkSession
         path = new_path(self.spark, "bucketed")
-        self.name = "factloom_" + path.rsplit("-", 1)[1]
+        name = "factloom_" + path.rsplit("-", 1)[1]
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(self.name)
-        self.frame = self.spark.table(self.name)
+        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        self.frame = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # out of the catalog; the files of a table with a path of its own stay, and the frame reads them
         self.frame._factloom_path = path
 
     def drop(self) -> None:
-        """Out of the catalog and off the disk; only what no later plan reads."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         drop(self.frame)
 
 
