@@ -196,7 +196,9 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     name = "factloom_blocks_" + path.rsplit("-", 1)[1]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks.write.format("parquet").bucketBy(n, "block_id").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # out of the catalog; the files of a table with a path of its own stay, and the frame reads them
+    return table
 
 
 class Assembled:
