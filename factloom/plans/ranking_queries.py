@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..frames import attach, materialize
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators import memory
 from ..operators import ranking as R
 from ..operators import scoring as C
 from ..operators.nearest import nearest, similarities
@@ -161,7 +162,23 @@ def full_recall(spark, d):
     return x.where("rank <= 8").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (actr_topk, revival_spike, importance_saturation, score_candidates, cosine_topk, bm25_search, rrf_fusion, q_rerank, dampening, hub_degree, ips, mmr, reward_ema, session_rewards, retrieval_exposure, full_recall)}
+def whole_recall(spark, d):
+    """All stages of a recall for the query set: scoring, fusion where it is wanted, learned utility, dampening, bias correction, diversity."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    kind = F.when(F.col("id") % 10 == 0, "C").when(F.col("id") % 10 == 1, "D").otherwise("V")
+    facts = spark_view(spark, d, "rule_facts").join(vectors, "id").select(
+        "id", F.col("id").alias("row_seq"), "content", "target", "embedding", kind.alias("type"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("scope_id"),
+        F.when(F.col("id") % 17 == 0, "superseded").when(F.col("id") % 19 == 0, "cold").otherwise("active").alias("status"), F.lit(1.0).alias("metabolic_rate"), ((F.col("id") % 10) / 10.0).alias("importance"),
+        (F.col("id") % 12).alias("access_count"), (F.lit(NOW) - F.col("id") * 60.0).alias("created_at"))
+    asked = spark_view(spark, d, "asked").join(vectors.select(F.col("id").alias("query_id"), "embedding"), "query_id").withColumn("query_scope", F.when(F.col("query_id") % 40 == 0, "s1"))
+    links = materialize(_links(spark, d).select("source_id", "target_id", "strength", "last_updated"), "links")
+    access = spark_view(spark, d, "access").select("fact_id", "seen_at")
+    learned = facts.where("id % 4 <> 0").select("id", ((F.col("id") * 3 % 10) / 10.0).alias("q"), (F.col("id") % 3).cast("int").alias("n_retrieved"), F.lit(NOW - 86400.0).alias("updated_at"))
+    results, _, _ = memory.recall(asked, facts, access, links, NOW, learned=learned)
+    return results.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (actr_topk, revival_spike, importance_saturation, score_candidates, cosine_topk, bm25_search, rrf_fusion, q_rerank, dampening, hub_degree, ips, mmr, reward_ema, session_rewards, retrieval_exposure, full_recall, whole_recall)}
 
 _ACCESS, _FACTS, _RULES, _ASKED = (duck_view(v) for v in ("access", "facts", "rule_facts", "asked"))
 _BASE = f"SELECT fact_id, ln(sum(pow(CASE WHEN {NOW} - seen_at > 0 THEN {NOW} - seen_at ELSE 0.001 END, -0.3 * {S.lookup('event_type', _RATE, 1.0)}))) AS base FROM {_ACCESS} GROUP BY fact_id"

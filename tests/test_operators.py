@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from factloom import frames
 from factloom.functions import text as T
 from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking
 from factloom.plans import graph_queries
@@ -243,3 +244,101 @@ def test_source_config(spark):
     raw = spark.createDataFrame([('{"base_url": "u0", "hosts": {"h": {"base_url": "u1"}}}',)], "json string")
     r = export.source_config(raw, "h", {"api_key": "k"}).first()
     assert (r["base_url"], r["api_key"]) == ("u1", "k")
+
+
+def test_ranks_spread_a_group_over_tasks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2]), i, float(rng.randrange(5))) for i in range(500)]
+    x = frames.materialize(spark.createDataFrame(rows, "query_id int, row_seq int, score double"))
+    got = {(r.query_id, r.row_seq): r.place for r in frames.ranks(x, "query_id", [F.desc("score"), F.col("row_seq")], "place").collect()}
+    for q in (1, 2):
+        order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        assert [got[q, r[1]] for r in order] == list(range(len(order)))
+    assert frames.ranks(x.limit(0), "query_id", [F.col("row_seq")], "place").count() == 0
+
+
+def test_attach_with_and_without_sending_everywhere(spark, monkeypatch):
+    x, few = spark.range(50).withColumn("k", F.col("id") % 5), spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    small = sorted(map(tuple, frames.attach(x, few, "k", "left").collect()), key=str)
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 2)
+    assert sorted(map(tuple, frames.attach(x, few, "k", "left").collect()), key=str) == small and len(small) == 50
+
+
+def test_questions_asked_twice_are_answered_twice(spark):
+    facts = spark.createDataFrame([(i, t, True) for i, t in enumerate(["port of the api", "red widget", "api gateway port"])], "id long, text string, allowed boolean")
+    asked = spark.createDataFrame([(1, "api port"), (2, "port, api?"), (3, "nothing of it"), (4, None)], "query_id long, query string")
+    got = {}
+    for r in ranking.bm25(facts, asked).collect():
+        got.setdefault(r.query_id, {})[r.id] = r.bm25
+    assert got[1] == got[2] and set(got) == {1, 2} and set(got[1]) == {0, 2}
+    assert ranking.bm25(facts, asked.limit(0)).count() == 0 and ranking.bm25(facts.limit(0), asked).count() == 0
+
+
+def test_similar_sets_against_all_pairs(spark):
+    rng = random.Random(9)
+    sets = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 2) for _ in range(rng.randint(0, 14))] for _ in range(120)]
+    sets += [sets[5]] * 4 + [list("abcdefgh"), list("abcdefghi"), None]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    for measure, threshold in (("jaccard", 0.8), ("jaccard", 0.4), ("cosine", 0.3)):
+        want = {}
+        for i, a in enumerate(sets):
+            for j in range(i):
+                x, y = set(a or ()), set(sets[j] or ())
+                if x and y:
+                    sim = len(x & y) / (len(x | y) if measure == "jaccard" else math.sqrt(len(x) * len(y)))
+                    if sim >= threshold:
+                        want[i, j] = round(sim, 9)
+        assert {(r.a, r.b): round(r.sim, 9) for r in graph.similar_sets(df, threshold, measure).collect()} == want
+    assert graph.similar_sets(df.limit(0), 0.8).count() == 0
+
+
+def test_components_of_hubs_and_paths(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(500, 600 + i) for i in range(700)] + [(900 + i, 901 + i) for i in range(40)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    df = spark.createDataFrame([*edges, (None, 3)], "source_id long, target_id long")
+    assert {r.id: r.component for r in graph.components(df).collect()} == want
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 5)
+    assert {r.id: r.component for r in graph.components(df).collect()} == want
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_temporal_links_across_spans(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), round(rng.random() * 2000, 3), i) for i in range(150)]
+    want = {}
+    for s in "ab":
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[3]))
+        for n, r in enumerate(own):
+            for k in range(4):
+                if n - k - 1 >= 0:
+                    w = 0.28 * 0.85**k * math.exp(-(r[2] - own[n - k - 1][2]) / 120)
+                    if w > 0.02:
+                        want[r[0], own[n - k - 1][0]] = round(w, 9)
+    df = spark.createDataFrame(rows, "id long, scope_id string, created_at double, row_seq long")
+    assert {(r.source_id, r.target_id): round(r.strength, 9) for r in graph.temporal_links(df).collect()} == want
+
+
+def test_a_stream_goes_on_after_a_stop(spark, tmp_path):
+    """A second run with the same checkpoint takes the new files alone and continues the store."""
+    def said(n, user, name):
+        spark.createDataFrame([(user, float(n), f"I always run pytest before step {n}.")], "user string, secs double, said string").select(*O.event("user_message", F.col("user"), F.col("secs"), content=F.col("said"))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    said(1, "u", "a")
+    store = promoter.PendingStore(spark, f"file://{tmp_path}/store")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    for n in (2, 3):
+        facts = O.user_statements(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        promoter.promote_stream(facts, store, 1e6, f"file://{tmp_path}/progress").awaitTermination()
+        said(n, "u", "b")
+    assert store.read().count() == 2
