@@ -123,10 +123,14 @@ def error_context(events: DataFrame) -> DataFrame:
     """The first error line of an output, and addresses and paths within three lines of any error."""
     text = F.coalesce(F.nullif(F.col("payload.stdout"), F.lit("")), F.col("payload.output"), F.lit(""))
     x = events.where(F.col("kind") == "tool_result").withColumn("lines", F.split(text, r"\r?\n"))
-    x = x.withColumn("bad", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(P.ERROR_LINE))).where(F.size("bad") > 0)
-    near = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.exists("bad", lambda b: F.abs(i - b) <= 3))
-    x = x.withColumn("near", F.transform(near, lambda i: F.get("lines", i)))
-    head = F.array(F.struct(F.lit("?").alias("k"), F.lit("error").alias("t"), F.substring(T.strip(F.get("lines", F.get("bad", F.lit(0)))), 1, 200).alias("v")))
+    x = x.withColumn("bad", F.transform("lines", lambda line: line.rlike(P.ERROR_LINE))).where(F.array_contains("bad", True))
+
+    def is_near(line: Column, i: Column) -> Column:  # of seven lines, whatever the number of lines and errors
+        first = F.greatest(i - 2, F.lit(1))
+        return F.struct(line.alias("line"), F.exists(F.slice("bad", first, i + 5 - first), lambda b: b).alias("near"))
+
+    x = x.withColumn("near", F.transform(F.filter(F.transform("lines", is_near), lambda r: r["near"]), lambda r: r["line"]))
+    head = F.array(F.struct(F.lit("?").alias("k"), F.lit("error").alias("t"), F.substring(T.strip(F.get("lines", (F.array_position("bad", True) - 1).cast("int"))), 1, 200).alias("v")))
 
     def each(t: str, find) -> Column:
         return F.transform(F.array_distinct(F.flatten(F.transform("near", find))), lambda v: F.struct(F.lit("V").alias("k"), F.lit(t).alias("t"), v.alias("v")))
