@@ -3,74 +3,21 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from ..frames import drop as drop_table
+from ..frames import materialize, new_path, shared_dir
+from ..shipping import ship
+
+__all__ = ["WORD_PATTERN", "as_bytes", "default_tokenizer_path", "documents", "drop_table", "env_single_thread", "global_rank", "materialize", "new_path", "shared_dir", "ship"]
 
 #: A word is a run of characters other than these ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom_pkg.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(out))
-    _SHIPPED.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        configured = "file://" + tempfile.mkdtemp(prefix="factloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df_or_path, spark: SparkSession | None = None) -> None:
-    """Delete a table written by :func:`materialize` that no later plan reads."""
-    if isinstance(df_or_path, DataFrame):
-        spark = df_or_path.sparkSession
-        files = df_or_path.inputFiles()
-        if not files:
-            return
-        path = files[0].rsplit("/", 1)[0]
-    else:
-        path = df_or_path
-    if "/factloom/" not in path:
-        raise ValueError(f"not a table of this package: {path}")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def default_tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file; the files themselves never enter this repository."""
     import public_tokenizers
