@@ -50,7 +50,7 @@ _INDEX = struct.Struct("<9sQIIIQ")
 _ENTRY = struct.Struct("<BBI")
 BLOCK_BYTES, SHARD_BYTES, CHUNK_BYTES, BLOOM_BITS, BLOOM_HASHES = 256 << 10, 128 << 20, 6 << 20, 10, 7
 _MEMO = 300_000
-_MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long"
+_MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long, first_id long, last_id long"
 _MARKS, _LINES = b".,;:!?", 16
 _OTHER_SPACE = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\0"]
 _FAR_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
@@ -285,14 +285,14 @@ def write_shards(docs: DataFrame, out_path: str, tokenizer_path: str | None = No
     path = tokenizer_path or default_tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, writer, rows = _encoder(path), TaskContext.get().partitionId(), 0, None, []
+        encoder, part, seq, writer, rows, first, last = _encoder(path), TaskContext.get().partitionId(), 0, None, [], None, None
         tail = np.array([] if end_id is None else [end_id], "<u4")
 
         def close() -> None:
-            nonlocal writer
+            nonlocal writer, first, last
             writer.close()
-            rows.append((part, seq, name, writer.n_docs, writer.n_tokens))
-            writer = None
+            rows.append((part, seq, name, writer.n_docs, writer.n_tokens, first, last))
+            writer = first = last = None
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -306,6 +306,7 @@ def write_shards(docs: DataFrame, out_path: str, tokenizer_path: str | None = No
                         name = f"{out_path}/shard-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.sst"
                         writer = ShardWriter(open_path(name, write=True), encoder.width)
                     writer.add(doc_id, np.concatenate([got, tail]))
+                    first, last = doc_id if first is None else first, doc_id  # nulls come first
                     if writer.at >= shard_bytes:
                         close()
                         seq += 1
@@ -313,7 +314,7 @@ def write_shards(docs: DataFrame, out_path: str, tokenizer_path: str | None = No
         if writer is not None:
             close()
         schema = arrow_schema(_MANIFEST)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     order = ["_id", F.xxhash64("_text"), "_text"]
@@ -353,9 +354,9 @@ def read_shards(manifest: DataFrame, digest: bool = False) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the identifiers asked for: each shard is asked by Bloom filter, index and block."""
+    """(doc_id, ids) of the identifiers asked for. Shards whose first and last identifier leave room for one are opened, and asked by Bloom filter, index and block."""
     ship(manifest.sparkSession)
-    asked = list(doc_ids)
+    asked = sorted(doc_ids)
     ddl = "doc_id long, ids array<int>"
     schema = arrow_schema(ddl)
 
@@ -367,7 +368,8 @@ def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
                     got = [(d, v.astype(np.int32)) for d in asked for v in reader.get(d)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], schema[i].type) for i in range(2)], schema=schema)
 
-    return manifest.select("path").mapInArrow(run, ddl)
+    near = manifest.where(F.exists(F.array(*map(F.lit, asked)).cast("array<long>"), lambda a: a.between(F.col("first_id"), F.col("last_id"))))
+    return near.select("path").mapInArrow(run, ddl)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, out_path: str | None = None, **options) -> DataFrame:
