@@ -136,6 +136,11 @@ def without_linked(new: DataFrame, links: DataFrame) -> DataFrame:
     return new.join(seen, ["source_id", "target_id"], "left_anti")
 
 
+def between(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links of the (source_id, target_id) asked for, with all their columns."""
+    return links.join(pairs.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_semi")
+
+
 def both_ways(links: DataFrame) -> DataFrame:
     back = links.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), *[c for c in links.columns if c not in ("source_id", "target_id")])
     return links.unionByName(back)

@@ -12,7 +12,7 @@ from . import graph as G
 from . import lifecycle as L
 from . import ranking as R
 from . import scoring as C
-from .nearest import similarities
+from .nearest import nearest, similarities
 
 
 def encode(raw: DataFrame, now: float) -> DataFrame:
@@ -114,6 +114,28 @@ def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataF
     return results, uses, pairs
 
 
+def consolidate(facts: DataFrame, access: DataFrame, links: DataFrame, scopes: DataFrame, now: float, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """(facts, links) after a cycle: facts that hold the graph together pinned, layers moved, stale facts dropped, links decayed and their mutual information
+    worked out anew, pressure relieved. ``links`` has co, the times its ends were recalled together; ids are whole numbers."""
+    kept = L.consolidate(facts, access, now, G.articulation_points(links))
+    left = G.decay(links, config.link_decay)
+    used = access.groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("n"))
+    shared = G.link_npmi(left.select("source_id", "target_id", "co"), used)
+    left = left.drop("npmi").join(shared, ["source_id", "target_id"], "left").withColumn("npmi", F.coalesce("npmi", F.lit(0.0)))
+    return L.gauge(kept, scopes, now, config.gauge_chars), left
+
+
+def access_by_text(facts: DataFrame, asked: DataFrame, floor: float = 0.5) -> DataFrame:
+    """(ask, id): the fact that each text of (ask, needle, embedding) brings to mind: the first active one that holds it, whatever its case; where none does,
+    the active one whose vector is nearest, if its cosine exceeds the ``floor``."""
+    live = facts.where("status = 'active'")
+    held = live.select("id", "row_seq", F.lower("content").alias("_c")).join(asked.select("ask", F.lower("needle").alias("_n")), F.contains("_c", F.col("_n")))
+    first = materialize(held.groupBy("ask").agg(F.min(F.struct("row_seq", "id")).alias("f")).select("ask", F.col("f.id").alias("id")), "held")
+    rest = asked.join(first, "ask", "left_anti")
+    near = nearest(live.where("embedding is not null").select("id", "embedding"), rest.select(F.col("ask").alias("id"), "embedding"), 1)
+    return first.union(near.where(F.col("sim") > floor).select(F.col("query_id").alias("ask"), "id"))
+
+
 def explore(results: DataFrame, links: DataFrame, facts: DataFrame, top_k: int = 20, config: Config = Config()) -> DataFrame:
     """(query_id, id, score, discovered): recalled facts and those that links lead to from them, the best ``top_k`` of each query.
 

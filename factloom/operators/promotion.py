@@ -52,6 +52,13 @@ def listing(pending: DataFrame, session=None, source=None, status=None, limit: i
     return x.orderBy("session_id", F.desc("updated_at"), "row_seq").limit(limit)
 
 
+def as_json(pending: DataFrame, **options) -> DataFrame:
+    """(json): the rows of :func:`listing` as one object with their number."""
+    rows = listing(pending, **options)
+    place = F.struct("session_id", (-F.col("updated_at")).alias("at"), "row_seq", F.struct(*[F.col(c) for c in pending.columns]).alias("row"))
+    return rows.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["row"]).alias("pending"), F.count("*").alias("count"))).alias("json"))  # as many as the limit
+
+
 def summary(pending: DataFrame) -> DataFrame:
     return pending.groupBy("status", "source").agg(F.count("*").alias("n"))
 

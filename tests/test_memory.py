@@ -141,3 +141,33 @@ def test_merged_accesses_and_last_links(spark):
     most = {r["id"]: r["s"] for r in graph.explore(links, seeds, 3, 0.45).collect()}
     # node 2 pulls from 1 by 0.1 of 0.6 in the one case, by 0.9 of 1.4 in the other
     assert last[2] < most[2]
+
+
+def test_a_cycle_of_consolidation(spark):
+    facts = snapshot(spark).withColumns({"pinned": F.lit(False), "layer": F.lit("working"), "last_accessed": F.lit(NOW)})
+    access = spark.createDataFrame([(0, NOW - 9.0), (0, NOW - 5.0), (1, NOW - 3.0)], "fact_id long, seen_at double")
+    links = spark.createDataFrame([(0, 1, 0.5, 1), (1, 2, 0.5, 1), (2, 3, 0.0101, 1)], "source_id long, target_id long, strength double, co long")
+    scopes = spark.createDataFrame([], "id string, status string")
+    after, left = memory.consolidate(facts, access, links, scopes, NOW)
+    got = {r.id: (r.pinned, r.layer) for r in after.collect()}
+    assert got == {0: (False, "working"), 1: (True, "working"), 2: (True, "working"), 3: (False, "core")}
+    rows = {(r.source_id, r.target_id): (round(r.strength, 6), round(r.npmi, 6)) for r in left.collect()}
+    assert set(rows) == {(0, 1), (1, 2)} and rows[0, 1][0] == 0.475 and rows[1, 2][1] == 0.0
+
+
+def test_access_by_text_and_by_vector(spark):
+    asked = spark.createDataFrame([(1, "PORT is", [0.0, 0.0, 1.0]), (2, "nowhere", [0.0, 1.0, 3.0]), (3, "nothing", [-1.0, -1.0, 0.0])], "ask long, needle string, embedding array<float>")
+    assert {r.ask: r.id for r in memory.access_by_text(snapshot(spark), asked).collect()} == {1: 0, 2: 3}
+
+
+def test_links_and_pending_rows_asked_for(spark):
+    import json
+
+    from factloom.operators import graph, promotion
+
+    links = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.4)], "source_id long, target_id long, strength double")
+    assert [tuple(r) for r in graph.between(links, links.where("source_id = 2")).collect()] == [(2, 1, 0.4)]
+    pending = spark.createDataFrame([(i, i, "s", "observed", "provisional", float(i)) for i in range(4)], "id long, row_seq long, session_id string, source string, status string, updated_at double")
+    out = json.loads(promotion.as_json(pending, limit=3).first()["json"])
+    assert out["count"] == 3 and [r["id"] for r in out["pending"]] == [3, 2, 1]
+    assert json.loads(promotion.as_json(pending.limit(0)).first()["json"]) == {"pending": [], "count": 0}
