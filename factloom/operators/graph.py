@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..frames import BROADCAST_ROWS, attach, drop, materialize, new_path
 from ..shipping import ship
 from .nearest import nearest
@@ -151,7 +152,7 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(both_ways(new)).groupBy("source_id", "target_id").agg(F.max("strength").alias("strength"), F.max("last_updated").alias("last_updated"))
 
 
-def decay(links: DataFrame, factor: float = 0.95, least: float = 0.01) -> DataFrame:
+def decay(links: DataFrame, factor: float = Config.link_decay, least: float = 0.01) -> DataFrame:
     return links.withColumn("strength", F.col("strength") * factor).where(F.col("strength") >= least)
 
 
@@ -171,7 +172,7 @@ def link_npmi(links: DataFrame, counts: DataFrame) -> DataFrame:
     return x.select("source_id", "target_id", npmi(F.col("co") / F.col("total"), F.col("na") / F.col("total"), F.col("nb") / F.col("total")).alias("npmi"))
 
 
-def hebbian(results: DataFrame, links: DataFrame, eta: float = 0.12) -> DataFrame:
+def hebbian(results: DataFrame, links: DataFrame, eta: float = Config.learning_rate) -> DataFrame:
     """Links after facts were recalled together: (query_id, id, place, activation) of each query's best five strengthen their pairs.
 
     An existing link gains eta * a * b * (min(co, 100) ** 0.75 / 100 ** 0.75) * (1 + 0.2 * ln(1 + co)) per recall, at most to 1; a new
@@ -189,7 +190,7 @@ def hebbian(results: DataFrame, links: DataFrame, eta: float = 0.12) -> DataFram
     return old.unionByName(both_ways(fresh))
 
 
-def homeostasis(links: DataFrame, limit: float = 0.7) -> DataFrame:
+def homeostasis(links: DataFrame, limit: float = Config.homeostasis) -> DataFrame:
     """Scale the links of nodes whose mean strength exceeds the limit; a link takes the factors of both its ends."""
     ends = links.select(F.col("source_id").alias("id"), "strength").union(links.select("target_id", "strength"))
     mean = ends.groupBy("id").agg(F.avg("strength").alias("m")).where(F.col("m") > limit).select("id", (F.lit(limit) / F.col("m")).alias("f"))
@@ -201,7 +202,7 @@ def homeostasis(links: DataFrame, limit: float = 0.7) -> DataFrame:
 HUB_LINKS = 256
 
 
-def explore(links: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float = 0.45, order: str | None = None) -> DataFrame:
+def explore(links: DataFrame, seeds: DataFrame, rounds: int = Config.exploration_rounds, alpha: float = Config.exploration_alpha, order: str | None = None) -> DataFrame:
     """(id, s): personalised exploration from (id, seed) over (source_id, target_id, strength).
 
     Pull form, normalised by the receiver: s'(v) = alpha * p(v) + (1 - alpha) * sum(s(u) * w(v, u)) / sum(w(v, u)). The graph is

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..frames import drop, materialize
 from ..functions import text as T
 
@@ -97,7 +98,7 @@ def write(rows: DataFrame, active: DataFrame) -> DataFrame:
     return active.withColumn("_old", F.lit(True)).unionByName(rows.withColumn("_old", F.lit(False)), allowMissingColumns=True).join(marks, "row_seq").drop("_old")
 
 
-def gauge(facts: DataFrame, scopes: DataFrame, now: float, max_chars: int = 10_000) -> DataFrame:
+def gauge(facts: DataFrame, scopes: DataFrame, now: float, max_chars: int = Config.gauge_chars) -> DataFrame:
     """Pressure relief in three steps, all judged by the share used before the first: 70 % merge, 85 % archive, 95 % cool ten."""
     share = F.broadcast(used_chars(facts).select((F.col("used") / max_chars * 100).alias("pct")))  # one row
     x = facts.crossJoin(share)
@@ -175,7 +176,7 @@ def system_prompt(facts: DataFrame, n: int = 40) -> DataFrame:
     return tops[0].unionAll(tops[1]).unionAll(tops[2]).orderBy("part", "row_seq").limit(n)
 
 
-def stats(facts: DataFrame, max_chars: int = 10_000) -> DataFrame:
+def stats(facts: DataFrame, max_chars: int = Config.gauge_chars) -> DataFrame:
     per = facts.agg(*[F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}") for s in ("active", "cold", "superseded")], F.count("*").alias("n_facts"))
     return per.crossJoin(F.broadcast(used_chars(facts))).withColumn("pct", F.round(F.col("used") / max_chars * 100, 1))  # one row
 

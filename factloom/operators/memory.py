@@ -25,7 +25,7 @@ def encode(raw: DataFrame, now: float) -> DataFrame:
     return x.withColumns({"id": F.sha2(key, 256), "status": F.lit("active"), "access_count": F.lit(0), "layer": F.lit("working"), "pinned": F.lit(False), "created_at": F.lit(float(now)), "last_accessed": F.lit(float(now))})
 
 
-def contradicted(new: DataFrame, old: DataFrame, threshold: float = 0.12) -> DataFrame:
+def contradicted(new: DataFrame, old: DataFrame, threshold: float = Config.contradiction) -> DataFrame:
     """(id): for each new fact the first older active fact that it takes back. Both have (id_long, row_seq, content, embedding); where both
     have scope_id as well, a new fact with a scope meets its scope only. Every pair that can score, by its vectors, is scored."""
     floor = 0.55 - 1e-9 if threshold > 0 else None  # nothing below scores more than 0

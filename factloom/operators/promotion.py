@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 
-def promote(pending: DataFrame, now: float, ttl: float = 600.0) -> DataFrame:
+
+def promote(pending: DataFrame, now: float, ttl: float = Config.promotion_ttl) -> DataFrame:
     """The pending rows with their new status.
 
     Of provisional rows with the same (type, target, session) all but the latest are retracted, whatever their source; then observed and

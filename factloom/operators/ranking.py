@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..frames import attach, materialize, ranks
 from ..functions import text as T
 
-DECAY, W_SEMANTIC, W_IMPORTANCE, SCOPE_MULTIPLIER = 0.3, 0.5, 0.7, 1.5
+DECAY, W_SEMANTIC, W_IMPORTANCE, SCOPE_MULTIPLIER = Config.decay, Config.w_semantic, Config.w_importance, Config.scope_multiplier
 COMPONENTS = ["base_level", "revival_spike", "spreading", "importance_boost", "scope_boost", "adversarial_penalty", "target_match_boost", "answer_shape_boost"]
-RRF_K, W_ACTIVATION, W_KEYWORD = 60, 0.92, 0.08
+RRF_K, W_ACTIVATION, W_KEYWORD = Config.rrf_k, Config.w_activation, Config.w_keyword
 
 
 def base_level(access: DataFrame, now: float, rate: Column | None = None, key: str = "fact_id", at: str = "seen_at") -> DataFrame:
@@ -165,10 +166,10 @@ def dampen(x: DataFrame, tops: DataFrame | None = None) -> DataFrame:
     :mod:`.scoring` gives: met, n_terms (query terms), want (the query's fact type) and settled. ``tops`` (query_id, _top) has the best score of each query if it is known."""
     x = _per_query(x, F.max("score").alias("_top")) if tops is None else attach(x, tops, "query_id")
     top = F.col("_top")
-    x = x.withColumn("g", F.when((top > 0) & (F.col("score") > 0.3 * top) & (F.col("n_terms") > 0) & ~F.col("met"), 0.6).otherwise(1.0))
+    x = x.withColumn("g", F.when((top > 0) & (F.col("score") > 0.3 * top) & (F.col("n_terms") > 0) & ~F.col("met"), Config.gravity).otherwise(1.0))
     spread = F.greatest(F.col("max_degree") - F.col("p90"), F.lit(1)).cast("double")
-    hub = F.when((F.col("degree") > F.col("p90")) & ~((F.col("bm25") > 1.0) | (F.col("spreading") > 0.15)), F.greatest(F.lit(0.2), 1.0 - 0.3 * (F.col("degree") - F.col("p90")) / spread)).otherwise(1.0)
-    x = x.withColumns({"h": hub, "r": F.when(F.col("settled"), 1.25).otherwise(1.0), "i": F.when(F.coalesce(F.col("type") == F.col("want"), F.lit(False)), 1.15).otherwise(1.0)})
+    hub = F.when((F.col("degree") > F.col("p90")) & ~((F.col("bm25") > 1.0) | (F.col("spreading") > 0.15)), F.greatest(F.lit(0.2), 1.0 - Config.hub_penalty * (F.col("degree") - F.col("p90")) / spread)).otherwise(1.0)
+    x = x.withColumns({"h": hub, "r": F.when(F.col("settled"), Config.resolution).otherwise(1.0), "i": F.when(F.coalesce(F.col("type") == F.col("want"), F.lit(False)), 1.15).otherwise(1.0)})
     return x.withColumn("dampened", F.col("score") * F.col("g") * F.col("h") * F.col("r") * F.col("i")).drop("_top")
 
 
