@@ -163,14 +163,22 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
 
 
+def contradiction_parts(c: Column) -> Column:
+    """What :func:`contradiction_score` needs of one text."""
+    return F.struct(key_terms(c).alias("terms"), domain_words(c).alias("domain"), F.array_distinct(words(F.lower(c))).alias("words"), has_update_signal(c).alias("updates"))
+
+
+def contradiction_score(new: Column, old: Column, sim: Column) -> Column:
+    """How much a new text takes back an old one, of the parts of both."""
+    entity = 0.5 * overlap(new["terms"], old["terms"]) + 0.5 * overlap(new["domain"], old["domain"])
+    combined = entity * 0.6 + sim * 0.4 + F.when(F.arrays_overlap(new["terms"], old["terms"]), 0.1).otherwise(0.0)
+    quiet = F.when((sim >= 0.85) & (overlap(new["words"], old["words"]) >= 0.75), sim).otherwise(0.0)
+    return F.when(~new["updates"], quiet).when(sim < 0.55, 0.0).otherwise(combined)
+
+
 def contradiction(new: Column, old: Column, sim: Column) -> Column:
     """How much the new text takes back the old one."""
-    tn, to, wn, wo = key_terms(new), key_terms(old), domain_words(new), domain_words(old)
-    entity = 0.5 * overlap(tn, to) + 0.5 * overlap(wn, wo)
-    combined = entity * 0.6 + sim * 0.4 + F.when(F.arrays_overlap(tn, to), 0.1).otherwise(0.0)
-    same = overlap(F.array_distinct(words(F.lower(new))), F.array_distinct(words(F.lower(old))))
-    quiet = F.when((sim >= 0.85) & (same >= 0.75), sim).otherwise(0.0)
-    return F.when(~has_update_signal(new), quiet).when(sim < 0.55, 0.0).otherwise(combined)
+    return contradiction_score(contradiction_parts(new), contradiction_parts(old), sim)
 
 
 def sentences(c: Column) -> Column:

@@ -37,9 +37,10 @@ def contradicted(new: DataFrame, old: DataFrame, threshold: float = Config.contr
         near = similarities(o, n.where(bound), block="scope_id", threshold=floor).union(similarities(o, n.where(~bound), threshold=floor))
     else:
         near = similarities(o, n, threshold=floor)
-    a = new.select(F.col("id_long").alias("query_id"), F.col("content").alias("new_content"))
-    b = old.select(F.col("id_long").alias("id"), "content", "row_seq")
-    x = near.join(a, "query_id").join(b, "id").withColumn("score", T.contradiction(F.col("new_content"), F.col("content"), F.col("sim"))).where(F.col("score") >= threshold)
+    # parts of a text are worked out once, not once for each pair
+    a = materialize(new.select(F.col("id_long").alias("query_id"), T.contradiction_parts(F.col("content")).alias("new_parts")), "parts")
+    b = materialize(old.select(F.col("id_long").alias("id"), T.contradiction_parts(F.col("content")).alias("parts"), "row_seq"), "parts")
+    x = near.join(a, "query_id").join(b, "id").withColumn("score", T.contradiction_score(F.col("new_parts"), F.col("parts"), F.col("sim"))).where(F.col("score") >= threshold)
     first = x.groupBy("query_id").agg(F.min(F.struct("row_seq", "id")).alias("f"))
     return first.select(F.col("f.id").alias("id")).distinct()
 

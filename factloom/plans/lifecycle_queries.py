@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..frames import materialize
 from ..functions import text as T
 from ..operators import bandit as B
 from ..operators import embedding as E
@@ -45,11 +46,11 @@ def store_vectors(spark, d):
     w = E.tfidf(x.select("id", F.col("content").alias("text"))).groupBy("id", at.alias("at")).agg(F.round(F.sum("weight"), 6).alias("w"))
     m = w.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))
     v = m.select("id", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
-    facts = x.join(v, "id").withColumns({"id_long": F.col("id"), "row_seq": F.col("id")})
+    facts = materialize(x.join(v, "id").withColumns({"id_long": F.col("id"), "row_seq": F.col("id")}), "facts")
     middle = F.broadcast(x.agg((F.max("id") / 2).alias("middle")))  # one row
     facts = facts.crossJoin(middle)
     old, new = facts.where("id <= middle").drop("middle"), facts.where("id > middle").drop("middle")
-    copies = memory.near_copies(new, old)
+    copies = materialize(memory.near_copies(new, old), "copies")
     taken = memory.contradicted(new.join(copies, "id", "left_anti"), old)
     return copies.withColumn("what", F.lit("copy")).union(taken.withColumn("what", F.lit("superseded")))
 

@@ -60,9 +60,10 @@ def key_terms(spark, d):
 
 def contradiction_score(spark, d):
     x = spark_view(spark, d, "rule_facts")
-    a, b = x.select("id", "content"), x.select((F.col("id") + 32).alias("id"), F.col("content").alias("old"))
+    parts = T.contradiction_parts(F.col("content"))
+    a, b = x.select("id", parts.alias("new")), x.select((F.col("id") + 32).alias("id"), parts.alias("old"))
     sim = F.lit(0.5) + (F.col("id") % 5) * 0.1
-    return a.join(b, "id").select("id", F.round(T.contradiction(F.col("content"), F.col("old"), sim), 6).alias("score"))
+    return a.join(b, "id").select("id", F.round(T.contradiction_score(F.col("new"), F.col("old"), sim), 6).alias("score"))
 
 
 def fact_scores(spark, d):
