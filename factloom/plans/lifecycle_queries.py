@@ -86,6 +86,12 @@ def merged_facts(spark, d):
     return L.merge_facts(_facts(spark, d), mapping).select("id", "status", "superseded_by")
 
 
+def merged_access(spark, d):
+    """Accesses after duplicates are merged: those of a duplicate count for the fact it is merged into."""
+    access = spark_view(spark, d, "access").select("fact_id", "seen_at")
+    return L.merge_access(access, _duplicates(spark, d)).groupBy("fact_id").agg(F.count("*").alias("n"), F.round(F.max("seen_at"), 3).alias("latest"))
+
+
 def access_cap(spark, d):
     return L.cap_access(spark_view(spark, d, "access").select("fact_id", "seen_at"), 40).groupBy("fact_id").agg(F.count("*").alias("n"), F.min("seen_at").alias("oldest"))
 
@@ -198,7 +204,7 @@ def linucb_solve(spark, d):
     return B.solve(B.statistics(_bandit_rows(spark, d), ["f0", "f1", "f2"]), 3)
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, store_path, store_vectors, supersession, gauge_cascade, consolidate, merge_dups, merged_facts, access_cap, access_update, system_prompt, stats, hot_facts, scope_scan, substring_access, retag, scope_create, promote_pass, promotion_metrics, promoted_facts, pending_summary, pending_list, session_expiry, training_pairs, chat_export, import_dedup, tfidf_vectors, linucb_stats, linucb_solve)}
+QUERIES = {f.__name__: f for f in (exact_dedup, store_path, store_vectors, supersession, gauge_cascade, consolidate, merge_dups, merged_facts, merged_access, access_cap, access_update, system_prompt, stats, hot_facts, scope_scan, substring_access, retag, scope_create, promote_pass, promotion_metrics, promoted_facts, pending_summary, pending_list, session_expiry, training_pairs, chat_export, import_dedup, tfidf_vectors, linucb_stats, linucb_solve)}
 
 _F, _P, _A, _RULES = duck_view("facts"), duck_view("pending"), duck_view("access"), duck_view("rule_facts")
 _USED = f"(SELECT CAST(coalesce(sum(length(type) + length(target) + length(content) + 4), 0) AS BIGINT) AS used FROM {_F} WHERE status = 'active')"
@@ -232,6 +238,7 @@ ORACLES = {
         y AS (SELECT *, CASE WHEN l1 = 'core' AND status = 'active' AND base < -5 THEN 'archive' ELSE l1 END AS layer FROM x) SELECT id, layer, pinned FROM y, t WHERE NOT (layer = 'archive' AND status = 'active' AND access_count < 2 AND now - last_accessed > 86400 * 30)""",
     "merge_dups": f"SELECT coalesce(a.into_, source_id) AS source_id, coalesce(b.into_, target_id) AS target_id, round(max(co * 0.1::DOUBLE), 6) AS strength FROM {duck_view('pairs')} LEFT JOIN {_MAP} a ON a.dup = source_id LEFT JOIN {_MAP} b ON b.dup = target_id WHERE coalesce(a.into_, source_id) <> coalesce(b.into_, target_id) GROUP BY 1, 2",
     "merged_facts": f"SELECT id, CASE WHEN into_ IS NOT NULL THEN 'superseded' ELSE status END AS status, into_ AS superseded_by FROM {_F} LEFT JOIN {_MAP} ON dup = id",
+    "merged_access": f"SELECT coalesce(into_, fact_id) AS fact_id, count(*) AS n, round(max(seen_at), 3) AS latest FROM {_A} LEFT JOIN {_MAP} ON dup = fact_id GROUP BY 1",
     "access_cap": f"WITH x AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY seen_at DESC) AS rn FROM {_A}), c AS (SELECT fact_id, max(seen_at) AS cut FROM x WHERE rn > 40 GROUP BY 1) SELECT fact_id, count(*) AS n, min(seen_at) AS oldest FROM x LEFT JOIN c USING (fact_id) WHERE cut IS NULL OR seen_at > cut GROUP BY 1",
     "access_update": f"WITH u AS (SELECT fact_id AS id, count(*) AS n, max(seen_at) AS t FROM {_A} GROUP BY 1) SELECT id, access_count + coalesce(n, 0) AS access_count, round(greatest(last_accessed, coalesce(t, 0)), 3) AS last_accessed FROM {_F} LEFT JOIN u USING (id)",
     "system_prompt": f"""WITH x AS (SELECT * FROM {_F} WHERE status = 'active'), u AS (SELECT id, CASE type WHEN 'C' THEN 0 ELSE 1 END AS part FROM x WHERE type IN ('C', 'D')
