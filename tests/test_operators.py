@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom import frames
 from factloom.functions import text as T
 from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking
-from factloom.plans import graph_queries
+from factloom.plans import graph_queries, text_queries
 from factloom.streaming import observers as O
 from factloom.streaming import promoter
 
@@ -150,6 +150,11 @@ def test_coupling_of_all_facts(spark, sf_dir):
     assert got == want and len(words) >= 200
 
 
+def test_parts_of_texts_do_not_pass_through_the_driver(spark, sf_dir):
+    """A file below the limit of broadcasts holds millions of texts; what is made of them is many times the file."""
+    assert "BroadcastHashJoin" not in text_queries.QUERIES["contradiction_score"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
 def test_npmi_bounds(spark):
     rows = [(a / 10, b / 10, c / 10) for a, b, c in itertools.product(range(0, 11), repeat=3) if a <= b and a <= c]
     got = spark.createDataFrame(rows, "ab double, a double, b double").select(graph.npmi(F.col("ab"), F.col("a"), F.col("b")).alias("v")).collect()
