@@ -23,13 +23,14 @@ from .nearest import nearest
 def overlaps(tokens: DataFrame, recent: int) -> DataFrame:
     """(a, b, shared, n_a, n_b) for facts a > b (by row_seq) that share tokens, b among the ``recent`` numbers before a.
 
-    ``tokens`` has (id, row_seq, tokens). Predecessors lie in a's own bucket of numbers or the one before, so rows meet by (token, bucket).
+    ``tokens`` has (id, row_seq, tokens). Predecessors lie in a's own bucket of numbers or the one before, so rows meet by (token, bucket). Spark
+    judges tokens by the bytes of the file they come from; they are many times that, so neither side may be sent whole through the driver.
     """
     long = tokens.select("id", "row_seq", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     bucket = F.floor(F.col("row_seq") / recent)
     a = long.select(F.col("id").alias("a"), F.col("row_seq").alias("sa"), F.col("n").alias("n_a"), "token", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
     b = long.select(F.col("id").alias("b"), F.col("row_seq").alias("sb"), F.col("n").alias("n_b"), "token", bucket.alias("bucket"))
-    both = a.join(b, ["token", "bucket"]).where((F.col("sb") < F.col("sa")) & (F.col("sa") - F.col("sb") <= recent))
+    both = a.hint("merge").join(b, ["token", "bucket"]).where((F.col("sb") < F.col("sa")) & (F.col("sa") - F.col("sb") <= recent))
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 

@@ -155,6 +155,10 @@ def test_parts_of_texts_do_not_pass_through_the_driver(spark, sf_dir):
     assert "BroadcastHashJoin" not in text_queries.QUERIES["contradiction_score"](spark, sf_dir)._jdf.queryExecution().toString()
 
 
+def test_tokens_do_not_pass_through_the_driver(spark, sf_dir):
+    assert "BroadcastHashJoin" not in graph_queries.QUERIES["keyword_links"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
 def test_npmi_bounds(spark):
     rows = [(a / 10, b / 10, c / 10) for a, b, c in itertools.product(range(0, 11), repeat=3) if a <= b and a <= c]
     got = spark.createDataFrame(rows, "ab double, a double, b double").select(graph.npmi(F.col("ab"), F.col("a"), F.col("b")).alias("v")).collect()
