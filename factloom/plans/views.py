@@ -101,9 +101,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spark_view(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -> DataFrame:
+    """The view over the driver's tables, or over ``frames`` where they are given."""
     sql = VIEWS[name].replace("{seconds}", _SECONDS["spark"])
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables_of(sql)})
+    return spark.sql(sql, **{t: frames[t] if t in frames else table(spark, sf_dir, t) for t in tables_of(sql)})
 
 
 def duck_view(name: str) -> str:

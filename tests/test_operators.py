@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom import frames
 from factloom.functions import text as T
 from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking
-from factloom.plans import graph_queries, text_queries
+from factloom.plans import graph_queries, ranking_queries, text_queries
 from factloom.streaming import observers as O
 from factloom.streaming import promoter
 
@@ -159,6 +159,13 @@ def test_tokens_do_not_pass_through_the_driver(spark, sf_dir):
     assert "BroadcastHashJoin" not in graph_queries.QUERIES["keyword_links"](spark, sf_dir)._jdf.queryExecution().toString()
 
 
+def test_links_of_some_parts_alone(spark, sf_dir):
+    """Recall pairs only the orders of parts that it can return; their links are those of the whole."""
+    some = spark.range(0, 200, 7)
+    whole = {tuple(r) for r in ranking_queries._links(spark, sf_dir).collect() if r["source_id"] % 7 == 0}
+    assert {tuple(r) for r in ranking_queries._links(spark, sf_dir, some).collect()} == whole and len(whole) > 100
+
+
 def test_npmi_bounds(spark):
     rows = [(a / 10, b / 10, c / 10) for a, b, c in itertools.product(range(0, 11), repeat=3) if a <= b and a <= c]
     got = spark.createDataFrame(rows, "ab double, a double, b double").select(graph.npmi(F.col("ab"), F.col("a"), F.col("b")).alias("v")).collect()
