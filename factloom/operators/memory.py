@@ -77,17 +77,18 @@ def near_copies(new: DataFrame, old: DataFrame, config: Config = Config()) -> Da
     return x.select(F.col("query_id").alias("id")).distinct()
 
 
-def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataFrame, now: float, config: Config = Config(), learned: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataFrame, now: float, config: Config = Config(), learned: DataFrame | None = None, degree: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, uses, pairs): the best facts of each query and what a recall would write.
 
     Scoring, keyword fusion where it is wanted, reranking by learned utility, dampening, bias correction, diversity. ``queries`` has (query_id,
     query, query_scope, embedding), ``facts`` the columns of a snapshot with long ids and vectors, ``learned`` (id, q, n_retrieved, updated_at);
-    without learned values, reranking changes nothing. Uses are access rows of the results, pairs the recalled-together facts for
+    without learned values, reranking changes nothing. ``links`` may be those of the facts alone, in both directions, if ``degree`` has (id, degree) of all
+    nodes; a hub is one among all of them. Uses are access rows of the results, pairs the recalled-together facts for
     :func:`graph.hebbian`. Nothing is written here.
     """
     live = facts.where("status in ('active', 'cold')")
     base = R.base_level(access.join(facts.select(F.col("id").alias("fact_id"), "metabolic_rate"), "fact_id"), now, F.col("metabolic_rate")).select(F.col("fact_id").alias("id"), "base")
-    degree = links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree"))
+    degree = materialize(links.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree")) if degree is None else degree, "degree")
     own = C.fact_features(live).join(base, "id", "left").join(R.revival(links, now), "id", "left").join(C.spread(links, live.select("id", "embedding")), "id", "left").join(degree, "id", "left")
     never = F.ln(F.pow(F.greatest(F.lit(now) - F.col("created_at"), F.lit(0.001)), -config.decay * F.col("metabolic_rate")))
     own = own.withColumns({"base": F.coalesce("base", never), "scope": F.col("scope_id"), "degree": F.coalesce("degree", F.lit(0))})

@@ -171,3 +171,13 @@ def test_links_and_pending_rows_asked_for(spark):
     out = json.loads(promotion.as_json(pending, limit=3).first()["json"])
     assert out["count"] == 3 and [r["id"] for r in out["pending"]] == [3, 2, 1]
     assert json.loads(promotion.as_json(pending.limit(0)).first()["json"]) == {"pending": [], "count": 0}
+
+
+def test_whole_recall_gives_degrees_apart_from_links(spark, sf_dir, monkeypatch):
+    """Links are read for the candidates alone; hubs are judged by the links of all parts."""
+    from factloom.plans import ranking_queries
+
+    seen = {}
+    monkeypatch.setattr(ranking_queries.memory, "recall", lambda *a, **k: seen.update(k) or (spark.createDataFrame([], "query_id long, id long, rank long, score double"), None, None))
+    ranking_queries.whole_recall(spark, sf_dir)
+    assert seen["degree"].columns == ["id", "degree"] and seen["degree"].count() == ranking_queries._links(spark, sf_dir).select("source_id").distinct().count()
