@@ -25,11 +25,19 @@ def encode(raw: DataFrame, now: float) -> DataFrame:
     return x.withColumns({"id": F.sha2(key, 256), "status": F.lit("active"), "access_count": F.lit(0), "layer": F.lit("working"), "pinned": F.lit(False), "created_at": F.lit(float(now)), "last_accessed": F.lit(float(now))})
 
 
+def _kinds(x: DataFrame) -> DataFrame:
+    """Facts of one text, vector and scope as one: the first of them in scan order. Copies are judged alike, so that pairs of copies are never made."""
+    key = [c for c in ("content", "embedding", "scope_id") if c in x.columns]
+    first = F.min(F.struct(*[c for c in ("row_seq", "id_long") if c in x.columns]))
+    return materialize(x.groupBy(*key).agg(first.alias("f")).select(*key, "f.*"), "kinds")
+
+
 def contradicted(new: DataFrame, old: DataFrame, threshold: float = Config.contradiction) -> DataFrame:
     """(id): for each new fact the first older active fact that it takes back. Both have (id_long, row_seq, content, embedding); where both
     have scope_id as well, a new fact with a scope meets its scope only. Every pair that can score, by its vectors, is scored."""
     floor = 0.55 - 1e-9 if threshold > 0 else None  # nothing below scores more than 0
     scoped = "scope_id" in new.columns and "scope_id" in old.columns
+    new, old = _kinds(new), _kinds(old)
     names = [F.col("id_long").alias("id"), "embedding", *(["scope_id"] if scoped else [])]
     n, o = new.select(*names), old.select(*names)
     if scoped:
@@ -70,11 +78,14 @@ def first_access(before: DataFrame, after: DataFrame, now: float) -> DataFrame:
 
 def near_copies(new: DataFrame, old: DataFrame, config: Config = Config()) -> DataFrame:
     """(id) of new facts that say what an old one says: vectors and words both overlap. Both have (id_long, content, embedding)."""
+    all_new = new.select("id_long", "content", "embedding")
+    new, old = _kinds(all_new), _kinds(old.select("id_long", "content", "embedding"))
     near = similarities(old.select(F.col("id_long").alias("id"), "embedding"), new.select(F.col("id_long").alias("id"), "embedding"), threshold=config.duplicate_similarity)
     a = new.select(F.col("id_long").alias("query_id"), F.array_distinct(T.words(F.lower("content"))).alias("wa"))
     b = old.select(F.col("id_long").alias("id"), F.array_distinct(T.words(F.lower("content"))).alias("wb"))
     x = near.join(a, "query_id").join(b, "id").where(T.overlap(F.col("wa"), F.col("wb")) >= config.duplicate_overlap)
-    return x.select(F.col("query_id").alias("id")).distinct()
+    said = new.join(x.select(F.col("query_id").alias("id_long")).distinct(), "id_long").select(F.col("content").alias("c"), F.col("embedding").alias("e"))
+    return all_new.join(said, F.col("content").eqNullSafe(F.col("c")) & F.col("embedding").eqNullSafe(F.col("e")), "left_semi").select(F.col("id_long").alias("id")).distinct()
 
 
 def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataFrame, now: float, config: Config = Config(), learned: DataFrame | None = None, degree: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

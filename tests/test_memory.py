@@ -181,3 +181,15 @@ def test_whole_recall_gives_degrees_apart_from_links(spark, sf_dir, monkeypatch)
     monkeypatch.setattr(ranking_queries.memory, "recall", lambda *a, **k: seen.update(k) or (spark.createDataFrame([], "query_id long, id long, rank long, score double"), None, None))
     ranking_queries.whole_recall(spark, sf_dir)
     assert seen["degree"].columns == ["id", "degree"] and seen["degree"].count() == ranking_queries._links(spark, sf_dir).select("source_id").distinct().count()
+
+
+def test_copies_are_judged_once(spark, monkeypatch):
+    """Equal texts with equal vectors are one fact while pairs are made; every copy is in the result, and the first old one is taken back."""
+    sizes, plain = [], memory.similarities
+    monkeypatch.setattr(memory, "similarities", lambda v, q, *a, **k: sizes.append((v.count(), q.count())) or plain(v, q, *a, **k))
+    kind = "id_long long, row_seq long, content string, embedding array<double>"
+    old = spark.createDataFrame([(i, 9 - i, "The port is 80", [1.0, 0.0]) for i in range(5)], kind)
+    new = spark.createDataFrame([(10 + i, 10 + i, "the port is 80", [1.0, 0.0]) for i in range(4)], kind)
+    assert sorted(r["id"] for r in memory.near_copies(new, old).collect()) == [10, 11, 12, 13]
+    assert [r["id"] for r in memory.contradicted(new, old).collect()] == [4]
+    assert sizes == [(1, 1), (1, 1)]
