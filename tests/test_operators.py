@@ -6,13 +6,14 @@ import random
 import sqlite3
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom import frames
 from factloom.functions import text as T
-from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking
+from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking, sets
 from factloom.plans import graph_queries, ranking_queries, text_queries
 from factloom.streaming import observers as O
 from factloom.streaming import promoter
@@ -358,3 +359,47 @@ def test_a_stream_goes_on_after_a_stop(spark, tmp_path):
         promoter.promote_stream(facts, store, 1e6, f"file://{tmp_path}/progress").awaitTermination()
         said(n, "u", "b")
     assert store.read().count() == 2
+
+
+def test_pairs_of_sets_that_are_not_similar_are_not_written(spark, monkeypatch):
+    """Large sets that share a third of their tokens look alike to small bitmaps; only similar ones may leave the tasks they meet in."""
+    rng = random.Random(4)
+    lists = [[f"t{x}" for x in rng.sample(range(600), 300)] for _ in range(90)]
+    lists += [x[:250] + [f"n{i}{j}" for j in range(20)] for i, x in enumerate(lists[:20])]
+    written = []
+    for where in (graph, sets):
+        monkeypatch.setattr(where, "materialize", lambda df, name="frame", f=where.materialize: written.append(f(df, name)) or written[-1])
+    monkeypatch.setattr(sets, "SETS", 40)
+    want = {(i, j) for i, a in enumerate(lists) for j in range(i) if len(set(a) & set(lists[j])) >= 0.4 * len(set(a) | set(lists[j]))}
+    got = graph.similar_sets(spark.createDataFrame(list(enumerate(lists)), "id long, tokens array<string>"), 0.4)
+    assert {(r.a, r.b) for r in got.collect()} == want and 20 <= len(want) < 400
+    assert all(x.count() <= len(want) for x in written if {"k", "k2"} <= set(x.columns))
+
+
+@pytest.mark.parametrize("measure, threshold", [("jaccard", 0.4), ("cosine", 0.3), ("cosine", 0.8)])
+def test_blocks_of_sets_against_all_pairs(measure, threshold, monkeypatch):
+    """Over several tiles, and with shared columns."""
+    rng = np.random.default_rng(6)
+    for name, value in (("LEFT", 16), ("RIGHT", 32), ("COLUMNS", 256), ("CELLS", 256 * 24)):
+        monkeypatch.setattr(sets, name, value)
+    zipf = 1 / np.arange(1, 2001)
+    made = [np.sort(rng.choice(2000, rng.integers(3, 300), False, zipf / zipf.sum())) for _ in range(150)]
+    made += [np.unique(np.r_[x[5:], rng.integers(0, 2000, 9)]) for x in made[:60]]
+
+    def block(at):
+        b = object.__new__(sets._Block)
+        b.no, b.k, b.m = at[0], np.array(at), np.array([len(made[i]) for i in at], np.int32)
+        b.tokens, inv = np.unique(np.concatenate([made[i] for i in at]), return_inverse=True)
+        b.n, b.who = np.bincount(inv).astype(np.int32), np.repeat(np.arange(len(at)), b.m).astype(np.uint16)[np.argsort(inv, kind="stable")]
+        return b
+
+    left, right = block(list(range(0, 210, 2))), block(list(range(1, 210, 2)))
+    rows = [x for a, b in ((left, left), (left, right), (right, right)) for r in sets._pairs(a, b, threshold, measure) for x in r.to_pylist()]
+    got = {(min(x["k"], x["k2"]), max(x["k"], x["k2"])): x["shared"] for x in rows}
+    want = {}
+    for i, a in enumerate(made):
+        for j in range(i + 1, len(made)):
+            n = len(np.intersect1d(a, made[j]))
+            if n / (len(a) + len(made[j]) - n if measure == "jaccard" else math.sqrt(len(a) * len(made[j]))) >= threshold:
+                want[i, j] = n
+    assert got == want and len(rows) == len(got) and len(want) > 40
