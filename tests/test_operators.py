@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom import frames
 from factloom.functions import text as T
-from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking, sets
+from factloom.operators import bandit, export, graph, lifecycle, promotion, ranking, scoring, sets
 from factloom.plans import graph_queries, ranking_queries, text_queries
 from factloom.streaming import observers as O
 from factloom.streaming import promoter
@@ -403,3 +403,16 @@ def test_blocks_of_sets_against_all_pairs(measure, threshold, monkeypatch):
             if n / (len(a) + len(made[j]) - n if measure == "jaccard" else math.sqrt(len(a) * len(made[j]))) >= threshold:
                 want[i, j] = n
     assert got == want and len(rows) == len(got) and len(want) > 40
+
+
+def test_features_are_worked_out_once_for_each_text(spark, monkeypatch):
+    """Copies of a text, nulls among them, cost one evaluation and keep their rows."""
+    seen = []
+    monkeypatch.setattr(scoring, "fact_features", lambda x, f=scoring.fact_features: seen.append(x.count()) or f(x))
+    rows = [(i, ["run pip install pkg", "we decided on x", None][i % 3], "general", "V") for i in range(30)]
+    facts = spark.createDataFrame(rows, "id long, content string, target string, type string")
+    got = scoring.features_once(facts)
+    assert seen == [3] and got.count() == 30
+    names = ["id", "adv", "own_terms", "text_flags", "settled"]
+    plain = scoring.fact_features(facts).select(*names)
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, plain.collect()))
