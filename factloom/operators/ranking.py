@@ -55,23 +55,22 @@ def hebbian(links: DataFrame, sims: DataFrame) -> DataFrame:
 def bm25(facts: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
     """(query_id, id, bm25): the best facts of each query; terms match as beginnings of tokens.
 
-    ``facts`` has (id, text, allowed): all rows shape the statistics, allowed ones are returned. An inverted index of
-    (token, id, tf) is joined on tokens; prefixes are joined to the vocabulary alone, not to the postings. Queries with the same terms are
+    ``facts`` has (id, text, allowed): all rows shape the statistics, allowed ones are returned. Prefixes are joined to the vocabulary alone, and only
+    tokens that a prefix meets are counted. Queries with the same terms are
     answered once, and their answers, ``limit`` rows each, are dealt out at the end.
     """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     split = facts.select("id", "allowed", tokens.alias("tokens"))
     sizes = split.select("id", "allowed", F.size("tokens").alias("len"))
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    postings = split.select("id", F.explode("tokens").alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
     keyed = materialize(queries.select("query_id", T.terms(F.col("query")).alias("terms")), "asked")
     asked = keyed.select("terms").distinct().withColumn("ask", F.xxhash64("terms"))
     asked = materialize(asked.select("ask", F.explode("terms").alias("term")), "terms")
     vocabulary = split.select(F.explode("tokens").alias("token")).distinct()
     lengths = F.expr("sequence(2, greatest(2, length(token)))")
     prefixes = vocabulary.withColumn("term", F.explode(F.transform(lengths, lambda n: F.substring("token", F.lit(1), n))))
-    met = materialize(asked.join(prefixes, "term").select("ask", "term", "token"), "met")  # only postings of these tokens are read on
-    hits = attach(postings, met, "token").groupBy("ask", "term", "id").agg(F.sum("tf").alias("f"))
+    met = materialize(asked.join(prefixes, "term").select("ask", "term", "token"), "met")
+    hits = attach(split.select("id", F.explode("tokens").alias("token")), met, "token").groupBy("ask", "term", "id").agg(F.count("*").alias("f"))
     hits = materialize(hits, "hits")
     df = hits.groupBy("ask", "term").agg(F.count("*").alias("n"))
     raw = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))

@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from ..frames import written
 
 LEFT, RIGHT = 512, 2048
 
@@ -44,6 +47,50 @@ def meet(left: DataFrame, right: DataFrame, run: Callable[[pa.StructArray, pa.St
     return pairs.mapInArrow(tasks, out)
 
 
+def packed(x: DataFrame, tile: int, name: str) -> DataFrame:
+    """(no, n, rows): the rows of ``x`` where they lie, at most ``tile`` in each row, written. Nothing is shuffled; ``no`` tells rows apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, tile):
+                own = batch.slice(lo, tile)
+                rows = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), pa.StructArray.from_arrays(own.columns, own.schema.names))
+                yield pa.RecordBatch.from_arrays([pa.array([own.num_rows], pa.int64()), rows], names=["n", "rows"])
+
+    out = StructType([StructField("n", LongType()), StructField("rows", ArrayType(x.schema))])
+    return written(x.mapInArrow(run, out).select(F.monotonically_increasing_id().alias("no"), "n", "rows"), name, tile)
+
+
+def meet_all(blocks: DataFrame, rest: DataFrame, start: Callable[[pa.StructArray], object], out: str, name: str) -> DataFrame:
+    """Rows ``out``, written: each row of ``blocks`` meets every row of ``rest`` (both of :func:`packed`) in one task, one after another.
+
+    ``start`` makes an object of a block; its ``add`` gets the tiles, and ``done`` then gives record batches. The tiles are read where they lie, once a
+    task, so that neither they nor what a block makes of them pass a shuffle.
+    """
+    tasks = max(1, blocks.count())
+    left = blocks.repartitionByRange(tasks, "no") if tasks > 1 else blocks.coalesce(1)
+    both = left.select("no", F.col("rows").alias("block")).hint("shuffle_replicate_nl").join(rest.select("rows").coalesce(1))
+
+    def rows_of(col: pa.ListArray, i: int) -> pa.StructArray:
+        lo, hi = col.offsets[i].as_py(), col.offsets[i + 1].as_py()
+        return col.values.slice(lo, hi - lo)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                no = batch.column(0)[i].as_py()
+                if no != last:
+                    if own is not None:
+                        yield from own.done()
+                    last, own = no, start(rows_of(batch.column(1), i))
+                own.add(rows_of(batch.column(2), i))
+        if own is not None:
+            yield from own.done()
+
+    return written(both.mapInArrow(run, out), name, 1)
+
+
 def field(rows: pa.StructArray, name: str) -> pa.Array:
     """A column of packed rows."""
     return rows.field(name) if rows.offset == 0 and len(rows.field(name)) == len(rows) else rows.flatten()[rows.type.get_field_index(name)]
@@ -84,18 +131,16 @@ def term_hits(asked: pa.Array, own: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     terms of a list that a term of ``own`` j equals or, from four letters on, begins with or begins."""
     lists, kinds = asked.to_pylist(), {}
     of = np.array([kinds.setdefault(tuple(x or ()), len(kinds)) for x in lists], np.int64)
-    texts, own_kinds = own.to_pylist(), {}
-    own_of = np.array([own_kinds.setdefault(tuple(x or ()), len(own_kinds)) for x in texts], np.int64)
-    words = sorted({w for x in own_kinds for w in x})
-    at = {w: i for i, w in enumerate(words)}
-    flat = np.array([at[w] for x in own_kinds for w in x], np.int64)
-    group = np.repeat(np.arange(len(own_kinds)), [len(x) for x in own_kinds])
-    hits = np.zeros((len(kinds), len(own_kinds)), np.int64)
+    coded = own.flatten().dictionary_encode()
+    words, flat = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    group = np.repeat(np.arange(len(own)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    hits = np.zeros((len(kinds), len(own)), np.int64)
     met: dict[str, np.ndarray] = {}
     for x, k in kinds.items():
         for a in x:
             if a not in met:
                 like = np.array([a == b or (len(a) >= 4 and (b.startswith(a) or a.startswith(b))) for b in words], bool)
-                met[a] = np.bincount(group, like[flat], len(own_kinds)) > 0 if len(flat) else np.zeros(len(own_kinds), bool)
+                met[a] = np.zeros(len(own), bool)
+                met[a][group[like[flat]] if len(flat) else []] = True
             hits[k] += met[a]
-    return np.array([len(x) for x in kinds], np.int64), of, hits[:, own_of]
+    return np.array([len(x) for x in kinds], np.int64), of, hits
