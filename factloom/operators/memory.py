@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..frames import attach, materialize
+from ..frames import materialize
 from ..functions import text as T
 from . import graph as G
 from . import lifecycle as L
 from . import ranking as R
+from . import recalled as Q
 from . import scoring as C
 from .nearest import nearest, similarities
 
@@ -110,17 +112,22 @@ def recall(queries: DataFrame, facts: DataFrame, access: DataFrame, links: DataF
         updates = learned.agg(F.coalesce(F.sum("n_retrieved"), F.lit(0))).first()[0]
         own = own.join(learned.select("id", R.decayed_q(F.col("q"), F.col("updated_at"), now).alias("q"), F.col("n_retrieved").cast("long").alias("n_retrieved")), "id", "left")
     asked = C.query_features(queries).withColumn("n_terms", F.size("query_terms"))
-    x = C.score(own, asked, keep=("row_seq", "access_count", "type", "settled", "degree", "q", "n_retrieved"), ask=("n_terms", "want")).drop(*[c for c in R.COMPONENTS if c != "spreading"], "sim")
     kw = R.bm25(facts.select("id", F.concat_ws(" ", "content", "target").alias("text"), F.col("status").isin("active", "cold").alias("allowed")), queries.select("query_id", "query"), config.keyword_limit)
-    x = attach(x, kw, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    x = materialize(R.strong_match(R.fuse(x)), "fused")
-    x = attach(x, R.fusion_wanted(x, F.col("type") != "V"), "query_id").withColumn("score", F.when(F.col("fuse"), F.col("final")).otherwise(F.col("score")))
-    x = R.rerank(x, int(updates)).withColumn("score", F.col("reranked"))
-    x = x.crossJoin(F.broadcast(R.percentile_90(degree.select("degree"))))  # one row
-    x = materialize(x.withColumns({"p90": F.coalesce("p90", F.lit(0)), "max_degree": F.coalesce("max_degree", F.lit(0))}), "reranked")
-    x = R.dampen(x).withColumn("score", F.col("dampened"))
-    x = R.correct_bias(x).withColumn("score", F.col("corrected")).select("query_id", "id", "row_seq", "score")
-    results = materialize(R.diversify(R.pool(x, config.top_k).join(live.select("id", "embedding", T.terms(F.col("content")).alias("tokens")), "id"), config.top_k, config.diversity_penalty), "results")
+    hubs = R.percentile_90(degree.select("degree")).first()
+    p90, most, updates, k = int(hubs["p90"] or 0), int(hubs["max_degree"] or 0), int(updates), max(config.top_k, 12)
+
+    def stages(cell: dict, fact: dict, query: dict) -> tuple[np.ndarray, np.ndarray]:
+        seq, score, bm25 = fact["row_seq"], cell["score"], cell["bm25"]
+        if Q.fusion_wanted(score, bm25, seq, bool(fact["typed"].any())):
+            score = Q.strong_match(Q.fuse(score, bm25, seq), bm25, seq, fact["id"])
+        score = Q.rerank(score, fact["q"], fact["n_retrieved"], updates)
+        score = Q.correct_bias(Q.dampen(score, cell, fact, query, p90, most), fact["access_count"])
+        best = Q.best_first(score)[:k]
+        return best, score[best]
+
+    own = own.withColumns({"q": F.coalesce("q", F.lit(0.5)), "typed": F.coalesce(F.col("type") != "V", F.lit(False)), "settled": F.coalesce("settled", F.lit(False))})
+    x = Q.recalled(own, asked, kw, stages, ("access_count", "type", "typed", "settled", "degree", "q", "n_retrieved"), ("n_terms", "want"), dampened=True)
+    results = materialize(R.diversify(x.join(live.select("id", "embedding", T.terms(F.col("content")).alias("tokens")), "id"), config.top_k, config.diversity_penalty), "results")
     uses = results.groupBy("id").agg(F.count("*").alias("n")).withColumn("seen_at", F.lit(float(now)))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     pairs = results.withColumn("place", F.row_number().over(top)).select("query_id", "id", "place", F.col("score").alias("activation"))
